@@ -31,8 +31,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.substring_dedup import substring_dedup
+
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
@@ -55,6 +63,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op6_substring_dedup": f"""
+        WITH words AS (
+            SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS word FROM (
+                SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS a FROM documents WHERE text IS NOT NULL)),
+        wins AS (
+            SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS win,
+                count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM words),
+        hashed AS (SELECT doc_id, i, md5(win) AS h FROM wins WHERE n = 35),
+        twice AS (SELECT h FROM hashed GROUP BY h HAVING count(*) > 1),
+        hits AS (SELECT doc_id, i FROM hashed SEMI JOIN twice USING (h)),
+        marked AS (
+            SELECT w.doc_id, w.i, w.word, max(h.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) >= w.i - 34 AS gone
+            FROM words w LEFT JOIN hits h ON w.doc_id = h.doc_id AND w.i = h.i)
+        SELECT d.doc_id, count(m.i) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+            sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT coalesce(gone, false) AND word IS NOT NULL), '')) AS kept_sha256
+        FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
