@@ -31,6 +31,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.substring_dedup import substring_dedup
 
@@ -40,6 +46,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
