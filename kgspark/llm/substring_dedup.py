@@ -139,14 +139,14 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (doc_id, text, places (lo, mask)); gives the words that no repeated window covers."""
+    """Reads (doc_id, th, text, places (lo, mask)); gives the words that no repeated window covers."""
     for b in slices(batches):
-        places = b.column(2)
+        places = b.column(3)
         rows, count = places.flatten(), np.diff(places.offsets.to_numpy())
         lo, mask = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(2))
         off = np.r_[0, np.cumsum(count)]
         texts, words, removed = [], [], []
-        for i, text in enumerate(b.column(1).to_pylist()):
+        for i, text in enumerate(b.column(2).to_pylist()):
             all_ = (text or "").encode().split()
             if count[i]:
                 start = np.repeat(lo[off[i] : off[i + 1]], 32) + np.tile(np.arange(32), count[i])
@@ -160,7 +160,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(b" ".join(left))
             words.append(len(all_))
             removed.append(len(all_) - len(left))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), b.column(1)], ["doc_id", "n_words", "n_removed", "text", "original"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), b.column(1)], ["doc_id", "n_words", "n_removed", "text", "th"])
 
 
 def repeated_windows(rows: DataFrame, path: str, batches: int) -> DataFrame:
@@ -191,12 +191,35 @@ def repeated_windows(rows: DataFrame, path: str, batches: int) -> DataFrame:
     return hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", F.col("mask").bitwiseAND(full).alias("mask"))).alias("places"))
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed, text (the words left, joined by one space) and the original text, for each row."""
+def _cut_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
     path = shared_dir(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     places = repeated_windows(rows, path, batches).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "places")
     both = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     none = F.array().cast("array<struct<lo:int,mask:int>>")
-    out = both.select("doc_id", "text", F.coalesce("places", none).alias("places")).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string, original string")
-    return out
+    cut = both.select("doc_id", "th", "text", F.coalesce("places", none).alias("places"))
+    return cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string, th long")
+
+
+def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
+    """doc_id, n_words, n_removed and text (the words left, joined by one space), for each row.
+
+    The rows come in `batches` hash-dealt batches; the result is the same for any number of them.
+    """
+    return _cut_texts(docs, batches).drop("th")
+
+
+def substring_cut(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut out; all columns as they were, n_chars following the text if there.
+
+    A text that loses words becomes its remaining words, joined by one space; others stay as they are.
+    """
+    names, at, text = docs.columns, docs.columns.index("doc_id"), docs.columns.index("text")
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_th", F.xxhash64(f"_c{text}"))
+    cut = _cut_texts(docs).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("text").alias("_new")).dropDuplicates(["_d", "_t"])
+    both = flat.join(cut, F.col(f"_c{at}").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    both = both.withColumn(f"_c{text}", F.coalesce("_new", f"_c{text}"))
+    if "n_chars" in names:
+        n = f"_c{names.index('n_chars')}"
+        both = both.withColumn(n, F.when(F.col("_new").isNull(), F.col(n)).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType)))
+    return both.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
