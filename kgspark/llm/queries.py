@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.quality_classifier import remainder, score, train
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return score(docs, *train(docs, labels, ~held_out), held_out)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.line_dedup import line_dedup
 
@@ -52,6 +60,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
