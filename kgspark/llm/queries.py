@@ -34,6 +34,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", *base, "base_failed", "kept", "good")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.exact_dedup import exact_groups
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
