@@ -20,6 +20,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, *train(docs, labels, ~held_out), held_out)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.context_mixing import lm_scores
+    from kgspark.llm.quality_classifier import remainder
+
+    return lm_scores(table(spark, sf_dir, "documents"), remainder(10) == 0)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.line_dedup import line_dedup
 
@@ -67,6 +74,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_lm_scores": op2_lm_scores,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_substring_dedup": op6_substring_dedup,
