@@ -6,6 +6,7 @@ any name (even `kept` or `TEXT`) pass through or are ignored without clashing.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -58,6 +59,16 @@ def stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more, and has the driver drop the shuffle files of finished jobs."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (Steele, Lea and Flood 2014), elementwise."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -25,10 +25,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import Words, pick, shared_dir, slices, splitmix, spread, stored, windows
+from kgspark.llm.common import Words, discard, pick, shared_dir, slices, splitmix, spread, stored, windows
 
 WINDOW, GRAM = 35, 8
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -84,6 +85,7 @@ class FingerprintRuns:
         """All runs as one, which takes their place."""
         if len(self.runs()) > 1:
             self.levels = [[], [self._write(self._merged(self.runs()))]]
+            discard(self.spark, *(f"{self.path}/run{i}" for i in range(1, self.made)))
         return self.runs()[0]
 
 
@@ -138,29 +140,31 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(fp[which]), pa.array(bh[which]), pa.array(i.astype(np.int32)), pa.array(h[base[which] + lo[which] + i].view(np.int64)), pa.array(n[which])], ["fp", "bh", "i", "wh", "n"])
 
 
+def _left(texts: pa.Array, places: pa.Array) -> tuple[list[bytes], list[int], list[int]]:
+    """The words that no repeated window covers, joined; the number of words, and of those that go."""
+    rows, count = places.flatten(), np.diff(places.offsets.to_numpy())
+    lo, mask = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+    off = np.r_[0, np.cumsum(count)]
+    out, words, removed = [], [], []
+    for i, text in enumerate(texts.to_pylist()):
+        all_ = (text or "").encode().split()
+        left = all_
+        if count[i]:
+            start = np.repeat(lo[off[i] : off[i + 1]], 32) + np.tile(np.arange(32), count[i])
+            bits = (mask[off[i] : off[i + 1], None] >> np.arange(32)) & 1
+            start = start[bits.ravel().astype(bool)]
+            depth = np.bincount(start, minlength=len(all_) + 1) - np.bincount(start + WINDOW, minlength=len(all_) + 1)
+            left = list(compress(all_, np.cumsum(depth)[: len(all_)] == 0))
+        out.append(b" ".join(left))
+        words.append(len(all_))
+        removed.append(len(all_) - len(left))
+    return out, words, removed
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (doc_id, th, text, places (lo, mask)); gives the words that no repeated window covers."""
     for b in slices(batches):
-        places = b.column(3)
-        rows, count = places.flatten(), np.diff(places.offsets.to_numpy())
-        lo, mask = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        off = np.r_[0, np.cumsum(count)]
-        texts, words, removed = [], [], []
-        for i, text in enumerate(b.column(2).to_pylist()):
-            all_ = (text or "").encode().split()
-            if count[i]:
-                start = np.repeat(lo[off[i] : off[i + 1]], 32) + np.tile(np.arange(32), count[i])
-                bits = (mask[off[i] : off[i + 1], None] >> np.arange(32)) & 1
-                start = start[bits.ravel().astype(bool)]
-                depth = np.bincount(start, minlength=len(all_) + 1) - np.bincount(start + WINDOW, minlength=len(all_) + 1)
-                keep = np.cumsum(depth)[: len(all_)] == 0
-                left = list(compress(all_, keep))
-            else:
-                left = all_
-            texts.append(b" ".join(left))
-            words.append(len(all_))
-            removed.append(len(all_) - len(left))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), b.column(1)], ["doc_id", "n_words", "n_removed", "text", "th"])
+        left, words, removed = _left(b.column(1), b.column(2))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
 
 def repeated_windows(rows: DataFrame, path: str, batches: int) -> DataFrame:
@@ -178,27 +182,32 @@ def repeated_windows(rows: DataFrame, path: str, batches: int) -> DataFrame:
 
     by = total.groupBy("fp").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).where("total > 1")
     again = save(total.join(by, "fp").select("fp", "bh", "n", "at", (F.col("blocks") > 1).alias("contested")), "again")
+    discard(spark, f"{path}/runs")
     place = F.struct("fp", "bh", F.col("at.lo").alias("lo"), F.col("at.wins").alias("wins"), "n")
     open_ = again.where("contested").groupBy(F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t")).agg(F.collect_list(place).alias("places"))
     read = open_.join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
     single = save(read.select("text", "places").mapInArrow(_single_windows, "fp long, bh long, i int, wh long, n long").distinct(), "single")
+    discard(spark)
     twice = single.groupBy("fp", "wh").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "wh")
     some = single.join(twice, ["fp", "wh"]).groupBy("fp", "bh").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     whole = again.where("not contested or n > 1").select("fp", "bh", F.lit(-1).alias("mask"))
-    masks = some.join(again.where("contested and n = 1").select("fp", "bh"), ["fp", "bh"], "left_semi").union(whole)
-    hits = anchors.join(save(masks, "masks"), ["fp", "bh"])
+    masks = save(some.join(again.where("contested and n = 1").select("fp", "bh"), ["fp", "bh"], "left_semi").union(whole), "masks")
+    discard(spark, f"{path}/single", f"{path}/again")
+    hits = anchors.join(masks, ["fp", "bh"])
     full = F.expr("shiftleft(1, wins) - 1")
-    return hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", F.col("mask").bitwiseAND(full).alias("mask"))).alias("places"))
+    places = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", F.col("mask").bitwiseAND(full).alias("mask"))).alias("places"))
+    places = save(places, "places")
+    discard(spark, f"{path}/masks", f"{path}/anchors")
+    return places
 
 
-def _cut_texts(docs: DataFrame, batches: int = 2) -> DataFrame:
-    path = shared_dir(docs.sparkSession)
+def _with_places(docs: DataFrame, flat: DataFrame, doc: str, text: str, batches: int) -> DataFrame:
+    """flat (docs by other column names) with what repeated_windows says of each row's text."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    places = repeated_windows(rows, path, batches).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "places")
-    both = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    places = repeated_windows(rows, shared_dir(docs.sparkSession), batches).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "places")
+    both = flat.join(places, F.col(doc).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left")
     none = F.array().cast("array<struct<lo:int,mask:int>>")
-    cut = both.select("doc_id", "th", "text", F.coalesce("places", none).alias("places"))
-    return cut.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string, th long")
+    return both.select(*flat.columns, F.coalesce("places", none).alias("_places"))
 
 
 def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -206,20 +215,34 @@ def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
 
     The rows come in `batches` hash-dealt batches; the result is the same for any number of them.
     """
-    return _cut_texts(docs, batches).drop("th")
+    flat = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _with_places(docs, flat, "doc_id", "text", batches).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
+
+
+def _cut_in_place(text: int, n_chars: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, f"_c{text}"):
+            columns, old = b.columns[:-1], b.column(text)
+            left, words, removed = _left(old, b.columns[-1])
+            cut = pa.array(np.array(removed) > 0)
+            new = pc.if_else(cut, pa.array(left, pa.binary()).cast(pa.string()), old.cast(pa.string()))
+            columns[text] = new.cast(old.type)
+            if n_chars is not None:
+                was = columns[n_chars]
+                columns[n_chars] = pc.if_else(cut, pc.utf8_length(new).cast(was.type), was)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1])
+
+    return run
 
 
-def substring_cut(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out; all columns as they were, n_chars following the text if there.
+def substring_cut(docs: DataFrame, batches: int = 2) -> DataFrame:
+    """docs with repeated passages cut out; all columns as they were, a whole-number n_chars following the text.
 
     A text that loses words becomes its remaining words, joined by one space; others stay as they are.
     """
-    names, at, text = docs.columns, docs.columns.index("doc_id"), docs.columns.index("text")
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_th", F.xxhash64(f"_c{text}"))
-    cut = _cut_texts(docs).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("text").alias("_new")).dropDuplicates(["_d", "_t"])
-    both = flat.join(cut, F.col(f"_c{at}").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    both = both.withColumn(f"_c{text}", F.coalesce("_new", f"_c{text}"))
-    if "n_chars" in names:
-        n = f"_c{names.index('n_chars')}"
-        both = both.withColumn(n, F.when(F.col("_new").isNull(), F.col(n)).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType)))
-    return both.select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
+    names = docs.columns
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    text = names.index("text")
+    counts = "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
+    both = _with_places(docs, flat, f"_c{names.index('doc_id')}", f"_c{text}", batches)
+    return both.mapInArrow(_cut_in_place(text, names.index("n_chars") if counts else None), flat.schema).toDF(*names)
