@@ -65,6 +65,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kgspark.llm.sentencepiece_codec import decode, encode
+
+    out = decode(encode(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.llm.substring_dedup import substring_dedup
 
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scores": op2_lm_scores,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_text": op8_html_text,
