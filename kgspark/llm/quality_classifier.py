@@ -97,11 +97,15 @@ def _scored(table: np.ndarray, bias: float):
 
 
 def train(docs: DataFrame, labels: DataFrame, learned: Column, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from at most `rows` labelled documents (columns doc_id, label) where `learned` holds."""
-    known = pick(labels, "doc_id", "label").where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    both = pick(docs, "doc_id", "text").where(learned).join(known, "doc_id")
-    sample = both.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", F.col("label").cast("int")).toArrow()
-    return learn([t or "" for t in sample.column(0).to_pylist()], sample.column(1).to_pylist())
+    """Learns from at most `rows` labelled documents (columns doc_id, label) where `learned` holds of doc_id.
+
+    The ids are chosen among the labels first, so that the documents are only filtered by a list of bounded
+    size and no text is shuffled.
+    """
+    known = pick(labels, "doc_id", "label").where("label is not null and doc_id is not null").where(learned)
+    known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = pick(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return learn([t or "" for t in sample.column("text").to_pylist()], sample.column("label").to_pylist())
 
 
 def score(docs: DataFrame, table: np.ndarray, bias: float, held_out: Column) -> DataFrame:
