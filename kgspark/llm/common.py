@@ -90,6 +90,8 @@ def _tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _HASH = {seed: _tables(seed) for seed in (1, 2)}
+for _letters, _ in _HASH.values():
+    _letters[_IS_SPACE] = 0
 
 
 class Words:
@@ -124,14 +126,18 @@ class Words:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         letters, places = _HASH[seed]
-        total = int(self.length.sum())
-        ahead = np.cumsum(self.length) - self.length
-        place = np.arange(total) - np.repeat(ahead, self.length)
-        at = place + np.repeat(self.start, self.length)
-        weight = places[place % _PLACES]
-        if (far := place >= _PLACES).any():
+        begin, data = int(self.start[0]), self.data[int(self.start[0]) :]
+        span = np.diff(np.append(self.start, len(self.data)))
+        place = np.arange(begin, begin + len(data), dtype=np.int64 if len(self.data) >> 31 else np.int32)
+        place -= np.repeat(self.start.astype(place.dtype), span)
+        if int(span.max()) <= _PLACES:
+            weight = places[place]
+        else:
+            weight = places[place % _PLACES]
+            far = place >= _PLACES
             weight[far] = splitmix(place[far].astype(np.uint64)) | np.uint64(1)
-        sums = np.add.reduceat(letters[self.data[at]] * weight, ahead)
+        weight *= letters[data]  # white space counts as 0
+        sums = np.add.reduceat(weight, self.start - begin)
         return splitmix(sums ^ (self.length.astype(np.uint64) << np.uint64(48)))
 
 
