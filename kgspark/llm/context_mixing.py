@@ -49,7 +49,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 BROAD, NEAR, FEW = 1 << 14, 1 << 8, 8
 LEVELS = 4
 GATES = 2 * LEVELS * LEVELS
-_LEARN_SLICE, _SCORE_SLICE = 1 << 21, 1 << 19
+_SLICE = 1 << 18
 _BLOCK = 1 << 12
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,12 +120,29 @@ class Code:
         rank[np.lexsort((np.arange(len(weights)), -weights))] = np.arange(len(weights))
         return cls(hashes, counts, symbol, rank, huffman(weights), huffman(letters + 1))
 
+    def __post_init__(self):
+        """An open-addressed table of the hot tokens' places."""
+        self.shift = np.uint64(64 - max(4, 2 + len(self.hashes).bit_length()))
+        self.table = np.full((1 << (64 - int(self.shift))) + 64, -1, np.int32)
+        todo, at = np.arange(len(self.hashes), dtype=np.int32), (self.hashes >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.table[at] < 0
+            self.table[at[free]] = todo[free]
+            lost = self.table[at] != todo
+            todo, at = todo[lost], at[lost] + 1
+
     def places(self, h: np.ndarray) -> np.ndarray:
         """Where each token stands among the hot ones; their number if it is not there."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, len(self.hashes))
+        at = (h >> self.shift).astype(np.int64)
+        found = self.table[at]
+        keys = np.append(self.hashes, np.uint64(0))
+        todo = np.flatnonzero((found >= 0) & (keys[found] != h))
+        while len(todo):
+            at[todo] += 1
+            own = self.table[at[todo]]
+            found[todo] = own
+            todo = todo[(own >= 0) & (keys[own] != h[todo])]
+        return np.where(found < 0, len(self.hashes), found)
 
 
 def tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +263,7 @@ def _tokens_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             k = keys[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 100_000])], ["kind", "key", "n"])
 
-    for b in slices(batches, most=_LEARN_SLICE):
+    for b in slices(batches, most=1 << 20):
         w, h, _, _ = tokens(b.column(0))
         letters[:256] += np.bincount(w.data, minlength=256)
         letters[256] += len(w.start)
@@ -268,7 +285,7 @@ def _bits_counted(shared) -> object:
         code = shared.value
         seen = [np.zeros(2 * n, np.uint32) for n in sizes()]
         any_ = False
-        for b in slices(batches, most=_LEARN_SLICE):
+        for b in slices(batches, most=_SLICE):
             any_ = True
             slots, bit, spells, _, _ = events(code, b.column(0))
             for k, (table, slot) in enumerate(zip(seen, slots)):
@@ -276,7 +293,7 @@ def _bits_counted(shared) -> object:
                     slot, bit_ = slot[spells], bit[spells]
                 else:
                     bit_ = bit
-                table += np.bincount((slot << 1) + bit_, minlength=len(table)).astype(np.uint32)
+                np.add.at(table, (slot << 1) + bit_, np.uint32(1))
         if any_:
             for k, table in enumerate(seen):
                 for at in range(0, len(table), _BLOCK):
@@ -341,20 +358,20 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
     cost, at, end, size = np.zeros(texts), off[:-1].copy(), off[1:], 64
     while len(live := np.flatnonzero(at < end)):
         n = np.minimum(size, end[live] - at[live])
-        row = np.repeat(np.arange(len(live), dtype=np.int32), n)
+        row = np.repeat(np.arange(len(live)), n)
         idx = np.arange(len(row)) + np.repeat(at[live] - (np.cumsum(n) - n), n)
         own, g, y = [a[idx] for a in x], gate[idx], bit[idx].astype(np.float32)
-        key = row * np.int32(GATES) + g
+        key = row * GATES + g
         mine = weight[live].reshape(-1, 3)
         logit = mine[:, 0][key] * own[0]
         for i in (1, 2):
             logit += mine[:, i][key] * own[i]
         np.clip(logit, -13, 13, out=logit)
         p = 1 / (1 + np.exp(-logit))
-        cell = row * np.int32(66) + (g >= GATES // 2) * np.int32(33) + (logit + np.float32(16.5)).astype(np.int32)
+        cell = row * 66 + ((g >= GATES // 2) * np.int32(33) + (logit + np.float32(16.5)).astype(np.int32))
         q = (ones[live].ravel()[cell] + REFINE * p) / (all_[live].ravel()[cell] + REFINE)
         np.clip(q, 1e-6, 1 - 1e-6, out=q)
-        cost[live] -= np.bincount(row, weights=np.log2(1 - y + (2 * y - 1) * q), minlength=len(live))
+        cost[live] -= np.bincount(row, weights=np.log(1 - y + (2 * y - 1) * q), minlength=len(live))
         miss = y - p
         m = len(live) * GATES
         pull = RATE / (np.bincount(key, minlength=m) + PULL)
@@ -365,7 +382,7 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
         ones[live] += np.bincount(cell, weights=y, minlength=m).reshape(-1, 66)
         at[live] += n
         size = min(2 * size, 1 << 14)
-    return cost
+    return cost / np.log(2)
 
 
 def _scored(shared) -> object:
@@ -374,7 +391,7 @@ def _scored(shared) -> object:
         known = np.log10(np.r_[code.counts, 0] + 0.1)
         known[-1] = 0
         part, row = TaskContext.get().partitionId() << 33, 0
-        for b in slices(batches, "text", _SCORE_SLICE):
+        for b in slices(batches, "text", _SLICE):
             slots, bit, spells, off, (w, h, place, tok) = events(code, b.column(2))
             x, gate = looked_up(tables, slots, spells)
             cost = mixed(x, bit, gate, off)
