@@ -104,10 +104,10 @@ class Words:
     def __init__(self, texts: pa.Array, lower: bool = False):
         self.data, self.doc = text_bytes(texts)
         if lower:
-            self.data = _LOWER[self.data]
+            self.data = _LOWER.take(self.data)
         n = len(self.data)
         word = np.zeros(n + 2, bool)
-        word[1:-1] = ~_IS_SPACE[self.data]
+        word[1:-1] = ~_IS_SPACE.take(self.data)
         before, after = word[:-2].copy(), word[2:].copy()
         inner = self.doc[1:-1]
         before[inner[inner < n]] = False
@@ -131,12 +131,12 @@ class Words:
         place = np.arange(begin, begin + len(data), dtype=np.int64 if len(self.data) >> 31 else np.int32)
         place -= np.repeat(self.start.astype(place.dtype), span)
         if int(span.max()) <= _PLACES:
-            weight = places[place]
+            weight = places.take(place)
         else:
             weight = places[place % _PLACES]
             far = place >= _PLACES
             weight[far] = splitmix(place[far].astype(np.uint64)) | np.uint64(1)
-        weight *= letters[data]  # white space counts as 0
+        weight *= letters.take(data)  # white space counts as 0
         sums = np.add.reduceat(weight, self.start - begin)
         return splitmix(sums ^ (self.length.astype(np.uint64) << np.uint64(48)))
 

@@ -134,9 +134,9 @@ class Code:
     def places(self, h: np.ndarray) -> np.ndarray:
         """Where each token stands among the hot ones; their number if it is not there."""
         at = (h >> self.shift).astype(np.int64)
-        found = self.table[at]
+        found = self.table.take(at)
         keys = np.append(self.hashes, np.uint64(0))
-        todo = np.flatnonzero((found >= 0) & (keys[found] != h))
+        todo = np.flatnonzero((found >= 0) & (keys.take(found) != h))
         while len(todo):
             at[todo] += 1
             own = self.table[at[todo]]
@@ -159,11 +159,11 @@ def tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
 def _paths(code: tuple, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the paths of symbols in a row: length of each, and node and bit of each step."""
     off, nodes, bits, _ = code
-    length = (off[1:] - off[:-1])[symbols]
+    length = (off[1:] - off[:-1]).take(symbols)
     ahead = np.cumsum(length)
-    src = np.repeat((off[symbols] - ahead + length).astype(np.int32), length)
+    src = np.repeat((off.take(symbols) - ahead + length).astype(np.int32), length)
     src += np.arange(len(src), dtype=np.int32)
-    return length, nodes[src], bits[src]
+    return length, nodes.take(src), bits.take(src)
 
 
 def _slot(node: np.ndarray, context: np.ndarray, table: int) -> np.ndarray:
@@ -180,7 +180,7 @@ def events(code: Code, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, n
     """All bits of the texts in order: slots of the three predictors, bit, whether it spells, and offsets of the texts."""
     w, h, which, off = tokens(texts)
     place = code.places(h)
-    s = code.symbol[place]
+    s = code.symbol.take(place)
     escape = len(code.rank) - 1
     begins, count = np.repeat(off[:-1], np.diff(off)), len(s)
     start, _, path, _ = code.word
@@ -189,7 +189,7 @@ def events(code: Code, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, n
     for k in range(3):
         long = start[1:] - start[:-1] > k
         first[long] |= path[start[:-1][long] + k].astype(np.int32) << k
-    rank = code.rank[s]
+    rank = code.rank.take(s)
     word = (s != escape) & (which >= 0)
     many, few = (_latest(np.where(word & (rank < most - 1), rank + 1, 0), begins) for most in (FREQUENT, FEW))
     context = (many << 18 | few << 15).astype(np.int32)
@@ -343,11 +343,15 @@ START = np.array([
 RATE, PULL, REFINE = np.float32(1.0), np.float32(20), np.float32(150)
 
 
+#: Every float16 as float32.
+_FLOATS = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
+
+
 def looked_up(tables: list[np.ndarray], slots: list[np.ndarray], spells: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The predictors' logits, and the number of the weight set, of each bit."""
-    found = [t[i] for t, i in zip(tables, slots)]
+    found = [t.take(i) for t, i in zip(tables, slots)]
     gate = (spells.view(np.uint8) << 4 | (found[1] & 3) << 2 | found[2] & 3).astype(np.int32)
-    return [x.view(np.float16).astype(np.float32) for x in found], gate
+    return [_FLOATS.take(x) for x in found], gate
 
 
 def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
@@ -359,27 +363,29 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
     while len(live := np.flatnonzero(at < end)):
         n = np.minimum(size, end[live] - at[live])
         row = np.repeat(np.arange(len(live)), n)
-        idx = np.arange(len(row)) + np.repeat(at[live] - (np.cumsum(n) - n), n)
-        own, g, y = [a[idx] for a in x], gate[idx], bit[idx].astype(np.float32)
+        head = np.cumsum(n) - n
+        idx = np.arange(len(row)) + np.repeat(at[live] - head, n)
+        own, g, said = [a.take(idx) for a in x], gate.take(idx), bit.take(idx)
         key = row * GATES + g
         mine = weight[live].reshape(-1, 3)
-        logit = mine[:, 0][key] * own[0]
+        logit = mine[:, 0].take(key) * own[0]
         for i in (1, 2):
-            logit += mine[:, i][key] * own[i]
+            logit += mine[:, i].take(key) * own[i]
         np.clip(logit, -13, 13, out=logit)
         p = 1 / (1 + np.exp(-logit))
         cell = row * 66 + ((g >= GATES // 2) * np.int32(33) + (logit + np.float32(16.5)).astype(np.int32))
-        q = (ones[live].ravel()[cell] + REFINE * p) / (all_[live].ravel()[cell] + REFINE)
+        q = (ones[live].take(cell) + REFINE * p) / (all_[live].take(cell) + REFINE)
         np.clip(q, 1e-6, 1 - 1e-6, out=q)
-        cost[live] -= np.bincount(row, weights=np.log(1 - y + (2 * y - 1) * q), minlength=len(live))
-        miss = y - p
+        cost[live] -= np.add.reduceat(np.log(np.where(said, q, 1 - q)), head, dtype=np.float64)
+        miss = said - p
         m = len(live) * GATES
         pull = RATE / (np.bincount(key, minlength=m) + PULL)
         step = np.stack([np.bincount(key, weights=miss * a, minlength=m) * pull for a in own], 1)
         weight[live] = (mine + step).reshape(len(live), GATES, 3)
         m = len(live) * 66
-        all_[live] += np.bincount(cell, minlength=m).reshape(-1, 66)
-        ones[live] += np.bincount(cell, weights=y, minlength=m).reshape(-1, 66)
+        count = np.bincount(2 * cell + said, minlength=2 * m).reshape(-1, 66, 2)
+        all_[live] += count.sum(2)
+        ones[live] += count[:, :, 1]
         at[live] += n
         size = min(2 * size, 1 << 14)
     return cost / np.log(2)
