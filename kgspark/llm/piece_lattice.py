@@ -67,7 +67,7 @@ class Lattice:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    @functools.lru_cache(400_000)
+    @functools.lru_cache(200_000)
     def fits(self, a: int, b: int) -> bool:
         """Whether piece b can follow piece a. a is -1 at the start of a unit."""
         if a < 0 or a == self.unknown or b == self.unknown:
@@ -96,7 +96,7 @@ class Lattice:
             active, h = active[inside], h[inside]
             h = h * np.uint64(0x9E3779B97F4A7C15) + points[active + k] + np.uint64(1)
             at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-            ok = self.prefix[at] == h
+            ok = self.prefix.take(at) == h
             ids = np.full(len(points), self.unknown if k == 0 else -1, np.int32)
             ids[active[ok]] = self.prefix_id[at[ok]]
             if k == 0:
@@ -110,16 +110,16 @@ class Lattice:
     def _pairs_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * (1 << 20) + b
         slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
-        out = self.pair_fits[slot]
-        if len(miss := np.flatnonzero(self.pair_key[slot] != key)):
+        out = self.pair_fits.take(slot)
+        if len(miss := np.flatnonzero(self.pair_key.take(slot) != key)):
             keys, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
             new = np.array([self.fits(int(a[i]), int(b[i])) for i in miss[first]], bool)
             out[miss] = new[back]
             self.pair_key[slot[miss]], self.pair_fits[slot[miss]] = key[miss], out[miss]
         return out
 
-    def _solve(self, units: list[str]) -> list[list[int]]:
-        """Best paths of short units, all of them advanced by one position at a time."""
+    def _solve(self, units: list[str]) -> list[bytes]:
+        """Ids of short units' best paths, all of them advanced by one position at a time."""
         size = np.array([len(u) for u in units])
         order = np.argsort(-size, kind="stable")
         begin = np.cumsum(size) - size
@@ -132,22 +132,37 @@ class Lattice:
         last[at] = -1
         for p in range(1, int(size.max()) + 1):
             live = order[: int((size >= p).sum())]
+            first, base = begin[live], at[live]
             for k in range(1, min(p, len(match)) + 1):
-                piece, before = match[k - 1][begin[live] + p - k], last[at[live] + p - k]
+                piece, before = match[k - 1].take(first + (p - k)), last.take(base + (p - k))
                 ok = np.flatnonzero((piece >= 0) & (before != -2))
                 if p > k:
                     ok = ok[self._pairs_fit(before[ok], piece[ok])]
-                to = at[live[ok]] + p
+                to = base[ok] + p
                 last[to], span[to] = piece[ok], k
-        out = []
-        for u, i in zip(units, at):
-            p, path = len(u), []
-            while p > 0:
-                b = int(last[i + p])
-                k = int(span[i + p])
-                path.append(b if b != self.unknown else -ord(u[p - 1]))
-                p -= k
-            out.append(path[::-1])
+        # walk back from all ends at once; a unit with a character that has no piece is written out singly
+        count, steps = np.zeros(len(units), np.int64), []
+        live, here = np.arange(len(units)), at + size
+        while len(live):
+            piece = last[here]
+            steps.append((live, piece))
+            count[live] += 1
+            here = here - span[here]
+            on = here > at[live]
+            live, here = live[on], here[on]
+        off = np.concatenate([[0], np.cumsum(count)])
+        flat = np.empty(off[-1], np.int32)
+        for k, (live, piece) in enumerate(steps):
+            flat[off[live + 1] - 1 - k] = piece
+        raw = flat.astype("<u2").tobytes()
+        out = [raw[2 * a : 2 * b] for a, b in zip(off.tolist(), off[1:].tolist())]
+        gaps = np.flatnonzero(flat == self.unknown)
+        for i in np.unique(np.searchsorted(off, gaps, side="right") - 1).tolist():
+            path, p = [], 0
+            for b in flat[off[i] : off[i + 1]].tolist():
+                path.append(b if b != self.unknown else -ord(units[i][p]))
+                p += 1 if b == self.unknown else len(self.texts[b])
+            out[i] = self.flat(path)
         return out
 
     def walk(self, text: str, start: int, last: int, stop: int) -> dict[int, tuple[int, int]]:
@@ -185,12 +200,13 @@ class Lattice:
         """Solves the units that the cache doesn't hold."""
         new = [u for u in units if u not in self.cache]
         if len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache.clear()
-            new = list(units)
+            # short units come back most; the rest make room
+            kept = {u: v for u, v in self.cache.items() if len(u) <= 8 or u in units}
+            self.cache = kept if len(kept) + len(new) <= CACHE_UNITS else {u: v for u, v in kept.items() if u in units}
         short = [u for u in new if len(u) <= LONG_UNIT]
         for i in range(0, len(short), 20_000):
             part = short[i : i + 20_000]
-            self.cache.update(zip(part, map(self.flat, self._solve(part))))
+            self.cache.update(zip(part, self._solve(part)))
         for u in new:
             if len(u) > LONG_UNIT:
                 self.cache[u] = self.flat(self.path(u, self.walk(u, 0, -1, len(u)), len(u)))
