@@ -32,3 +32,139 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame, str], Dat
             break
         seen = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def hops(edges: DataFrame, starts: DataFrame, k: int, store: Callable[[DataFrame, str], DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """(start, node_id, depth): nodes within k out-edges of each start, itself at depth 0, at their least depth.
+
+    `only` (node_id) restricts the nodes that may be reached. Each round joins the frontier with the edges and
+    drops what was reached before.
+    """
+    arcs = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")).distinct()
+    if only is not None:
+        arcs = arcs.join(only.select(F.col("node_id").alias("next")), "next", "left_semi")
+    frontier = starts.select("start", F.col("start").alias("node_id")).distinct()
+    seen = frontier.withColumn("depth", F.lit(0))
+    for depth in range(1, k + 1):
+        found = frontier.join(arcs, "node_id").select("start", F.col("next").alias("node_id")).distinct()
+        frontier = store(found.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti"), f"hop{depth}")
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    return seen
+
+
+def neighbour_triples(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(start, edge_id, src, relation, dst): all edges into and out of the nodes reached from each start."""
+    r = reached.select("start", "node_id")
+    out = edges.join(r, F.col("src") == F.col("node_id"))
+    into = edges.join(r, F.col("dst") == F.col("node_id"))
+    return out.select("start", "edge_id", "src", "relation", "dst").union(into.select("start", "edge_id", "src", "relation", "dst")).distinct()
+
+
+def keyword_paths(edges: DataFrame, texts: DataFrame, starts: DataFrame, keywords: list[str], depth: int = 2) -> DataFrame:
+    """Edges (src, relation, dst) of paths of at most `depth` edges from the starts to a node whose text contains
+    a keyword; of parallel edges the first. A path visits no node twice."""
+    first = edges.groupBy("src", "dst").agg(F.min_by("relation", "edge_id").alias("relation"))
+    words = F.array(*[F.lit(w.lower()) for w in keywords])
+    hit = texts.select("node_id").where(F.exists(words, lambda w: F.lower(texts["text"]).contains(w)))
+    paths = starts.select(F.array("node_id").alias("nodes"), F.array().cast("array<struct<src:string,relation:string,dst:string>>").alias("path"))
+    out = None
+    for _ in range(depth):
+        last = paths.withColumn("src", F.element_at("nodes", -1)).join(first, "src").where(~F.array_contains("nodes", F.col("dst")))
+        paths = last.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.array(F.struct("src", "relation", "dst"))).alias("path"))
+        ended = paths.withColumn("node_id", F.element_at("nodes", -1)).join(hit, "node_id", "left_semi").select("path")
+        out = ended if out is None else out.union(ended)
+    return out.select(F.inline("path")).distinct()
+
+
+def resolved(mapping: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(dup, canon) with chains followed to their ends by pointer doubling; identities are dropped.
+
+    A cycle ends at its member with the largest position (mapping.pos if there, else the name), as if its entry
+    had been the last to be processed.
+    """
+    pos = F.col("pos") if "pos" in mapping.columns else F.col("dup")
+    m = mapping.where("dup <> canon").select("dup", "canon", pos.alias("pos")).groupBy("dup").agg(F.max_by("canon", "pos").alias("canon"), F.max("pos").alias("pos"))
+    m = store(m, "map0")
+    # Nodes on a cycle: their own successors after enough doublings come back to them.
+    top = m.select("dup", F.col("canon").alias("at"), F.struct(F.col("pos"), F.col("dup")).alias("best"))
+    seen = None
+    for i in range(1, 64):
+        nxt = top.select(F.col("dup").alias("at"), F.col("at").alias("_at"), F.col("best").alias("_best"))
+        top = store(top.join(nxt, "at", "left").select("dup", F.coalesce("_at", "at").alias("at"), F.greatest("best", F.coalesce("_best", "best")).alias("best"), F.col("_at").isNull().alias("ended")), f"map{i}")
+        now = tuple(top.agg(F.count_if("ended"), F.count("*")).first())
+        if now[0] == now[1] or (now == seen and i > 1 and 2**i > now[1]):
+            break
+        seen = now
+    ends = top.where("ended").select("dup", F.col("at").alias("canon"))
+    loops = top.where("not ended").select("dup", F.col("at"))
+    if loops.isEmpty():
+        return ends.where("dup <> canon")
+    # Every node that never ends lies on a cycle or leads into one; the cycle's own nodes are those reached.
+    ring = loops.select(F.col("at").alias("dup")).distinct().join(m, "dup").select("dup", "canon", "pos")
+    labels = connected_components(ring.select(F.col("dup").alias("a"), F.col("canon").alias("b")), lambda df, n: store(df, f"ring_{n}"))
+    root = ring.join(labels, F.col("dup") == F.col("node")).groupBy("component").agg(F.max_by("dup", F.struct("pos", "dup")).alias("canon"))
+    where = labels.join(root, "component").select(F.col("node").alias("at"), "canon")
+    return ends.union(loops.join(where, "at").select("dup", "canon")).where("dup <> canon")
+
+
+def combined_mappings(exact: DataFrame, semantic: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Exact and semantic (dup, canon) as one resolved mapping; for a node in both the semantic entry counts."""
+    kept = exact.select("dup", "canon").join(semantic.select("dup"), "dup", "left_anti")
+    return resolved(kept.unionByName(semantic.select("dup", "canon")), store)
+
+
+def jaccard(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, jaccard), a < b: shared distinct out-neighbours among members(node_id), for pairs that share one."""
+    n = members.select("node_id").distinct()
+    arcs = edges.select("src", "dst").distinct()
+    arcs = arcs.join(n, F.col("src") == F.col("node_id"), "left_semi").join(n, F.col("dst") == F.col("node_id"), "left_semi")
+    size = arcs.groupBy("src").agg(F.count("*").alias("n"))
+    pairs = arcs.select(F.col("src").alias("a"), "dst").join(arcs.select(F.col("src").alias("b"), "dst"), "dst").where("a < b")
+    both = pairs.groupBy("a", "b").agg(F.count("*").alias("inter"))
+    both = both.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
+    return both.select("a", "b", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter") + 1e-9)).alias("jaccard"))
+
+
+def triple_strings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, triple): `name relation name` of each node's out-edges, distinct, the first of parallel edges."""
+    first = edges.groupBy("src", "dst").agg(F.min_by(F.coalesce("relation", F.lit("related_to")), "edge_id").alias("relation"))
+    n = nodes.select("node_id", F.coalesce("name", "node_id").alias("name"))
+    rows = first.join(n.select(F.col("node_id").alias("src"), F.col("name").alias("a")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("name").alias("b")), "dst")
+    return rows.select(F.col("src").alias("node_id"), F.concat_ws(" ", "a", "relation", "b").alias("triple")).distinct()
+
+
+def issues(nodes: DataFrame, edges: DataFrame, alias_relations: tuple[str, ...] = ()) -> DataFrame:
+    """(issue, id): orphans, self_loops, dangling_edges, missing_metadata; with alias relations also
+    invalid_alias_nodes (not exactly one out-edge, or another one) and alias_chains."""
+    n = nodes.select("node_id")
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    found = [
+        n.join(ends, "node_id", "left_anti").select(F.lit("orphans").alias("issue"), F.col("node_id").alias("id")),
+        edges.where("src = dst").select(F.lit("self_loops"), F.col("edge_id").cast("string")),
+        edges.join(n, F.col("src") == F.col("node_id"), "left_anti").select(F.lit("dangling_edges"), F.col("edge_id").cast("string")),
+        edges.join(n, F.col("dst") == F.col("node_id"), "left_anti").select(F.lit("dangling_edges"), F.col("edge_id").cast("string")),
+        nodes.where("label is null or name is null or name = ''").select(F.lit("missing_metadata"), F.col("node_id")),
+    ]
+    if alias_relations:
+        alias = nodes.where(F.col("node_role").eqNullSafe("alias")).select("node_id")
+        out = edges.select(F.col("src").alias("node_id"), "relation", "dst")
+        per = alias.join(out, "node_id", "left").groupBy("node_id").agg(F.count("relation").alias("n"), F.count_if(F.col("relation").isin(*alias_relations)).alias("ok"))
+        found.append(per.where("n <> 1 or ok <> 1").select(F.lit("invalid_alias_nodes"), F.col("node_id")))
+        chain = out.where(F.col("relation").isin(*alias_relations)).join(alias, "node_id", "left_semi").join(alias.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+        found.append(chain.select(F.lit("alias_chains"), F.col("node_id")))
+    union = found[0]
+    for f in found[1:]:
+        union = union.union(f)
+    return union.distinct()
+
+
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    return nodes.join(ends, "node_id", "left_semi")
+
+
+def alias_targets(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...]) -> DataFrame:
+    """(node_id, main): an alias's target by its alias edge, any other node itself."""
+    first = edges.where(F.col("relation").isin(*relations)).groupBy("src").agg(F.min_by("dst", "edge_id").alias("dst"))
+    out = nodes.select("node_id", "node_role").join(first, F.col("node_id") == F.col("src"), "left")
+    return out.select("node_id", F.when(F.col("node_role").eqNullSafe("alias"), F.coalesce("dst", "node_id")).otherwise(F.col("node_id")).alias("main"))
