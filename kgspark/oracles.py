@@ -9,19 +9,19 @@ _NODES = """nodes AS (
     UNION ALL SELECT 'order_' || o_orderkey, 'entity', 2, 'order ' || o_orderkey, NULL, NULL, NULL, NULL, o_orderpriority FROM orders
     UNION ALL SELECT DISTINCT 'segment_' || c_mktsegment, 'attribute', 1, c_mktsegment, NULL, NULL, NULL, NULL, NULL FROM customer
     UNION ALL SELECT DISTINCT 'brand_' || p_brand, 'keyword', 3, p_brand, NULL, NULL, NULL, NULL, NULL FROM part)"""
-_K = "* CAST(100000000000000 AS BIGINT)"
+_K = "* CAST(288230376151711744 AS BIGINT)"
 _EDGES = f"""edges AS (
     SELECT 1 {_K} + n_nationkey AS edge_id, 'nation_' || n_nationkey AS src, 'region_' || n_regionkey AS dst, 'part_of' AS relation FROM nation
     UNION ALL SELECT 2 {_K} + c_custkey, 'customer_' || c_custkey, 'nation_' || c_nationkey, 'located_in' FROM customer
     UNION ALL SELECT 3 {_K} + s_suppkey, 'supplier_' || s_suppkey, 'nation_' || s_nationkey, 'located_in' FROM supplier
     UNION ALL SELECT 4 {_K} + o_orderkey, 'order_' || o_orderkey, 'customer_' || o_custkey, 'placed_by' FROM orders
-    UNION ALL SELECT 5 {_K} + l_orderkey * 100 + l_linenumber, 'order_' || l_orderkey, 'part_' || l_partkey, 'contains' FROM lineitem
-    UNION ALL SELECT 6 {_K} + l_orderkey * 100 + l_linenumber, 'part_' || l_partkey, 'supplier_' || l_suppkey, 'supplied_by' FROM lineitem
+    UNION ALL SELECT CAST('0x' || substr(md5(concat_ws('|', 5, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) AS BIGINT), 'order_' || l_orderkey, 'part_' || l_partkey, 'contains' FROM lineitem
+    UNION ALL SELECT CAST('0x' || substr(md5(concat_ws('|', 6, l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) AS BIGINT), 'part_' || l_partkey, 'supplier_' || l_suppkey, 'supplied_by' FROM lineitem
     UNION ALL SELECT 7 {_K} + c_custkey, 'customer_' || c_custkey, 'segment_' || c_mktsegment, 'has_attribute' FROM customer
     UNION ALL SELECT 8 {_K} + p_partkey, 'part_' || p_partkey, 'brand_' || p_brand, 'represented_by' FROM part)"""
 _BOTH = f"{_NODES}, {_EDGES}"
 _SUPPLIES = """supplies AS (
-    SELECT l_orderkey * 100 + l_linenumber AS edge_id, 'supplier_' || l_suppkey AS src, 'part_' || l_partkey AS dst, 'supplies' AS relation, 'order_' || l_orderkey AS chunk FROM lineitem)"""
+    SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) AS BIGINT) AS edge_id, 'supplier_' || l_suppkey AS src, 'part_' || l_partkey AS dst, 'supplies' AS relation, 'order_' || l_orderkey AS chunk FROM lineitem)"""
 _VEC = "v AS (SELECT vec_id, 'vec_' || vec_id AS node_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
 
 
@@ -32,7 +32,7 @@ def _norm(x: str) -> str:
 _HEADS = f"""heads AS (
     SELECT 'part_' || p_partkey AS dup, 'part_' || min(p_partkey) OVER (PARTITION BY {_norm('p_name')}) AS canon FROM part),
 mapping AS (SELECT dup, canon FROM heads WHERE dup <> canon)"""
-_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> length(x) > 2))"
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: length(x) > 2))"
 _REWRITE = """e AS (
     SELECT edges.*, coalesce(ms.canon, src) AS s2, coalesce(md.canon, dst) AS d2
     FROM edges LEFT JOIN mapping ms ON src = ms.dup LEFT JOIN mapping md ON dst = md.dup),
@@ -59,9 +59,9 @@ ORACLES: dict[str, str] = {
     "snk1_triples": f"""WITH {_BOTH} SELECT edge_id, s.label AS start_label, s.name AS start_name, relation, t.label AS end_label, t.name AS end_name
         FROM edges JOIN nodes s ON src = s.node_id JOIN nodes t ON dst = t.node_id""",
     "prj1_chunks": "SELECT substr(sha256(trim(text, ' ')), 1, 8) || '_' || doc_id || '_0' AS chunk_id, doc_id, 0 AS pos, length(text) AS chars FROM documents",
-    "prj1_split_chunks": """WITH s AS (SELECT doc_id, text, unnest(generate_series(1, greatest(1, length(text) - 200), 800)) AS at FROM documents)
-        SELECT doc_id, CAST((at - 1) // 800 AS INTEGER) AS pos, length(substr(text, at, 1000)) AS chars, sha256(substr(text, at, 1000)) AS sha FROM s""",
-    "prj3_valid_triples": """WITH t AS (SELECT event_id, list_concat(list_concat(string_split(event_type, '_'), [CAST(user_id AS VARCHAR), 'x']), list_transform(range(event_id % 3), i -> 'y')) AS a FROM events)
+    "prj1_split_chunks": """WITH s AS (SELECT doc_id, text, unnest(generate_series(1, greatest(1, length(text) - 200), 800)) AS a FROM documents)
+        SELECT doc_id, CAST((a - 1) // 800 AS INTEGER) AS pos, length(substr(text, a, 1000)) AS chars, sha256(substr(text, a, 1000)) AS sha FROM s""",
+    "prj3_valid_triples": """WITH t AS (SELECT event_id, list_concat(list_concat(string_split(event_type, '_'), [CAST(user_id AS VARCHAR), 'x']), list_transform(range(event_id % 3), lambda i: 'y')) AS a FROM events)
         SELECT event_id, array_to_string(a[1:3], ',') AS triple FROM t WHERE len(a) >= 3""",
     "prj14_index_text": f"WITH {_NODES} SELECT node_id, coalesce(nullif(name, ''), 'none') || ',none' AS text FROM nodes",
     "prj16_describe_node": f"""WITH {_NODES} SELECT node_id, name || CASE
@@ -100,7 +100,7 @@ ORACLES: dict[str, str] = {
         SELECT 'part_' || p_partkey AS node_id, norm, min(p_partkey) OVER w AS canonical, count(*) OVER w AS size FROM n WINDOW w AS (PARTITION BY norm)""",
     "agg4_degree": f"""WITH {_EDGES}, ends AS (SELECT src AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)
         SELECT node_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, count(*) AS degree FROM ends GROUP BY 1""",
-    "agg5_token_count": r"SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), w -> w <> ''))) AS BIGINT) AS tokens FROM documents GROUP BY 1",
+    "agg5_token_count": r"SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS BIGINT) AS tokens FROM documents GROUP BY 1",
     "agg11_label_relation_top10": f"""WITH {_BOTH}, r AS (SELECT 'relation' AS kind, relation AS name, count(*) AS n FROM edges GROUP BY 2 ORDER BY n DESC, name LIMIT 10)
         SELECT 'label' AS kind, label AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT * FROM r""",
     "agg12_cluster_profile": f"""WITH g AS (SELECT count(*) AS size FROM part GROUP BY {_norm('p_name')}),
@@ -133,7 +133,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT grp, node_id, 50 * coalesce(i, 0) + 10 * length(p_name) - 0.1 * p_partkey AS score FROM members JOIN part ON node_id = 'part_' || p_partkey LEFT JOIN deg USING (node_id)),
         best AS (SELECT grp, first(node_id ORDER BY score DESC, node_id DESC) AS canon FROM s GROUP BY 1)
         SELECT node_id AS dup, canon FROM s JOIN best USING (grp) WHERE node_id <> canon""",
-    "top1_keyword_rerank": r"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '\s+'), x -> x <> '')) AS w FROM benchmark),
+    "top1_keyword_rerank": r"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '\s+'), lambda x: x <> '')) AS w FROM benchmark),
         d AS (SELECT doc_id AS pos, lower(text) AS low FROM documents), words AS (SELECT DISTINCT w FROM q),
         hit AS (SELECT pos, w FROM d, words WHERE contains(low, w)),
         s AS (SELECT qid, pos, count(*) AS score FROM q JOIN hit USING (w) GROUP BY 1, 2),
@@ -196,7 +196,7 @@ ORACLES: dict[str, str] = {
         f AS (SELECT name, arg_min(coalesce(schema_type, label), node_id) AS category, arg_min(coalesce(n, 0), node_id) AS n FROM nodes LEFT JOIN a USING (node_id) GROUP BY 1)
         SELECT name, category, least(40, greatest(15, n * 3 + 15)) AS size FROM f ORDER BY name LIMIT 500""",
     "ret18_inverted_index": f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents) SELECT word, count(*) AS n, min(doc_id) AS first FROM t GROUP BY 1",
-    "ret13_keyword_search": f"""WITH q AS (SELECT item_id AS qid, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM (SELECT item_id, ({_WORDS})[1:6] AS w FROM benchmark)),
+    "ret13_keyword_search": f"""WITH q AS (SELECT item_id AS qid, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM (SELECT item_id, (list_sort({_WORDS}))[1:6] AS w FROM benchmark)),
         t AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), p AS (SELECT word, doc_id FROM t QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id) <= 50),
         hit AS (SELECT qid, doc_id, min(pos) AS pos FROM q JOIN p USING (word) GROUP BY 1, 2), per AS (SELECT qid, pos, count(*) AS n FROM hit GROUP BY 1, 2),
         b AS (SELECT qid, pos, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per)

@@ -62,6 +62,12 @@ def build(docs: DataFrame, model: LanguageModel, ontology: str = "") -> tuple[Gr
     return Graph(g.nodes, first_seen(g.edges, "src", "dst", "relation")), chunks, failed
 
 
+def hashed_id(*parts):
+    """A 60-bit id of a row's own values, for tables without a key of their own."""
+    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def graph_of_tables(t: dict[str, DataFrame]) -> Graph:
     """Orders, customers, parts and places as a graph: located_in, part_of, placed_by, contains, supplied_by and
     has_attribute edges. Edge ids are built from the rows' own keys, so that nothing has to be counted."""
@@ -89,15 +95,15 @@ def graph_of_tables(t: dict[str, DataFrame]) -> Graph:
     n = every[0]
     for x in every[1:]:
         n = n.unionByName(x)
-    edge = lambda df, kind, ident, src, dst, relation: df.select((F.lit(kind) * F.lit(10**14) + ident).cast("long").alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"))
-    line = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    edge = lambda df, kind, ident, src, dst, relation: df.select((F.lit(kind).cast("long") * F.lit(1 << 58) + ident).cast("long").alias("edge_id"), src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"))
+    line = lambda kind: hashed_id(F.lit(kind), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     edges = [
         edge(t["nation"], 1, F.col("n_nationkey"), key("nation", "n_nationkey"), key("region", "n_regionkey"), "part_of"),
         edge(t["customer"], 2, F.col("c_custkey"), key("customer", "c_custkey"), key("nation", "c_nationkey"), "located_in"),
         edge(t["supplier"], 3, F.col("s_suppkey"), key("supplier", "s_suppkey"), key("nation", "s_nationkey"), "located_in"),
         edge(t["orders"], 4, F.col("o_orderkey"), key("order", "o_orderkey"), key("customer", "o_custkey"), "placed_by"),
-        edge(t["lineitem"], 5, line, key("order", "l_orderkey"), key("part", "l_partkey"), "contains"),
-        edge(t["lineitem"], 6, line, key("part", "l_partkey"), key("supplier", "l_suppkey"), "supplied_by"),
+        edge(t["lineitem"], 0, line(5), key("order", "l_orderkey"), key("part", "l_partkey"), "contains"),
+        edge(t["lineitem"], 0, line(6), key("part", "l_partkey"), key("supplier", "l_suppkey"), "supplied_by"),
         edge(t["customer"], 7, F.col("c_custkey"), key("customer", "c_custkey"), key("segment", "c_mktsegment"), "has_attribute"),
         edge(t["part"], 8, F.col("p_partkey"), key("part", "p_partkey"), key("brand", "p_brand"), "represented_by"),
     ]

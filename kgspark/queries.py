@@ -47,7 +47,7 @@ def vector_queries(s: SparkSession, d: str) -> DataFrame:
 
 def supplies(s: SparkSession, d: str) -> DataFrame:
     """Edges supplier -supplies-> part, one for each line item."""
-    line = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    line = construct.hashed_id("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return table(s, d, "lineitem").select(line.alias("edge_id"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("supplies").alias("relation"), F.array(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string"))).alias("source_chunks"))
 
 
@@ -563,7 +563,7 @@ def ret18_inverted_index(s, d):
 
 @query
 def ret13_keyword_search(s, d):
-    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(text.tokens("text"), 1, 6).alias("keywords"))
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.array_sort(text.tokens("text")), 1, 6).alias("keywords"))
     index = retrieve.inverted_index(docs(s, d).select(F.col("doc_id").alias("node_id"), "text"))
     return retrieve.keyword_nodes(q, index).groupBy("qid").agg(F.count("*").alias("n"), F.sum("node_id").alias("ids"))
 
