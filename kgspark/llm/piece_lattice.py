@@ -21,6 +21,7 @@ import numpy as np
 SPACE_MARK = "▁"
 _UNITS = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}\n]*|\n|[^{SPACE_MARK}\n]+")
 _NEVER = float("-inf")
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 CACHE_UNITS, LONG_UNIT, _PAIR_BITS = 300_000, 200, 21
 
 
@@ -84,8 +85,31 @@ class Lattice:
             for k, c in enumerate(p):
                 h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & (2**64 - 1)
                 found[h] = i if k == len(p) - 1 else found.get(h, -1)
-        self.prefix = np.array(sorted(found), np.uint64)
-        self.prefix_id = np.array([found[int(h)] for h in self.prefix], np.int32)
+        keys = np.array(sorted(found), np.uint64)
+        self.prefix = np.append(keys, np.uint64(0))
+        self.prefix_id = np.array([found[int(h)] for h in keys], np.int32)
+        # an open-addressed table of their places, four times as large
+        self.shift = np.uint64(62 - len(keys).bit_length())
+        self.table = np.full((1 << (64 - int(self.shift))) + 64, len(keys), np.int32)
+        todo, at = np.arange(len(keys), dtype=np.int32), (keys * _SPREAD >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.table[at] == len(keys)
+            self.table[at[free]] = todo[free]
+            lost = self.table[at] != todo
+            todo, at = todo[lost], at[lost] + 1
+
+    def _prefixes(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the prefixes, or their number."""
+        none = len(self.prefix_id)
+        at = (h * _SPREAD >> self.shift).astype(np.int64)
+        found = self.table.take(at)
+        todo = np.flatnonzero((found != none) & (self.prefix.take(found) != h))
+        while len(todo):
+            at[todo] += 1
+            own = self.table.take(at[todo])
+            found[todo] = own
+            todo = todo[(own != none) & (self.prefix.take(own) != h[todo])]
+        return found
 
     def _matches(self, points: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
         """For each length, the piece that starts at each position, or -1. room: characters to the unit's end."""
@@ -95,8 +119,8 @@ class Lattice:
             inside = room[active] > k
             active, h = active[inside], h[inside]
             h = h * np.uint64(0x9E3779B97F4A7C15) + points[active + k] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.prefix, h), len(self.prefix) - 1)
-            ok = self.prefix.take(at) == h
+            at = self._prefixes(h)
+            ok = at < len(self.prefix_id)
             ids = np.full(len(points), self.unknown if k == 0 else -1, np.int32)
             ids[active[ok]] = self.prefix_id[at[ok]]
             if k == 0:
@@ -198,7 +222,7 @@ class Lattice:
 
     def learn(self, units: set[str]) -> None:
         """Solves the units that the cache doesn't hold."""
-        new = [u for u in units if u not in self.cache]
+        new = list(units.difference(self.cache))
         if len(self.cache) + len(new) > CACHE_UNITS:
             # short units come back most; the rest make room
             kept = {u: v for u, v in self.cache.items() if len(u) <= 8 or u in units}
@@ -215,7 +239,7 @@ class Lattice:
         """Ids of each text, as the library gives them."""
         units = [_UNITS.findall(marked(t)) if t else [] for t in texts]
         out: list[np.ndarray] = []
-        step = 256
+        step = 1024
         for i in range(0, len(units), step):
             part = units[i : i + step]
             self.learn(set().union(*part))

@@ -39,7 +39,7 @@ def _ids(parts: list[np.ndarray]) -> pa.ListArray:
 def _encoded(model: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(model)
-        for b in slices(batches, most=1 << 20):
+        for b in slices(batches, most=1 << 21):
             ids = pieces.encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), _ids(ids)], ["doc_id", "ids"])
 
