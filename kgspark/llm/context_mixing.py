@@ -121,7 +121,13 @@ class Code:
         return cls(hashes, counts, symbol, rank, huffman(weights), huffman(letters + 1))
 
     def __post_init__(self):
-        """An open-addressed table of the hot tokens' places."""
+        """An open-addressed table of the hot tokens' places, and the first three bits of each code word."""
+        start, _, path, _ = self.word
+        self.first = np.zeros(len(self.rank), np.int32)
+        for k in range(3):
+            long = start[1:] - start[:-1] > k
+            self.first[long] |= path[start[:-1][long] + k].astype(np.int32) << k
+        self.keys = np.append(self.hashes, np.uint64(0))
         self.shift = np.uint64(64 - max(4, 2 + len(self.hashes).bit_length()))
         self.table = np.full((1 << (64 - int(self.shift))) + 64, -1, np.int32)
         todo, at = np.arange(len(self.hashes), dtype=np.int32), (self.hashes >> self.shift).astype(np.int64)
@@ -135,13 +141,12 @@ class Code:
         """Where each token stands among the hot ones; their number if it is not there."""
         at = (h >> self.shift).astype(np.int64)
         found = self.table.take(at)
-        keys = np.append(self.hashes, np.uint64(0))
-        todo = np.flatnonzero((found >= 0) & (keys.take(found) != h))
+        todo = np.flatnonzero((found >= 0) & (self.keys.take(found) != h))
         while len(todo):
             at[todo] += 1
             own = self.table[at[todo]]
             found[todo] = own
-            todo = todo[(own >= 0) & (keys[own] != h[todo])]
+            todo = todo[(own >= 0) & (self.keys[own] != h[todo])]
         return np.where(found < 0, len(self.hashes), found)
 
 
@@ -185,15 +190,11 @@ def events(code: Code, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, n
     begins, count = np.repeat(off[:-1], np.diff(off)), len(s)
     start, _, path, _ = code.word
     # contexts of each token in one number: last frequent word, last very frequent word, the last word's code and hash
-    first = np.zeros(len(code.rank), np.int32)
-    for k in range(3):
-        long = start[1:] - start[:-1] > k
-        first[long] |= path[start[:-1][long] + k].astype(np.int32) << k
     rank = code.rank.take(s)
     word = (s != escape) & (which >= 0)
     many, few = (_latest(np.where(word & (rank < most - 1), rank + 1, 0), begins) for most in (FREQUENT, FEW))
     context = (many << 18 | few << 15).astype(np.int32)
-    context[1:] |= first[s[:-1]] << 12 | (h[:-1] >> np.uint64(52)).astype(np.int32)
+    context[1:] |= code.first.take(s[:-1]) << 12 | (h[:-1] >> np.uint64(52)).astype(np.int32)
     context[off[:-1]] &= ~((1 << 15) - 1)
 
     # where each token's bits go: its path, then, after an escape, its spelling
@@ -263,7 +264,7 @@ def _tokens_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             k = keys[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 100_000])], ["kind", "key", "n"])
 
-    for b in slices(batches, most=1 << 20):
+    for b in slices(batches, most=1 << 22):
         w, h, _, _ = tokens(b.column(0))
         letters[:256] += np.bincount(w.data, minlength=256)
         letters[256] += len(w.start)
