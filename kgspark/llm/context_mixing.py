@@ -48,7 +48,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: the last word. All others have one for each of the 7 most frequent words, and for 3 bits of the last word's code.
 BROAD, NEAR, FEW = 1 << 14, 1 << 8, 8
 LEVELS = 4
-GATES = 2 * LEVELS * LEVELS
+GATES = LEVELS * LEVELS
+CELLS = 33
 _SLICE = 1 << 18
 _BLOCK = 1 << 12
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -181,8 +182,12 @@ def sizes() -> list[int]:
     return [(1 << a) + (1 << b) for a, b in zip(WORD_BITS, SPELL_BITS)]
 
 
-def events(code: Code, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """All bits of the texts in order: slots of the three predictors, bit, whether it spells, and offsets of the texts."""
+#: One kind of bits of all texts of a slice: the slots of the three predictors, the bits, and offsets of the texts.
+Stream = tuple[list[np.ndarray], np.ndarray, np.ndarray]
+
+
+def events(code: Code, texts: pa.Array) -> tuple[Stream, Stream, tuple]:
+    """The word bits and the byte bits of the texts, each in order, and what the tokens are."""
     w, h, which, off = tokens(texts)
     place = code.places(h)
     s = code.symbol.take(place)
@@ -197,48 +202,31 @@ def events(code: Code, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, n
     context[1:] |= code.first.take(s[:-1]) << 12 | (h[:-1] >> np.uint64(52)).astype(np.int32)
     context[off[:-1]] &= ~((1 << 15) - 1)
 
-    # where each token's bits go: its path, then, after an escape, its spelling
-    rare = np.flatnonzero((s == escape) & (which >= 0))
-    own = which[rare]
-    size = w.length[own] + 1
-    whose = np.repeat(np.arange(len(rare), dtype=np.int32), size)
-    pos = np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size)
-    letter = np.full(len(whose), 256, np.int64)
-    inside = pos < w.length[own][whose]
-    letter[inside] = w.data[(w.start[own][whose] + pos)[inside]]
-    n_letter, below, spelled = _paths(code.byte, letter)
-    n_spell = np.bincount(whose, weights=n_letter, minlength=len(rare)).astype(np.int64)
-    n_path, node, bit_path = _paths(code.word, s)
-    n_all = n_path.copy()
-    n_all[rare] += n_spell
-    ends = np.cumsum(n_all)
-    total = int(ends[-1]) if count else 0
-
+    n_path, node, bits = _paths(code.word, s)
     ctx = np.repeat(context, n_path)
-    of = [
+    slots = [
         node,
         np.where(node < BROAD, node << 6 | ctx >> 18, (1 << WORD_BITS[1] - 1) + (node << 3 | ctx >> 15 & 7)),
         np.where(node < NEAR, node << 12 | ctx & 4095, (1 << WORD_BITS[2] - 1) + (node << 3 | ctx >> 12 & 7)),
     ]
-    bits, spells = bit_path, np.zeros(total, bool)
-    if len(rare):
-        to_spell = np.repeat((ends[rare] - np.cumsum(n_spell)).astype(np.int32), n_spell)
-        to_spell += np.arange(len(to_spell), dtype=np.int32)
-        spells[to_spell] = True
-        at = np.flatnonzero(~spells)
-        bits = np.empty(total, np.uint8)
-        bits[at], bits[to_spell] = bit_path, spelled
-        so_far = np.zeros(len(letter), np.uint64)
-        more = []
-        for k in range(5):
-            so_far[k + 1 :] += np.where(pos[k + 1 :] > k, letter[: len(letter) - k - 1] + 1, 0).astype(np.uint64) << np.uint64(10 * k)
-            if k in (1, 2, 4):
-                more.append(np.repeat(splitmix(so_far), n_letter))
-        for k in range(3):
-            slot = np.empty(total, np.int32)
-            slot[at], slot[to_spell] = of[k], _slot(below, more[k], k)
-            of[k] = slot
-    return of, bits, spells, np.r_[0, ends][off], (w, h, place, off)
+    words = slots, bits, np.r_[0, np.cumsum(n_path)][off]
+
+    # after each escape, the word's bytes and its end
+    rare = np.flatnonzero((s == escape) & (which >= 0))
+    own = which[rare]
+    size = w.length[own] + 1
+    ends = np.cumsum(size)
+    pos = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+    letter = w.data.take(np.minimum(np.repeat(w.start[own], size) + pos, max(0, len(w.data) - 1))).astype(np.int64) if len(rare) else pos
+    letter[ends - 1] = 256
+    n_letter, node, bits = _paths(code.byte, letter)
+    so_far, slots = np.zeros(len(letter), np.uint64), []
+    for k in range(5):
+        so_far[k + 1 :] += np.where(pos[k + 1 :] > k, letter[: len(letter) - k - 1] + 1, 0).astype(np.uint64) << np.uint64(10 * k)
+        if k in (1, 2, 4):
+            slots.append(_slot(node, np.repeat(splitmix(so_far), n_letter), len(slots)))
+    spelt = np.r_[0, np.cumsum(n_letter)][np.r_[0, ends]]
+    return words, (slots, bits, spelt[np.searchsorted(rare, off)]), (w, h, place, off)
 
 
 def _latest(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -288,13 +276,11 @@ def _bits_counted(shared) -> object:
         any_ = False
         for b in slices(batches, most=_SLICE):
             any_ = True
-            slots, bit, spells, _, _ = events(code, b.column(0))
-            for k, (table, slot) in enumerate(zip(seen, slots)):
-                if k == 0:  # what word bits do at a node follows from the code's own counts
-                    slot, bit_ = slot[spells], bit[spells]
-                else:
-                    bit_ = bit
-                np.add.at(table, (slot << 1) + bit_, np.uint32(1))
+            (slots, bits, _), (more, spelled, _), _ = events(code, b.column(0))
+            for k in range(3):
+                if k:  # what word bits do at a node alone follows from the code's own counts
+                    np.add.at(seen[k], (slots[k] << 1) + bits, np.uint32(1))
+                np.add.at(seen[k], (more[k] << 1) + spelled, np.uint32(1))
         if any_:
             for k, table in enumerate(seen):
                 for at in range(0, len(table), _BLOCK):
@@ -348,25 +334,33 @@ RATE, PULL, REFINE = np.float32(1.0), np.float32(20), np.float32(150)
 _FLOATS = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
 
 
-def looked_up(tables: list[np.ndarray], slots: list[np.ndarray], spells: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The predictors' logits, and the number of the weight set, of each bit."""
+def cost_of(tables: list[np.ndarray], stream: Stream, start: np.ndarray) -> np.ndarray:
+    """Bits that a stream costs in each text."""
+    slots, bits, off = stream
     found = [t.take(i) for t, i in zip(tables, slots)]
-    gate = (spells.view(np.uint8) << 4 | (found[1] & 3) << 2 | found[2] & 3).astype(np.int32)
-    return [_FLOATS.take(x) for x in found], gate
+    gate = ((found[1] & 3) << 2 | found[2] & 3).astype(np.int32)
+    return mixed([_FLOATS.take(x) for x in found], bits, gate, off, start)
+
+
+def _spans(a: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    if len(spans) == 1:
+        return a[spans[0][0] : spans[0][1]]
+    return np.concatenate([a[i:j] for i, j in spans])
 
 
-def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    """Bits each text costs, coded block by block in all texts at once; x are the predictors' logits."""
+def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Bits each text costs, coded block by block in all texts at once; x are the predictors' logits, gate says
+    which set of weights each bit uses, start has the weights of each set at first."""
     texts = len(off) - 1
-    weight = np.tile(START if start is None else start, (texts, 1, 1))
-    ones, all_ = np.zeros((texts, 66), np.float32), np.zeros((texts, 66), np.float32)
+    weight = np.tile(start, (texts, 1, 1))
+    ones, all_ = np.zeros((texts, CELLS), np.float32), np.zeros((texts, CELLS), np.float32)
     cost, at, end, size = np.zeros(texts), off[:-1].copy(), off[1:], 64
     while len(live := np.flatnonzero(at < end)):
         n = np.minimum(size, end[live] - at[live])
         row = np.repeat(np.arange(len(live)), n)
         head = np.cumsum(n) - n
-        idx = np.arange(len(row)) + np.repeat(at[live] - head, n)
-        own, g, said = [a.take(idx) for a in x], gate.take(idx), bit.take(idx)
+        spans = list(zip(at[live].tolist(), (at[live] + n).tolist()))
+        own, (g, said) = [_spans(a, spans) for a in x], [_spans(a, spans) for a in (gate, bit)]
         key = row * GATES + g
         mine = weight[live].reshape(-1, 3)
         logit = mine[:, 0].take(key) * own[0]
@@ -374,17 +368,20 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
             logit += mine[:, i].take(key) * own[i]
         np.clip(logit, -13, 13, out=logit)
         p = 1 / (1 + np.exp(-logit))
-        cell = row * 66 + ((g >= GATES // 2) * np.int32(33) + (logit + np.float32(16.5)).astype(np.int32))
-        q = (ones[live].take(cell) + REFINE * p) / (all_[live].take(cell) + REFINE)
+        cell = row * CELLS + (logit + np.float32(16.5)).astype(np.int32)
+        filled = 1 / (all_[live].ravel() + REFINE)
+        q = (REFINE * filled).take(cell)
+        q *= p
+        q += (ones[live].ravel() * filled).take(cell)
         np.clip(q, 1e-6, 1 - 1e-6, out=q)
-        cost[live] -= np.add.reduceat(np.log(np.where(said, q, 1 - q)), head, dtype=np.float64)
+        cost[live] -= np.add.reduceat(np.log(np.abs(q + (said - np.float32(1)))), head, dtype=np.float64)  # q, or 1 - q of a zero
         miss = said - p
         m = len(live) * GATES
         pull = RATE / (np.bincount(key, minlength=m) + PULL)
-        step = np.stack([np.bincount(key, weights=miss * a, minlength=m) * pull for a in own], 1)
+        step = np.stack([np.bincount(key, weights=np.multiply(miss, a, dtype=np.float64), minlength=m) * pull for a in own], 1)
         weight[live] = (mine + step).reshape(len(live), GATES, 3)
-        m = len(live) * 66
-        count = np.bincount(2 * cell + said, minlength=2 * m).reshape(-1, 66, 2)
+        m = len(live) * CELLS
+        count = np.bincount(2 * cell + said, minlength=2 * m).reshape(-1, CELLS, 2)
         all_[live] += count.sum(2)
         ones[live] += count[:, :, 1]
         at[live] += n
@@ -399,9 +396,9 @@ def _scored(shared) -> object:
         known[-1] = 0
         part, row = TaskContext.get().partitionId() << 33, 0
         for b in slices(batches, "text", _SLICE):
-            slots, bit, spells, off, (w, h, place, tok) = events(code, b.column(2))
-            x, gate = looked_up(tables, slots, spells)
-            cost = mixed(x, bit, gate, off)
+            words, spelled, (w, h, place, tok) = events(code, b.column(2))
+            cost = cost_of(tables, words, START[:GATES]) + cost_of(tables, spelled, START[GATES:])
+            del words, spelled
             text = np.repeat(np.arange(b.num_rows), np.diff(tok))
             rare = place == len(code.hashes)
             hot = np.bincount(text, weights=known[place], minlength=b.num_rows)

@@ -85,9 +85,9 @@ def test_lm_is_a_distribution():
     code = cm.Code.of(keys, counts, int(counts.sum()), np.ones(257, np.int64))
     tables = [np.zeros(n, np.uint16) for n in cm.sizes()]
     ends = pa.array(words)
-    slots, bit, spells, off, _ = cm.events(code, ends)
-    x, gate = cm.looked_up(tables, slots, spells)
-    assert (2.0 ** -cm.mixed(x, bit, gate, off)).sum() <= 1
+    words, spelled, _ = cm.events(code, ends)
+    cost = cm.cost_of(tables, words, cm.START[: cm.GATES]) + cm.cost_of(tables, spelled, cm.START[cm.GATES :])
+    assert (2.0**-cost).sum() <= 1
 
 
 def test_huffman_is_a_prefix_code():
