@@ -145,5 +145,7 @@ def pack(docs: DataFrame, length: int = 2048, end: int = 1, tokenizer: str | Non
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     groups = max(1, -(-docs.count() // GROUP_DOCS))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", "text")
-    rows = rows.repartition("g").sortWithinPartitions("g", F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    # a partition has 16 groups at most on average, whatever the session's own number of partitions
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 16))
+    rows = rows.repartition(parts, "g").sortWithinPartitions("g", F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
     return rows.mapInArrow(_pack(tokenizer, length, end, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
