@@ -291,3 +291,9 @@ def register(spark: SparkSession) -> None:
         "normalize_entity_name(s STRING) RETURNS STRING RETURN coalesce(translate(trim(regexp_replace(lower(s), '\\\\s+', ' ')), '.,!?:;\"\\'()[]{}', ''), '')",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {ddl}")
+
+
+def enhanced_query(q: Column | str, most: int = 5) -> Column:
+    """The question with up to `most` of its key terms appended."""
+    terms = F.slice(query_keywords(q), 1, most)
+    return F.when(F.size(terms) > 0, F.concat(_c(q), F.lit(" Key terms: "), F.concat_ws(", ", terms))).otherwise(_c(q))

@@ -61,3 +61,9 @@ def chart_links(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFra
 def sub_query_star(subs: DataFrame) -> DataFrame:
     """(source, target): each question with its sub-questions."""
     return subs.select(F.concat(F.lit("question_"), F.col("qid").cast("string")).alias("source"), F.concat_ws("_", F.lit("sub"), F.col("qid").cast("string"), F.col("pos").cast("string")).alias("target"))
+
+
+def before_after(profile: DataFrame) -> DataFrame:
+    """(total, merged, kept, kept_share) of a cluster profile."""
+    kept = F.col("candidates") - F.col("merged")
+    return profile.select(F.col("candidates").alias("total"), "merged", kept.alias("kept"), F.when(F.col("candidates") > 0, kept / F.col("candidates")).otherwise(0.0).alias("kept_share"))

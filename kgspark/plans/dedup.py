@@ -301,3 +301,20 @@ def workflow(graph: Graph, vectors: DataFrame, model: LanguageModel | None, stor
     part = Graph(g.nodes, g.edges.join(heads, F.col("src") == F.col("node_id"), "left_semi"))
     keep = semantic_triples(part, vectors, store("last"))
     return Graph(g.nodes, final_edges(g.edges, keep).drop("n_merged"))
+
+
+def preloaded_clusters(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """rows (grp, pos) with the cluster that a stored run (grp, pos, cluster) gave them; a group without one is a
+    single cluster, and an entry that its group's clusters leave out a cluster of its own after them."""
+    known = clusters.groupBy("grp").agg((F.max("cluster") + 1).alias("next"))
+    out = rows.join(clusters.select("grp", "pos", "cluster"), ["grp", "pos"], "left").join(known, "grp", "left")
+    w = Window.partitionBy("grp", F.col("cluster").isNull()).orderBy("pos")
+    alone = F.col("next") + F.row_number().over(w) - 1
+    return out.withColumn("cluster", F.when(F.col("next").isNull(), F.lit(0)).otherwise(F.coalesce("cluster", alone)).cast("int")).drop("next")
+
+
+def chunk_context(nodes: DataFrame, chunks: DataFrame, chars: int = 500) -> DataFrame:
+    """(node_id, context): the first characters of each node's first chunk that there is."""
+    ids = nodes.select("node_id", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
+    found = ids.join(chunks.select("chunk_id", F.substring("text", 1, chars).alias("t")), "chunk_id")
+    return found.groupBy("node_id").agg(F.min_by("t", "pos").alias("context"))

@@ -178,3 +178,24 @@ def test_stream_counts(spark, tmp_path):
     q = distinct_triples(stream).writeStream.format("memory").queryName("distinct_triples").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("distinct_triples").count() == 2
+
+
+def test_preloaded_clusters(spark):
+    rows = spark.createDataFrame([("g", 0), ("g", 1), ("g", 2), ("h", 0), ("h", 1)], "grp string, pos long")
+    stored = spark.createDataFrame([("g", 0, 0), ("g", 1, 1)], "grp string, pos long, cluster int")
+    got = {(r["grp"], r["pos"]): r["cluster"] for r in dedup.preloaded_clusters(rows, stored).collect()}
+    assert got == {("g", 0): 0, ("g", 1): 1, ("g", 2): 2, ("h", 0): 0, ("h", 1): 0}
+
+
+def test_chunk_context_and_profile(spark):
+    from kgspark.functions.text import enhanced_query
+    from kgspark.plans import analytics
+
+    n = spark.createDataFrame([("a", ["x", "k"])], "node_id string, chunk_ids array<string>")
+    chunks = spark.createDataFrame([("k", "long text")], "chunk_id string, text string")
+    assert [tuple(r) for r in dedup.chunk_context(n, chunks, 4).collect()] == [("a", "long")]
+    sizes = spark.createDataFrame([(1, 3), (2, 1)], "cluster_id int, size int")
+    r = analytics.before_after(analytics.cluster_profile(sizes)).first()
+    assert (r["total"], r["merged"], r["kept"], r["kept_share"]) == (4, 2, 2, 0.5)
+    q = spark.createDataFrame([("Where is the big tower?",)], "q string").select(enhanced_query("q").alias("e")).first()["e"]
+    assert q == "Where is the big tower? Key terms: big, tower"
