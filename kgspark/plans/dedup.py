@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +90,8 @@ def exact_heads(nodes: DataFrame) -> DataFrame:
 def similar_pairs(vectors: DataFrame, threshold: float = 0.75, most: int | None = None, bits: int = 0, tables: int = 16) -> DataFrame:
     """(a, b, sim), a < b, of rows (node_id, vec) with cosine at least threshold, best first, `most` at most.
 
-    bits = 0 compares in blocks: rows are dealt into blocks and each pair of blocks is one group of a join on the
-    pair's key, so no task holds more than two blocks. With bits, only pairs that share the signs of `bits` random
+    bits = 0 compares in blocks: rows are dealt into blocks and each pair of blocks is one group, which
+    gives only its close pairs, so no task holds more than two blocks. With bits, only pairs that share the signs of `bits` random
     projections in one of `tables` tables are compared.
     """
     rows = vectors.select("node_id", F.col("vec").cast("array<double>").alias("vec"))
@@ -105,9 +107,24 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.75, most: int | None
         blocks = max(1, -(-rows.count() // 512))
         dealt = rows.withColumn("blk", F.pmod(F.xxhash64("node_id"), F.lit(blocks)))
         every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-        left = dealt.select(F.col("node_id").alias("a"), F.col("vec").alias("va"), F.col("blk").alias("i"), F.explode(every).alias("j"))
-        right = dealt.select(F.col("node_id").alias("b"), F.col("vec").alias("vb"), F.explode(every).alias("i"), F.col("blk").alias("j"))
-        pairs = left.join(right, ["i", "j"]).where("a < b").select("a", "b", cosine("va", "vb").alias("sim"))
+        left = dealt.select(F.col("blk").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node_id", "vec")
+        right = dealt.select(F.explode(every).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "node_id", "vec")
+
+        def close(g: pd.DataFrame) -> pd.DataFrame:
+            """The pairs of two blocks that are close enough, by one matrix product."""
+            a, b = g[g["side"] == 0], g[g["side"] == 1]
+            if a.empty or b.empty:
+                return pd.DataFrame({"a": [], "b": [], "sim": []})
+            unit = [np.array(x["vec"].tolist(), float) for x in (a, b)]
+            size = [np.linalg.norm(x, axis=1, keepdims=True) for x in unit]
+            unit = [np.divide(x, n, out=np.zeros_like(x), where=n > 0) for x, n in zip(unit, size)]
+            sim = unit[0] @ unit[1].T
+            x, y = np.nonzero(sim >= threshold)
+            out = pd.DataFrame({"a": a["node_id"].to_numpy()[x], "b": b["node_id"].to_numpy()[y], "sim": sim[x, y]})
+            return out[out["a"] < out["b"]]
+
+        kind = rows.schema["node_id"].dataType.simpleString()
+        pairs = left.union(right).groupBy("i", "j").applyInPandas(close, f"a {kind}, b {kind}, sim double")
     pairs = pairs.where(F.col("sim") >= threshold)
     return pairs.orderBy(F.desc("sim"), "a", "b").limit(most) if most else pairs
 
