@@ -31,50 +31,67 @@ def kmeans(vectors: DataFrame, seed: int = 42) -> DataFrame:
     return model.transform(rows).select("node_id", F.col("prediction").alias("cluster"))
 
 
-def average_link(vectors: np.ndarray, threshold: float) -> list[int]:
+def average_link(vectors: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> list[int]:
     """Labels of average-link clusters on cosine distance, merged while closer than 1 - threshold; numbered by
-    first member."""
+    first member. weights says how many equal vectors each row stands for.
+
+    The mean distance of two clusters is 1 - the product of their mean unit vectors, so memory grows with the
+    number of vectors, not with its square; each cluster keeps its nearest later one.
+    """
     n = len(vectors)
     if n <= 1:
         return [0] * n
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = np.divide(vectors, length, out=np.zeros_like(vectors, dtype=float), where=length > 0)
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    mean = np.divide(vectors, length, out=np.zeros_like(vectors, dtype=float), where=length > 0)
+    size = np.ones(n) if weights is None else np.array(weights, float)
+    live, parent = np.ones(n, bool), np.arange(n)
+    near, far = np.zeros(n, int), np.full(n, np.inf)
+
+    def search(rows: np.ndarray) -> None:
+        """The nearest live cluster after each of the rows, which are sorted."""
+        for at in range(0, len(rows), 256):
+            own = rows[at : at + 256]
+            first = own[0]
+            d = 1 - mean[own] @ mean[first:].T
+            d[:, ~live[first:]] = np.inf
+            d[np.arange(first, n)[None] <= own[:, None]] = np.inf
+            near[own] = d.argmin(1)
+            far[own] = d[np.arange(len(own)), near[own]]
+            near[own] += first
+
+    search(np.arange(n))
     while True:
-        i, j = divmod(int(d.argmin()), n)
-        if not d[i, j] < 1 - threshold:
+        i = int(far.argmin())
+        if not far[i] < 1 - threshold:
             break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        j = int(near[i])
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
         size[i] += size[j]
-        label[label == j] = i
+        live[j], far[j], parent[j] = False, np.inf, i
+        search(np.flatnonzero(live & ((near == i) | (near == j) | (np.arange(n) == i))))
+        d = 1 - mean[:i] @ mean[i]
+        closer = live[:i] & ((d < far[:i]) | ((d == far[:i]) & (i < near[:i])))
+        near[:i][closer], far[:i][closer] = i, d[closer]
+    for k in range(n):  # a cluster's number is its first member's, which stands before it
+        parent[k] = parent[parent[k]]
     number: dict[int, int] = {}
-    return [number.setdefault(int(x), len(number)) for x in label]
+    return [number.setdefault(int(x), len(number)) for x in parent]
 
 
-def average_link_groups(rows: DataFrame, threshold: float, most: int = 2000) -> DataFrame:
-    """(grp, pos, cluster) of rows (grp, pos, vec). A group of more than `most` entries is split first by a hash of
-    its vectors' signs, so that no task holds an unbounded group; its parts are clustered apart."""
-    size = rows.groupBy("grp").agg(F.ceil(F.count("*") / most).alias("parts"))
-    signs = F.xxhash64(F.transform(F.slice("vec", 1, 16), lambda x: x >= 0))
-    split = rows.join(size, "grp").withColumn("part", F.when(F.col("parts") > 1, F.pmod(signs, F.lit(1 << 16))).otherwise(0).cast("long"))
-    again = split.groupBy("grp", "part").agg(F.ceil(F.count("*") / most).alias("more"))
-    split = split.join(again, ["grp", "part"]).withColumn("sub", F.pmod(F.xxhash64("pos"), F.col("more")))
+def average_link_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """(grp, pos, cluster) of rows (grp, pos, vec). Equal vectors of a group are first counted together; one task
+    clusters the distinct ones of a group, whatever their number, exactly as average_link says."""
+    same = rows.groupBy("grp", "vec").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        own = average_link(np.array(g["vec"].tolist(), float), threshold)
-        return pd.DataFrame({"grp": g["grp"], "pos": g["pos"], "part": g["part"], "sub": g["sub"], "own": own})
-
-    kind = rows.schema["grp"].dataType.simpleString()
-    out = split.groupBy("grp", "part", "sub").applyInPandas(run, f"grp {kind}, pos long, part long, sub long, own int")
-    first = out.groupBy("grp", "part", "sub", "own").agg(F.min("pos").alias("first"))
-    number = first.withColumn("cluster", F.row_number().over(Window.partitionBy("grp").orderBy("first")) - 1)
-    return out.join(number, ["grp", "part", "sub", "own"]).select("grp", "pos", "cluster")
+        g = g.sort_values("first")
+        own = average_link(np.array(g["vec"].tolist(), float), threshold, g["n"].to_numpy())
+        return pd.DataFrame({"grp": g["grp"], "first": g["first"], "cluster": own})
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("grp", "pos")}
+    found = same.groupBy("grp").applyInPandas(run, f"grp {kind['grp']}, first {kind['pos']}, cluster int")
+    keyed = rows.join(same.select("grp", "vec", "first"), ["grp", "vec"])
+    return keyed.join(found, ["grp", "first"]).select("grp", "pos", "cluster")
 
 
 def fused(edges: DataFrame, centres: DataFrame, weight: float = 0.3) -> DataFrame:

@@ -133,6 +133,38 @@ def test_average_link():
     assert communities.average_link(v[:1], 0.9) == [0]
 
 
+def test_average_link_of_a_large_group(spark):
+    """Opposite signs in 16 small components, and equal vectors, among more than 2000 entries of one group."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vec = np.concatenate([rng.normal(0, 0.01, (2400, 16)), np.repeat(np.eye(3), 800, 0)], 1)
+    vec[::2] = np.r_[np.zeros(16), 1, 0, 0]
+    rows = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(vec)], "grp int, pos long, vec array<double>")
+    got = {r["pos"]: r["cluster"] for r in communities.average_link_groups(rows, 0.5).collect()}
+    assert got == {i: 0 if i % 2 == 0 else i // 800 for i in range(2400)}
+
+
+def test_average_link_against_all_distances():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    vec = np.repeat(rng.normal(size=(60, 4)), rng.integers(1, 4, 60), 0)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    d, groups = 1 - unit @ unit.T, [[i] for i in range(len(vec))]
+    while len(groups) > 1:
+        best = min((d[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if best[0] >= 0.6:
+            break
+        groups[best[1]] += groups.pop(best[2])
+    got = communities.average_link(vec, 0.4)
+    first, n = np.unique(vec, axis=0, return_index=True)[1], np.unique(vec, axis=0, return_counts=True)[1]
+    order = np.argsort(first)
+    weighted = communities.average_link(vec[first[order]], 0.4, n[order])
+    assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(np.array(got) == c).tolist()) for c in set(got)}
+    assert weighted == [got[i] for i in first[order]]
+
+
 def test_greedy_pairs():
     assert communities.greedy_pairs([(0.9, 0, 1), (0.8, 1, 2), (0.6, 2, 3), (0.4, 4, 5)], dict.fromkeys(range(6), 1)) == [(0, 1), (2, 3)]
 
