@@ -506,7 +506,8 @@ def ded1_semantic_tails(s, d):
     names = part_entities(s, d).select("node_id", "name")
     vec = HashingEmbedder(64).embed(names.select("name").distinct(), "name", "name")
     own = names.join(vec, "name").select("node_id", "vec")
-    g = Graph(part_entities(s, d), tables_graph(s, d).edges.where("relation = 'represented_by'").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("brand_of").alias("relation"), "source_chunks"))
+    brands = tables_graph(s, d).edges.where("relation = 'represented_by'").select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("brand_of").alias("relation"), "source_chunks")
+    g = Graph(part_entities(s, d), brands.unionByName(supplies(s, d)))
     keep = dedup.semantic_triples(g, own, shared_store(s))
     return dedup.final_edges(g.edges, keep).groupBy("src").agg(F.count("*").alias("n"), F.sum("n_merged").alias("merged"))
 
@@ -588,10 +589,9 @@ def ret1_batch_retrieval(s, d):
 
 @query
 def ret8_text_retrieval(s, d):
-    """Both retrieval paths for the benchmark's questions over a graph of places and customers."""
+    """Both retrieval paths for the benchmark's questions over the whole graph of the tables."""
     g = tables_graph(s, d)
-    nodes = g.nodes.where("schema_type in ('nation', 'region', 'supplier') or label = 'attribute'").withColumn("chunk_ids", F.array("name"))
-    edges = g.edges.where("relation in ('part_of')").unionByName(g.edges.where("relation = 'located_in' and src like 'supplier%'"))
+    nodes, edges = g.nodes.withColumn("chunk_ids", F.array("name")), g.edges
     store, e = shared_store(s), HashingEmbedder(64)
     named = relational.with_ends(edges, nodes, "name")
     vectors = {
@@ -600,7 +600,7 @@ def ret8_text_retrieval(s, d):
         "triple": store(e.embed(named.withColumn("t", F.concat_ws(",", "src_name", "relation", "dst_name")), "edge_id", "t"), "triple"),
         "chunk": store(e.embed(nodes.select(F.col("name").alias("chunk_id")).distinct().withColumn("t", F.col("chunk_id")), "chunk_id", "t"), "chunk"),
     }
-    q = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("qid"), F.concat(F.lit("where is "), "n_name").alias("question"))
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     q = store(q.join(e.embed(q, "qid", "question").withColumnRenamed("vec", "qvec"), "qid"), "q")
     out = retrieve.retrieve(q, nodes, edges, nodes.select(F.col("name").alias("chunk_id"), F.col("name").alias("text")).distinct(), vectors, store)
     t = out["triples"].groupBy("qid").agg(F.count("*").alias("n_triples"))

@@ -35,6 +35,17 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_tails_of_suppliers_and_brands(spark, duck):
+    got = {r["src"] for r in QUERIES["ded1_semantic_tails"](spark, FOLDER).collect()}
+    want = duck.execute("SELECT DISTINCT 'supplier_' || l_suppkey FROM lineitem UNION SELECT DISTINCT 'brand_' || p_brand FROM part").fetchall()
+    assert got == {r[0] for r in want}
+
+
+def test_retrieval_answers_every_benchmark_question(spark, duck):
+    got = {r["qid"] for r in QUERIES["ret8_text_retrieval"](spark, FOLDER).collect()}
+    assert got == {r[0] for r in duck.execute("SELECT item_id FROM benchmark").fetchall()}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
