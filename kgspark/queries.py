@@ -139,6 +139,13 @@ def join3_missing_content(s, d):
     return relational.chunk_texts(ids, chunks, keep_missing=True)
 
 
+@query
+def join3_missing_content_whole(s, d):
+    """join3 over documents of all languages and their whole texts."""
+    chunks = docs(s, d).select(F.col("doc_id").alias("chunk_id"), "text")
+    return relational.chunk_texts(table(s, d, "labels").select(F.col("doc_id").alias("chunk_id")), chunks, keep_missing=True)
+
+
 @query
 def join4_relation_match(s, d):
     g = tables_graph(s, d)
@@ -262,6 +269,13 @@ def agg20_contexts(s, d):
     return relational.contexts(items, chunks, most=10, chars=12)
 
 
+@query
+def agg20_contexts_whole(s, d):
+    """agg20 over all documents and their whole texts, cut at the operator's own limits alone."""
+    items = table(s, d, "conversations").groupBy(F.col("conv_id").alias("item")).agg(F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string")).alias("chunk_ids"))
+    return relational.contexts(items, docs(s, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text"))
+
+
 @query
 def win1_first_seen(s, d):
     return relational.first_seen(supplies(s, d), "src", "dst", "relation").select("edge_id", "src", "dst")
@@ -301,9 +315,8 @@ def win7_best_rep(s, d):
     return dedup.best_representatives(dedup.exact_heads(parts), parts, supplies(s, d))
 
 
-@query
-def top1_keyword_rerank(s, d):
-    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+def keyword_reranked(s, d, q: DataFrame) -> DataFrame:
+    """(qid, pos, score, rank): for each question (qid, question) the five documents with most of its words."""
     words = q.select("qid", F.explode(text.question_words("question")).alias("w"))
     low = docs(s, d).select(F.col("doc_id").alias("pos"), F.lower("text").alias("low"))
     distinct = words.select("w").distinct()  # each word meets each text once, whatever the number of questions
@@ -312,6 +325,17 @@ def top1_keyword_rerank(s, d):
     return relational.best_per(score, "qid", [F.desc("score"), F.col("pos")], 5).select("qid", "pos", "score", "rank")
 
 
+@query
+def top1_keyword_rerank(s, d):
+    return keyword_reranked(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question")))
+
+
+@query
+def top1_keyword_rerank_whole(s, d):
+    """top1 with all words of each question."""
+    return keyword_reranked(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))
+
+
 @query
 def set1_distinct_triples(s, d):
     return tables_graph(s, d).edges.select("src", "relation", "dst").distinct().groupBy("relation").agg(F.count("*").alias("n"))
@@ -562,13 +586,23 @@ def ret18_inverted_index(s, d):
     return index.groupBy("word").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
 
 
-@query
-def ret13_keyword_search(s, d):
-    q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.array_sort(text.tokens("text")), 1, 6).alias("keywords"))
+def keyword_found(s, d, q: DataFrame) -> DataFrame:
+    """(qid, n, ids): how many documents the keywords (qid, keywords) find, and the sum of their ids."""
     index = retrieve.inverted_index(docs(s, d).select(F.col("doc_id").alias("node_id"), "text"))
     return retrieve.keyword_nodes(q, index).groupBy("qid").agg(F.count("*").alias("n"), F.sum("node_id").alias("ids"))
 
 
+@query
+def ret13_keyword_search(s, d):
+    return keyword_found(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.array_sort(text.tokens("text")), 1, 6).alias("keywords")))
+
+
+@query
+def ret13_keyword_search_whole(s, d):
+    """ret13 with all words of each question."""
+    return keyword_found(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_sort(text.tokens("text")).alias("keywords")))
+
+
 @query
 def ret12_community_path(s, d):
     v = unit_vectors(s, d)

@@ -46,6 +46,28 @@ def test_retrieval_answers_every_benchmark_question(spark, duck):
     assert got == {r[0] for r in duck.execute("SELECT item_id FROM benchmark").fetchall()}
 
 
+def test_whole_texts(spark, duck, tmp_path):
+    """A missing document, and one of another language with a long text."""
+    long = "mot " * 2000
+    spark.createDataFrame([(0, long, "fr", "web"), (1, "short", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0,), (1,), (7,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(5, 0), (5, 1), (5, 7)], "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["chunk_id"]: r["text"] for r in QUERIES["join3_missing_content_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: long, 1: "short", 7: "[Missing content for chunk 7]"}
+    lines = QUERIES["agg20_contexts_whole"](spark, str(tmp_path)).collect()[0]["context"].split("\n")
+    assert lines == ["- " + long[:5000] + "…", "- short", "- [Missing content for chunk 7]"]
+
+
+def test_whole_questions(spark, tmp_path):
+    """The words that tell the documents apart stand after the eighth word, and after the sixth in order."""
+    spark.createDataFrame([(0, "aaa bbb"), (1, "zulu yankee xray")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    question = "aaa bbb ccc ddd eee fff ggg hhh zulu yankee xray"
+    spark.createDataFrame([(3, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    top = QUERIES["top1_keyword_rerank_whole"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r["pos"], r["score"]) for r in top] == [(1, 3), (0, 2)]
+    assert [tuple(r) for r in QUERIES["ret13_keyword_search_whole"](spark, str(tmp_path)).collect()] == [(3, 2, 1)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
