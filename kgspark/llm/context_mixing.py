@@ -10,8 +10,9 @@ bit is predicted by three hashed contexts:
 
 A predictor is a table of how often each of its slots saw a one and a zero in all learned texts. The tables
 are counted in one pass over the corpus (each task adds up its own, then blocks of slots are summed over
-tasks), have a fixed size and are all that scoring needs. Scoring starts each text with the same weights and
-learns while it codes: predictions are combined as logits by the set of weights that is selected by the kind
+tasks), have a fixed size and are all that scoring needs. They are counted for two halves of the texts apart; the
+weights that every text starts with are fitted on all learned texts, each by the tables of the half that it is not
+in. Scoring learns while it codes: predictions are combined as logits by the set of weights that is selected by the kind
 of bit and by how often the two longer contexts were seen; each coded block moves the weights by its errors;
 and a map from combined prediction to observed frequency, filled as the text goes, refines the result. A
 bit's probability depends on nothing that follows it.
@@ -32,11 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import Words, pick, shared_dir, slices, splitmix, stored
+from kgspark.llm.common import Words, discard, pick, shared_dir, slices, splitmix, stored
 
 #: Tokens whose counts travel with the tables; those with a code word of their own, seen CODED_LEAST times or more.
 HOT, CODED, CODED_LEAST, FREQUENT = 1 << 18, 1 << 18, 2, 64
@@ -222,7 +224,7 @@ def events(code: Code, texts: pa.Array) -> tuple[Stream, Stream, tuple]:
     n_letter, node, bits = _paths(code.byte, letter)
     so_far, slots = np.zeros(len(letter), np.uint64), []
     for k in range(5):
-        so_far[k + 1 :] += np.where(pos[k + 1 :] > k, letter[: len(letter) - k - 1] + 1, 0).astype(np.uint64) << np.uint64(10 * k)
+        so_far[k + 1 :] += np.where(pos[k + 1 :] > k, letter[: max(0, len(letter) - k - 1)] + 1, 0).astype(np.uint64) << np.uint64(10 * k)
         if k in (1, 2, 4):
             slots.append(_slot(node, np.repeat(splitmix(so_far), n_letter), len(slots)))
     spelt = np.r_[0, np.cumsum(n_letter)][np.r_[0, ends]]
@@ -267,27 +269,31 @@ def _tokens_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from rows(1, np.arange(257, dtype=np.uint64), letters)
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of texts of rows (text, half), each of one half."""
+    for b in batches:
+        for half in (0, 1):
+            for part in slices([b.filter(pc.equal(b.column(1), half))], most=_SLICE):
+                yield half, part.column(0)
+
+
 def _bits_counted(shared) -> object:
-    """(table, block, planes): how often each slot of a block saw a zero and a one, as byte planes of uint32."""
+    """(kind, half, block, planes): how often each slot of a block saw a zero and a one, as byte planes of uint32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        seen = [np.zeros(2 * n, np.uint32) for n in sizes()]
-        any_ = False
-        for b in slices(batches, most=_SLICE):
-            any_ = True
-            (slots, bits, _), (more, spelled, _), _ = events(code, b.column(0))
-            for k in range(3):
-                if k:  # what word bits do at a node alone follows from the code's own counts
-                    np.add.at(seen[k], (slots[k] << 1) + bits, np.uint32(1))
-                np.add.at(seen[k], (more[k] << 1) + spelled, np.uint32(1))
-        if any_:
-            for k, table in enumerate(seen):
+        seen = [[np.zeros(2 * n, np.uint32) for n in sizes()] for _ in range(2)]
+        for half, texts in _halves(batches):
+            for slots, bits, _ in events(code, texts)[:2]:
+                for k in range(3):
+                    np.add.at(seen[half][k], (slots[k] << 1) + bits, np.uint32(1))
+        for half in (0, 1):
+            for k, table in enumerate(seen[half]):
                 for at in range(0, len(table), _BLOCK):
                     part = table[at : at + _BLOCK]
                     if part.any():
                         planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at // _BLOCK], pa.int32()), pa.array([planes], pa.binary())], ["kind", "block", "planes"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([half], pa.int32()), pa.array([at // _BLOCK], pa.int32()), pa.array([planes], pa.binary())], ["kind", "half", "block", "planes"])
 
     return run
 
@@ -302,21 +308,21 @@ def logits(counts: np.ndarray) -> np.ndarray:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the planes of each block over tasks and turns them into logits and levels."""
-    total: dict[tuple[int, int], np.ndarray] = {}
+    """Sums the planes of each block over tasks and turns them into logits and levels, for each half and (as half 2) both."""
+    total: dict[tuple[int, int], list[np.ndarray]] = {}
     for b in batches:
-        for kind, block, planes in zip(*(c.to_pylist() for c in b.columns)):
+        for kind, half, block, planes in zip(*(c.to_pylist() for c in b.columns)):
             part = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            if (kind, block) in total:
-                total[kind, block] += part
-            else:
-                total[kind, block] = part.astype(np.uint64)
+            if (kind, block) not in total:
+                total[kind, block] = [np.zeros(len(part), np.uint64) for _ in range(2)]
+            total[kind, block][half] += part
     for (kind, block), n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([logits(n).tobytes()], pa.binary())], ["kind", "block", "logits"])
+        found = [logits(x).tobytes() for x in (*n, n[0] + n[1])]
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * 3, pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array([block] * 3, pa.int32()), pa.array(found, pa.binary())], ["kind", "half", "block", "logits"])
 
 
-#: Weights of the three predictors that every text starts with: for word bits (upper half) and byte bits, by the
-#: level of the second context (lines) and of the third (columns). Fixed values, fitted once on held-back texts.
+#: Weights of the three predictors from which fitting sets out: for word bits (upper half) and byte bits, by the
+#: level of the second context (lines) and of the third (columns).
 START = np.array([
     (0.4, 0.3, 0.2), (0.4, 0.3, 0.2), (0.4, 0.3, 0.2), (0.4, 0.3, 0.3),
     (0.4, 1.2, 0.2), (0.4, 1.1, 0.2), (0.4, 0.6, 0.2), (0.4, 0.5, 0.3),
@@ -334,12 +340,54 @@ RATE, PULL, REFINE = np.float32(1.0), np.float32(20), np.float32(150)
 _FLOATS = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
 
 
+def looked_up(tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The predictors' logits of each bit, and its set of weights."""
+    found = [t.take(i) for t, i in zip(tables, slots)]
+    return [_FLOATS.take(x) for x in found], ((found[1] & 3) << 2 | found[2] & 3).astype(np.int32)
+
+
 def cost_of(tables: list[np.ndarray], stream: Stream, start: np.ndarray) -> np.ndarray:
     """Bits that a stream costs in each text."""
     slots, bits, off = stream
-    found = [t.take(i) for t, i in zip(tables, slots)]
-    gate = ((found[1] & 3) << 2 | found[2] & 3).astype(np.int32)
-    return mixed([_FLOATS.take(x) for x in found], bits, gate, off, start)
+    x, gate = looked_up(tables, slots)
+    return mixed(x, bits, gate, off, start)
+
+
+def slopes(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each set of weights the slope of its bits' log likelihood (3 numbers) and the curvature (9), in a row."""
+    logit = sum(start[:, i].take(gate) * x[i] for i in range(3))
+    p = 1 / (1 + np.exp(-np.clip(logit, -13, 13)))
+    miss, bend = bit - p, p * (1 - p)
+    add = lambda a: np.bincount(gate, weights=a, minlength=GATES)
+    out = np.zeros((GATES, 12))
+    for i in range(3):
+        out[:, i] = add(miss * x[i])
+        own = bend * x[i]
+        for j in range(i, 3):
+            out[:, 3 + 3 * i + j] = out[:, 3 + 3 * j + i] = add(own * x[j])
+    return out
+
+
+def _slopes_of(shared) -> object:
+    """One row: the sums of slopes over a task's texts, each seen by the tables of the half that it is not in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, tables = shared.value
+        total = np.zeros((2 * GATES, 12))
+        for half, texts in _halves(batches):
+            for k, (slots, bits, _) in enumerate(events(code, texts)[:2]):
+                own = slice(k * GATES, (k + 1) * GATES)
+                x, gate = looked_up(tables[1 - half], slots)
+                total[own] += slopes(x, bits, gate, START[own])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    return run
+
+
+def fitted(sums: np.ndarray) -> np.ndarray:
+    """The weights after one Newton step from START, held near it by PULL where there are few bits."""
+    slope, bend = sums[:, :3], sums[:, 3:].reshape(-1, 3, 3) + PULL * np.eye(3)
+    return (START + np.linalg.solve(bend, slope[:, :, None])[:, :, 0]).astype(np.float32)
 
 
 def _spans(a: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -354,7 +402,7 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
     texts = len(off) - 1
     weight = np.tile(start, (texts, 1, 1))
     ones, all_ = np.zeros((texts, CELLS), np.float32), np.zeros((texts, CELLS), np.float32)
-    cost, at, end, size = np.zeros(texts), off[:-1].copy(), off[1:], 64
+    cost, at, end, size, done = np.zeros(texts), off[:-1].copy(), off[1:], 32, 0
     while len(live := np.flatnonzero(at < end)):
         n = np.minimum(size, end[live] - at[live])
         row = np.repeat(np.arange(len(live)), n)
@@ -385,19 +433,20 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
         all_[live] += count.sum(2)
         ones[live] += count[:, :, 1]
         at[live] += n
-        size = min(2 * size, 1 << 14)
+        done += size
+        size = min(max(32, done // 8), 1 << 14)
     return cost / np.log(2)
 
 
 def _scored(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables = shared.value
+        code, tables, start = shared.value
         known = np.log10(np.r_[code.counts, 0] + 0.1)
         known[-1] = 0
         part, row = TaskContext.get().partitionId() << 33, 0
         for b in slices(batches, "text", _SLICE):
             words, spelled, (w, h, place, tok) = events(code, b.column(2))
-            cost = cost_of(tables, words, START[:GATES]) + cost_of(tables, spelled, START[GATES:])
+            cost = cost_of(tables, words, start[:GATES]) + cost_of(tables, spelled, start[GATES:])
             del words, spelled
             text = np.repeat(np.arange(b.num_rows), np.diff(tok))
             rare = place == len(code.hashes)
@@ -419,8 +468,8 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
     rows = pick(docs, "doc_id", "text").select("doc_id", held_out.alias("held_out"), "text")
-    learned = rows.where("not held_out").select("text")
-    counted = learned.mapInArrow(_tokens_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    learned = rows.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int").alias("half"))
+    counted = learned.select("text").mapInArrow(_tokens_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = stored(counted, f"{path}/tokens")
     vocabulary = counted.where("kind = 0").select("key", "n")
     letters = np.zeros(257, np.int64)
@@ -439,14 +488,21 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     code = Code.of(hot.column(0).to_numpy().view(np.uint64), hot.column(1).to_numpy(), total, letters)
 
     shared = spark.sparkContext.broadcast(code)  # of bounded size: HOT tokens and their codes
-    planes = learned.mapInArrow(_bits_counted(shared), "kind int, block int, planes binary")
-    tables = [np.zeros(n, np.uint16) for n in sizes()]
-    summed = planes.repartition("kind", "block").mapInArrow(_summed, "kind int, block int, logits binary")
+    planes = learned.mapInArrow(_bits_counted(shared), "kind int, half int, block int, planes binary")
+    tables = [[np.zeros(n, np.uint16) for n in sizes()] for _ in range(3)]
+    summed = planes.repartition("kind", "block").mapInArrow(_summed, "kind int, half int, block int, logits binary")
     for r in summed.toLocalIterator():
         part, at = np.frombuffer(r["logits"], np.uint16), r["block"] * _BLOCK // 2
-        tables[r["kind"]][at : at + len(part)] = part
-    tables[0][: len(code.word[3]) // 2] = logits(code.word[3])
-    shared = spark.sparkContext.broadcast((code, tables))  # of fixed size: the sum of sizes(), two bytes each
+        tables[r["half"]][r["kind"]][at : at + len(part)] = part
+    both = tables.pop()
+    del planes, summed
+    discard(spark)
+    shared = spark.sparkContext.broadcast((code, tables))  # of fixed size, as below, but for each half
+    sums = [r["sums"] for r in learned.mapInArrow(_slopes_of(shared), "sums array<double>").collect()]  # 384 numbers a task
+    start = fitted(np.sum(sums, axis=0).reshape(2 * GATES, 12) if sums else np.zeros((2 * GATES, 12)))
+    del tables
+    shared.unpersist()
+    shared = spark.sparkContext.broadcast((code, both, start))  # of fixed size: the sum of sizes(), two bytes each
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(_scored(shared), f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, hot double, score double, n_bytes long, rare array<long>")
     scored = stored(scored, f"{path}/scored")

@@ -90,6 +90,20 @@ def test_lm_is_a_distribution():
     assert (2.0**-cost).sum() <= 1
 
 
+def test_lm_start_weights_follow_the_rows():
+    """Bits that only the third predictor foretells move its weight up and lower the cost of short texts."""
+    rng = np.random.default_rng(2)
+    x = [rng.normal(size=40_000).astype(np.float32) for _ in range(3)]
+    bit = (rng.random(40_000) < 1 / (1 + np.exp(-2 * x[2]))).astype(np.uint8)
+    gate, off = np.zeros(40_000, np.int32), np.arange(0, 40_001, 100)
+    sums = np.zeros((2 * cm.GATES, 12))
+    sums[: cm.GATES] = cm.slopes(x, bit, gate, cm.START[: cm.GATES])
+    start = cm.fitted(sums)
+    assert start[0, 2] > 1 and abs(start[0, :2]).max() < 0.2 and (start[1:] == cm.START[1:]).all()
+    cost = [cm.mixed(x, bit, gate, off, w[: cm.GATES]).sum() for w in (cm.START, start)]
+    assert cost[1] < 0.95 * cost[0]
+
+
 def test_huffman_is_a_prefix_code():
     off, nodes, bits, split = cm.huffman(np.array([5, 1, 1, 2, 9]))
     codes = ["".join(map(str, bits[off[i] : off[i + 1]])) for i in range(5)]
