@@ -28,7 +28,8 @@ from kgspark.llm.common import pick, slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|object|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|(?P<lone><svg(?=[\s/>])(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+(?<=/)>)"
+    r"|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|object|select|button)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
@@ -220,7 +221,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"]:
+            if m["raw"] or m["lone"]:
                 part.append(" ")
             continue
         tag = tag.lower()

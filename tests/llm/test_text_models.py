@@ -47,6 +47,12 @@ def test_classifier_of_odd_rows(spark, odd, none):
     assert bias == 0 and not table.any()
 
 
+def test_html_after_self_closed_svg_and_custom_elements():
+    kept = "The committee met on Tuesday and agreed that the bridge would be repaired before the winter began. " * 4
+    for odd in ('<svg class="i" width="1"/>', "<svg />", "<button-group>x</button-group>", '<svg><path d="M0"/></svg>'):
+        assert kept.strip() in main_text(f"<html><body><article><h1>A title of some words</h1>{odd}<p>{kept}</p></article></body></html>"), odd
+
+
 def test_lm_base_and_score(spark, folder, documents):
     got = QUERIES["op2_lm_scores"](spark, folder).toPandas()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
