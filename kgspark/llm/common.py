@@ -43,10 +43,14 @@ def keep_rows(df: DataFrame, verdict: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) is a folder of our own set.
+    Only where that setting is missing and all runs in one process (tests) is a folder of our own set; a
+    cluster without it is refused, as its executors would write to different disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
         base = f"file:///tmp/kgspark-checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/kgspark-{uuid.uuid4().hex}"
@@ -59,14 +63,33 @@ def stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
+#: Keys that hold more than this share of all rows are joined by broadcast; there are at most HOT_KEYS of them.
+HOT_KEYS = 4096
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table (one row for each key; its column `weight` is how many of the `total` rows have the key).
+
+    A key of more than total / HOT_KEYS rows would fill a task of its own in a shuffle. There are fewer than
+    HOT_KEYS such keys, whatever the data, so they are broadcast; the rest is joined by a shuffle in which no
+    key exceeds that share. Null keys match nothing. how is inner or left.
+    """
+    hot = F.col(weight) * HOT_KEYS > total
+    few, many = F.broadcast(table.where(hot)), table.where(~hot)
+    near = rows.join(few, on, "inner")
+    far = rows.join(few.select(*on), on, "left_anti").join(many, on, how)
+    return near.unionByName(far)
+
+
+def discard(spark: SparkSession, *paths: str, shuffles: bool = True) -> None:
     """Deletes stored tables that nothing reads any more, and has the driver drop the shuffle files of finished jobs."""
     jvm = spark.sparkContext._jvm
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    jvm.System.gc()
+    if shuffles:
+        gc.collect()
+        jvm.System.gc()
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
