@@ -5,9 +5,9 @@ choose equal anchors at equal offsets; neighbouring windows mostly share one, an
 positions become anchors. The fingerprint of an anchor is that hash; its block is all the words of the
 windows that chose it, known by an independent second hash.
 
-The index holds sorted immutable runs (fingerprint, block) -> occurrences and one place. Each batch is
-merge-joined with the runs of earlier batches, adds its own run, and full levels are compacted. A repeated
-fingerprint is verified before it counts:
+The index holds sorted immutable runs of (fingerprint, block) -> occurrences (runs.py). Each batch is merge-
+joined with the runs of earlier batches, which tells the fingerprints that repeat; it then adds its own run,
+and full levels are compacted. A repeated fingerprint is verified before it counts:
 - one block, several occurrences: all windows of the block repeat;
 - several blocks with one fingerprint: one place of each block is read again and its windows are hashed
   singly; a window repeats if its hash, under this fingerprint, has two occurrences or more.
@@ -21,6 +21,7 @@ An empty table gives no rows. Other columns pass unread.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -29,64 +30,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import Words, discard, pick, shared_dir, slices, splitmix, spread, stored, windows
+from kgspark.llm.common import Words, discard, join_by_weight, pick, shared_dir, slices, splitmix, spread, stored, windows
+from kgspark.llm.runs import Runs
 
 WINDOW, GRAM = 35, 8
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-PLACE = "doc_id long, th long, lo int, wins int, off int"
-
-
-class FingerprintRuns:
-    """The levelled runs: (fp, bh, n, at), each a Parquet folder sorted by fingerprint."""
-
-    FANOUT = 4
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.levels, self.made = spark, path or shared_dir(spark), [[]], 0
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        self.made += 1
-        return stored(rows.sortWithinPartitions("fp"), f"{self.path}/run{self.made}")
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("fp", "bh").agg(F.sum("n").alias("n"), F.min("at").alias("at")) if len(runs) > 1 else rows
-
-    def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def known(self, batch: DataFrame) -> DataFrame:
-        """Fingerprints of the batch that an earlier run holds, by merge join with each run."""
-        found = [batch.select("fp").join(r.select("fp").hint("merge"), "fp", "left_semi") for r in self.runs()]
-        if not found:
-            return batch.select("fp").limit(0)
-        out = found[0]
-        for f in found[1:]:
-            out = out.union(f)
-        return out.distinct()
-
-    def add(self, anchors: DataFrame) -> None:
-        """Adds the anchors of a batch as a run of its own, then compacts full levels."""
-        at = F.struct("doc_id", "th", "lo", "wins", "off").alias("at")
-        run = anchors.groupBy("fp", "bh").agg(F.count("*").alias("n"), F.min(at).alias("at"))
-        self.levels[0].append(self._write(run))
-        for i, level in enumerate(self.levels):
-            if len(level) >= self.FANOUT:
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(self._write(self._merged(level)))
-                self.levels[i] = []
-
-    def compacted(self) -> DataFrame:
-        """All runs as one, which takes their place."""
-        if len(self.runs()) > 1:
-            self.levels = [[], [self._write(self._merged(self.runs()))]]
-            discard(self.spark, *(f"{self.path}/run{i}" for i in range(1, self.made)))
-        return self.runs()[0]
+PLACE = "rid long, lo int, wins int"
+
+
+class FingerprintRuns(Runs):
+    """Runs of (fp, bh, n): how often a run's batches hold each block under each fingerprint."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
+        super().__init__(spark, "fp", lambda rows: rows.groupBy("fp", "bh").agg(F.sum("n").alias("n")), path, fanout)
+
+    def add(self, anchors: DataFrame) -> DataFrame:
+        """Adds the anchors of a batch as a run; gives the fingerprints of the batch that repeat by then.
+
+        Those are the ones that the merge join with the earlier runs finds there, and those that the batch
+        holds more than once. The result does not read the runs again.
+        """
+        own = self.written(anchors.groupBy("fp", "bh").agg(F.count("*").alias("n")))
+        rows = self.table(own)
+        fps = rows.groupBy("fp").agg(F.sum("n").alias("n"))
+        hits = fps.where("n > 1").select("fp")
+        before = self.known(fps)
+        if before is not None:
+            hits = hits.union(before.select("fp")).distinct()
+        hits = stored(hits, f"{self.path}/hits{self.made}")
+        self.push(own)
+        return hits
 
 
 def _least(g: np.ndarray, w: int) -> np.ndarray:
@@ -102,7 +76,7 @@ def _least(g: np.ndarray, w: int) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        w = Words(b.column(2))
+        w = Words(b.column(1))
         starts = spread(w.first, WINDOW)
         if not len(starts):
             continue
@@ -118,9 +92,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = ((at - lo) * 256 + wins).astype(np.uint64)
         block = splitmix((total[end] - total[lo]) * back[lo] + splitmix(size))
         doc = np.searchsorted(w.first, lo, side="right") - 1
-        take = pa.array(doc)
-        columns = [g[at].view(np.int64), block.view(np.int64), b.column(0).take(take), b.column(1).take(take), (lo - w.first[doc]).astype(np.int32), wins.astype(np.int32), (at - lo).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["fp", "bh", "doc_id", "th", "lo", "wins", "off"])
+        columns = [pa.array(g[at].view(np.int64)), pa.array(block.view(np.int64)), b.column(0).take(pa.array(doc)), pa.array((lo - w.first[doc]).astype(np.int32)), pa.array(wins.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["fp", "bh", "rid", "lo", "wins"])
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,56 +140,68 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
 
-def repeated_windows(rows: DataFrame, path: str, batches: int) -> DataFrame:
-    """(doc_id, th, places) for each text with repeated windows: places lists (lo, mask), bit i of mask
-    standing for the window that starts at word lo + i."""
+def repeated_windows(rows: DataFrame, path: str, batches: int, fanout: int) -> DataFrame:
+    """(rid, places) for each text with repeated windows, from rows (rid, text): places lists (lo, mask), bit i
+    of mask standing for the window that starts at word lo + i."""
     spark = rows.sparkSession
     save = lambda df, name: stored(df, f"{path}/{name}")
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    found = rows.mapInArrow(_anchors, f"fp long, bh long, {PLACE}")
-    anchors = stored(found.withColumn("batch", deal), f"{path}/anchors", "batch")
-    index = FingerprintRuns(spark, f"{path}/runs")
-    for i in range(batches):
-        index.add(anchors.where(F.col("batch") == i))
-    total = index.compacted()
-
-    by = total.groupBy("fp").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).where("total > 1")
-    again = save(total.join(by, "fp").select("fp", "bh", "n", "at", (F.col("blocks") > 1).alias("contested")), "again")
-    discard(spark, f"{path}/runs")
-    place = F.struct("fp", "bh", F.col("at.lo").alias("lo"), F.col("at.wins").alias("wins"), "n")
-    open_ = again.where("contested").groupBy(F.col("at.doc_id").alias("_d"), F.col("at.th").alias("_t")).agg(F.collect_list(place).alias("places"))
-    read = open_.join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
+    deal = F.pmod(F.xxhash64("rid"), F.lit(batches)).cast("int")
+    anchors = save(rows.mapInArrow(_anchors, f"fp long, bh long, {PLACE}").withColumn("batch", deal), "anchors")
+    index = FingerprintRuns(spark, f"{path}/runs", fanout)
+    hits = reduce(DataFrame.union, [index.add(anchors.where(F.col("batch") == i)) for i in range(batches)])
+    discard(spark)
+
+    # what the batches' merge joins found, with the counts of the compacted run
+    again = save(index.compacted().join(hits.distinct().hint("merge"), "fp", "left_semi"), "repeated")
+    index.drop()
+    blocks = again.groupBy("fp").agg(F.count("*").alias("blocks"))
+    again = save(join_by_weight(again, blocks, ["fp"], "blocks", again.count()).select("fp", "bh", "n", (F.col("blocks") > 1).alias("contested")), "again")
+    met = join_by_weight(anchors.drop("batch"), again.where("contested or n > 1"), ["fp", "bh"], "n", anchors.count())
+    met = save(met.select("fp", "bh", "rid", "lo", "wins", "n", "contested"), "met")
+    discard(spark, f"{path}/anchors", f"{path}/runs", f"{path}/repeated")
+
+    # one place of each contested block is read again, and its windows are told apart
+    place = F.struct("rid", "lo", "wins").alias("at")
+    first = met.where("contested").groupBy("fp", "bh").agg(F.min(place).alias("at"), F.first("n").alias("n"))
+    open_ = first.groupBy(F.col("at.rid").alias("_r")).agg(F.collect_list(F.struct("fp", "bh", F.col("at.lo").alias("lo"), F.col("at.wins").alias("wins"), "n")).alias("places"))
+    read = open_.join(rows, F.col("rid") == F.col("_r"))
     single = save(read.select("text", "places").mapInArrow(_single_windows, "fp long, bh long, i int, wh long, n long").distinct(), "single")
     discard(spark)
     twice = single.groupBy("fp", "wh").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "wh")
     some = single.join(twice, ["fp", "wh"]).groupBy("fp", "bh").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
-    whole = again.where("not contested or n > 1").select("fp", "bh", F.lit(-1).alias("mask"))
-    masks = save(some.join(again.where("contested and n = 1").select("fp", "bh"), ["fp", "bh"], "left_semi").union(whole), "masks")
+    whole = again.where("n > 1").select("fp", "bh", "n", F.lit(-1).alias("mask"))
+    parts = again.where("contested and n = 1").select("fp", "bh", "n").join(some, ["fp", "bh"])
+    masks = save(parts.union(whole), "masks")
     discard(spark, f"{path}/single", f"{path}/again")
-    hits = anchors.join(masks, ["fp", "bh"])
+
+    kept = join_by_weight(met.select("fp", "bh", "rid", "lo", "wins"), masks, ["fp", "bh"], "n", met.count())
     full = F.expr("shiftleft(1, wins) - 1")
-    places = hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", F.col("mask").bitwiseAND(full).alias("mask"))).alias("places"))
+    places = kept.groupBy("rid").agg(F.collect_set(F.struct("lo", F.col("mask").bitwiseAND(full).alias("mask"))).alias("places"))
     places = save(places, "places")
-    discard(spark, f"{path}/masks", f"{path}/anchors")
+    discard(spark, f"{path}/masks", f"{path}/met")
     return places
 
 
-def _with_places(docs: DataFrame, flat: DataFrame, doc: str, text: str, batches: int) -> DataFrame:
-    """flat (docs by other column names) with what repeated_windows says of each row's text."""
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    places = repeated_windows(rows, shared_dir(docs.sparkSession), batches).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "places")
-    both = flat.join(places, F.col(doc).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left")
+def _with_places(docs: DataFrame, flat: DataFrame, doc: str, text: str, batches: int, fanout: int) -> DataFrame:
+    """flat (docs by other column names) with what repeated_windows says of each row's text.
+
+    A row is known by a hash of its doc_id and text; rows that are repeated whole share it, and their places.
+    """
+    rid = lambda d, t: F.xxhash64(F.col(d).cast("long"), t)
+    rows = pick(docs, "doc_id", "text").select(rid("doc_id", "text").alias("rid"), "text")
+    places = repeated_windows(rows, shared_dir(docs.sparkSession), batches, fanout).withColumnRenamed("rid", "_r")
+    both = flat.join(places, rid(doc, text) == F.col("_r"), "left")
     none = F.array().cast("array<struct<lo:int,mask:int>>")
     return both.select(*flat.columns, F.coalesce("places", none).alias("_places"))
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed and text (the words left, joined by one space), for each row.
 
     The rows come in `batches` hash-dealt batches; the result is the same for any number of them.
     """
     flat = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return _with_places(docs, flat, "doc_id", "text", batches).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
+    return _with_places(docs, flat, "doc_id", "text", batches, fanout).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, text string")
 
 
 def _cut_in_place(text: int, n_chars: int | None):
@@ -235,7 +220,7 @@ def _cut_in_place(text: int, n_chars: int | None):
     return run
 
 
-def substring_cut(docs: DataFrame, batches: int = 2) -> DataFrame:
+def substring_cut(docs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
     """docs with repeated passages cut out; all columns as they were, a whole-number n_chars following the text.
 
     A text that loses words becomes its remaining words, joined by one space; others stay as they are.
@@ -244,5 +229,5 @@ def substring_cut(docs: DataFrame, batches: int = 2) -> DataFrame:
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     text = names.index("text")
     counts = "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
-    both = _with_places(docs, flat, f"_c{names.index('doc_id')}", f"_c{text}", batches)
+    both = _with_places(docs, flat, f"_c{names.index('doc_id')}", f"_c{text}", batches, fanout)
     return both.mapInArrow(_cut_in_place(text, names.index("n_chars") if counts else None), flat.schema).toDF(*names)
