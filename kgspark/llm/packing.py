@@ -1,10 +1,9 @@
 """Sequence packing: first-fit decreasing with a tournament tree, in randomised groups of documents.
 
-Documents are dealt by a hash of doc_id into groups of about GROUP_DOCS, each packed on its own, so no task
-sees more than one group at a time. A document of more than `length` tokens first gives full sequences; the
-remainders go, longest first, into the first bin with room, found by descending a tournament tree of the
-bins' free capacities. Then the emptiest bins are emptied into the gaps of the others, cut where needed,
-which leaves at most one sequence of a group with padding.
+Rows are dealt evenly over partitions; there they are ordered by a hash and cut into groups of GROUP_TOKENS
+tokens, each packed on its own, so a task holds one group at a time whatever ids and texts repeat. A document
+of more than `length` tokens first gives full sequences; the remainders go, longest first, into the first
+bin with room, found by descending a tournament tree of the bins' free capacities.
 
 Defined results: a null or empty text is its end token alone. A null doc_id is packed like any other.
 Repeated rows are packed each. An empty table gives no rows. Other columns are not read.
@@ -17,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.byte_bpe import byte_bpe
 from kgspark.llm.common import pick
 
-#: Documents of a group on average; a group is packed in parts when it exceeds the bounds below.
-GROUP_DOCS = 2048
-MOST_DOCS, MOST_TOKENS = 4 * GROUP_DOCS, 1 << 24
+#: A group ends with the document that brings it to this many tokens. A partition has about PART_ROWS rows.
+GROUP_TOKENS, PART_ROWS = 1 << 21, 1 << 15
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -71,34 +70,16 @@ def first_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 
 def packed(sizes: list[int], length: int) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length), for items of any size from 1."""
-    out = [[(i, at, length)] for i, n in enumerate(sizes) for at in range(0, n - n % length, length)]
+    full = [[(i, at, length)] for i, n in enumerate(sizes) for at in range(0, n - n % length, length)]
     rest = [(i, n - n % length, n % length) for i, n in enumerate(sizes) if n % length]
-    bins = [[rest[j] for j in b] for b in first_fit_decreasing([n for _, _, n in rest], length)]
-    fill = [sum(n for _, _, n in b) for b in bins]
-    order = sorted(range(len(bins)), key=lambda b: (-fill[b], b))
-    to, give = 0, len(order) - 1
-    while to < give:
-        source, target = order[give], order[to]
-        if fill[target] == length:
-            to += 1
-            continue
-        if not bins[source]:
-            give -= 1
-            continue
-        item, at, n = bins[source].pop()
-        part = min(n, length - fill[target])
-        bins[target].append((item, at, part))
-        fill[target] += part
-        fill[source] -= part
-        if part < n:
-            bins[source].append((item, at + part, n - part))
-    return out + [b for b in bins if b]
+    return full + [[rest[j] for j in b] for b in first_fit_decreasing([n for _, _, n in rest], length)]
 
 
 def _pack(path: str | None, length: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(path)
-        group, number, docs, ids, total = None, 0, [], [], 0
+        first = TaskContext.get().partitionId() << 40
+        number, docs, ids, total = 0, [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, docs, ids, total
@@ -109,7 +90,7 @@ def _pack(path: str | None, length: int, end: int, with_ids: bool):
                     offset = 0
                     for item, start, n in sequence:
                         piece = ids[item][start : start + n]
-                        rows.append((docs[item], start, n, zlib.crc32(piece.tobytes()), len(ids[item]), (group << 32) + number + at + k, offset))
+                        rows.append((docs[item], start, n, zlib.crc32(piece.tobytes()), len(ids[item]), first + number + at + k, offset))
                         tokens.append(piece)
                         offset += n
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
@@ -123,11 +104,9 @@ def _pack(path: str | None, length: int, end: int, with_ids: bool):
             docs, ids, total = [], [], 0
 
         for b in batches:
-            for g, doc, text in zip(*(c.to_pylist() for c in b.columns)):
-                if docs and (g != group or len(docs) >= MOST_DOCS or total >= MOST_TOKENS):
+            for doc, text in zip(*(c.to_pylist() for c in b.columns)):
+                if total >= GROUP_TOKENS:
                     yield from flush()
-                if g != group:
-                    group, number = g, 0
                 ids.append(np.append(encoder.encode(text or ""), np.uint32(end)).astype("<u4"))
                 docs.append(doc)
                 total += len(ids[-1])
@@ -143,9 +122,7 @@ def pack(docs: DataFrame, length: int = 2048, end: int = 1, tokenizer: str | Non
     tokenizer is the path of a vocabulary file on the executors (by default the public byte-level BPE).
     """
     rows = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    groups = max(1, -(-docs.count() // GROUP_DOCS))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), "doc_id", "text")
-    # a partition has 16 groups at most on average, whatever the session's own number of partitions
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // 16))
-    rows = rows.repartition(parts, "g").sortWithinPartitions("g", F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+    # by number and not by a key: equal ids or texts do not meet in one task
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
+    rows = rows.repartition(parts).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
     return rows.mapInArrow(_pack(tokenizer, length, end, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
