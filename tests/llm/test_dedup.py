@@ -77,15 +77,52 @@ def test_lines_by_hand(spark, batches):
     assert got == {1: (2, 1, "x"), 2: (3, 2, "y"), 3: (3, 0, f"z\n{line}\n"), 4: (2, 0, "short\nshort")}
 
 
+def brute_lines(rows, min_chars=20, min_docs=3):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    key, held = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(low), defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            held[key(x)].add(-1 if i is None else i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if len(key(x)) < min_chars or len(held[key(x)]) < min_docs or max(held[key(x)]) == (-1 if i is None else i)]
+        out.append((str(i), len(lines), len(lines) - len(left), "\n".join(left)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (5, 2), (9, 4)])
+def test_lines_against_brute_force(spark, batches, fanout):
+    """Line ends of other kinds are part of a line; only \\n ends one and only the six white spaces are stripped."""
+    line = "the same words in each of them"
+    ends = ["", "  ", "\u2028", "  \u2028", "\u2029", " \u0085", "\x0b\x0c", "\r", "\u3000", "\x1c"]
+    rows = [(10 * i + k, f"own line number {i} and {k}\n\t{line.upper() if k % 2 else line}{end}\nshort") for i, end in enumerate(ends) for k in range(2 + i % 3)]
+    rows += [(None, f"{line}\n{line}"), (None, line), (500, None), (501, ""), (502, f"{' ' * 30_000}{line}{' ' * 30_000}x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup(docs, batches=batches, fanout=fanout).collect()
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in got) == brute_lines(rows)
+
+
+def test_lines_come_through_the_anti_join(spark, monkeypatch):
+    """Without what the merge anti-join gives, keys that later batches bring first are lost."""
+    rows = [(i, f"a line that three documents hold {i % 40}") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r["n_dropped"] for r in line_dedup(docs).collect()) == 120
+    monkeypatch.setattr(LineRuns, "unknown", lambda self, batch: batch.limit(0))
+    assert sum(r["n_dropped"] for r in line_dedup(docs).collect()) < 120
+
+
 def test_runs_compact(spark):
     runs = LineRuns(spark)
-    batch = lambda *keys: spark.createDataFrame([(k.encode(), 1, 1) for k in keys], "key binary, n_docs long, top_doc long")
-    assert runs.add(batch("a", "b")).count() == 2
-    assert {bytes(r["key"]) for r in runs.add(batch("b", "c")).collect()} == {b"c"}
-    runs.add(batch("d"))
-    runs.add(batch("a"))
-    assert [len(level) for level in runs.levels] == [0, 1]
-    assert {bytes(r["key"]): r["n_docs"] for r in runs.totals().collect()} == {b"a": 2, b"b": 2, b"c": 1, b"d": 1}
+    batch = lambda *keys: spark.createDataFrame([(k.encode(), 1, n) for n, k in enumerate(keys)], "key binary, n_docs long, top_doc long")
+    for keys in ("ab", "bc", "d", "a"):
+        runs.add(batch(*keys))
+    assert [len(level) for level in runs.levels] == [0, 1] and runs.compactions == 1
+    runs.add(batch("e", "a"))
+    assert {bytes(r["key"]): (r["n_docs"], r["top_doc"]) for r in runs.totals().collect()} == {b"a": (3, 1), b"b": (2, 1), b"c": (1, 1), b"d": (1, 0), b"e": (1, 0)}
+    assert {bytes(r["key"]) for r in runs.unknown(batch("e", "x")).collect()} == {b"x"}
+    runs.drop()
+    assert runs.totals().count() == 0
 
 
 def shingles(text, k):
@@ -169,14 +206,25 @@ def brute_cut(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2])
-def test_substrings_of_odd_rows(odd, none, batches):
+@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (2, 4), (9, 3)])
+def test_substrings_of_odd_rows(odd, none, batches, fanout):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup(odd, batches).collect())
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup(odd, batches, fanout).collect())
     assert got == brute_cut(rows)
     assert substring_dedup(none).count() == 0
 
 
+def test_substrings_come_through_the_merge_join(spark, monkeypatch):
+    """Without what the merge joins with earlier runs find, passages of documents of different batches stay."""
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = [(j, passage) for i in range(20) for passage in [text(60)] for j in (i, 100 + i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["n_removed"] == 60 for r in substring_dedup(docs).collect())
+    monkeypatch.setattr(FingerprintRuns, "known", lambda self, batch: None)
+    assert not all(r["n_removed"] == 60 for r in substring_dedup(docs).collect())
+
+
 def test_substrings_shared_in_part(spark):
     rng = np.random.default_rng(5)
     text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
@@ -194,10 +242,8 @@ def test_cut_keeps_columns(odd):
 
 
 def test_known_fingerprints(spark):
-    runs = FingerprintRuns(spark)
-    batch = lambda *fp: spark.createDataFrame([(f, f, 1, 1, 0, 1, 0) for f in fp], "fp long, bh long, doc_id long, th long, lo int, wins int, off int")
-    assert runs.known(batch(1, 2)).count() == 0
-    runs.add(batch(1, 2))
-    assert {r["fp"] for r in runs.known(batch(2, 3)).collect()} == {2}
-    runs.add(batch(2, 3))
-    assert {r["fp"]: r["n"] for r in runs.compacted().collect()} == {1: 1, 2: 2, 3: 1}
+    runs = FingerprintRuns(spark, fanout=2)
+    batch = lambda *fp: spark.createDataFrame([(f, f, 1, 0, 1) for f in fp], "fp long, bh long, rid long, lo int, wins int")
+    hits = [{r["fp"] for r in runs.add(batch(*b)).collect()} for b in ((1, 2), (2, 3), (3, 4, 4))]
+    assert hits == [set(), {2}, {3, 4}] and runs.compactions == 1
+    assert {r["fp"]: r["n"] for r in runs.compacted().collect()} == {1: 1, 2: 2, 3: 2, 4: 2}
