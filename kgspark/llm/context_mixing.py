@@ -2,20 +2,25 @@
 
 A text is its words, A-Z lower-cased, and one end. Each token is written as bits: the path of a Huffman code
 over the CODED most frequent tokens, or an escape and the word's bytes by a Huffman code of their own. Every
-bit is predicted by three hashed contexts:
+bit is predicted by hashed contexts:
 
     word bits   the node of the code; node and last of the FREQUENT words (deep nodes: of the FEW most
-                frequent); node and last word (deep nodes: node and the first bits of the last word's code)
+                frequent); node and last word (deep nodes: node and the first bits of the last word's code);
+                and the token that followed the same CONTEXT words in other texts
     byte bits   node and the last two bytes of the word; the last three; the last five
 
-A predictor is a table of how often each of its slots saw a one and a zero in all learned texts. The tables
-are counted in one pass over the corpus (each task adds up its own, then blocks of slots are summed over
-tasks), have a fixed size and are all that scoring needs. They are counted for two halves of the texts apart; the
-weights that every text starts with are fitted on all learned texts, each by the tables of the half that it is not
-in. Scoring learns while it codes: predictions are combined as logits by the set of weights that is selected by the kind
-of bit and by how often the two longer contexts were seen; each coded block moves the weights by its errors;
-and a map from combined prediction to observed frequency, filled as the text goes, refines the result. A
-bit's probability depends on nothing that follows it.
+The short contexts are tables of how often each of their slots saw a one and a zero in all learned texts. They
+are counted over all of them (each task adds up its own, then blocks are summed over tasks) and have a fixed
+size, which a cluster of any size can hold. The long context grows with the corpus and stays distributed:
+where the hash of CONTEXT words falls in one class of ANCHOR, the tokens that follow up to the next such place
+are kept with it, tallied over all learned rows, and only what a text's own places find travels to it. A
+learned row is scored by what other rows say there; its own does not count.
+
+Scoring learns while it codes: predictions are combined as logits by the set of weights that is selected by the kind
+of bit and by how often the two longer contexts were seen, or by a long context that predicts; all weights set out
+alike in every text; each coded block moves them by its errors; and a map from combined prediction to observed
+frequency, filled as the text goes, refines the result. What a long context says weighs the more, the longer it
+has been right without a break. A bit's probability depends on nothing that follows it.
 
 Counts of single tokens, for the base score, are exact and cover all learned texts. The most frequent ones
 travel with the tables (HOT at most); the other tokens of a text are joined with the full table by hash.
@@ -23,7 +28,7 @@ travel with the tables (HOT at most); the other tokens of a text are joined with
 Defined results: a null, empty or blank text is its end alone. Rows repeated are scored each. With nothing
 to learn from, every bit costs one bit and base_score is 0. A null doc_id counts as an empty one in the
 split. An empty table gives no rows. Columns other than doc_id and text are not read. Tokens are told apart
-by 64-bit hashes.
+by 64-bit hashes, those that a long context foretells by 24 bits of them.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import Words, discard, pick, shared_dir, slices, splitmix, stored
+from kgspark.llm.common import Words, discard, join_by_weight, pick, shared_dir, slices, splitmix, spread, stored, windows
 
 #: Tokens whose counts travel with the tables; those with a code word of their own, seen CODED_LEAST times or more.
 HOT, CODED, CODED_LEAST, FREQUENT = 1 << 18, 1 << 18, 2, 64
@@ -49,6 +54,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Nodes, counted from the root by weight, that have a slot for each FREQUENT word and for each of 2^12 hashes of
 #: the last word. All others have one for each of the 7 most frequent words, and for 3 bits of the last word's code.
 BROAD, NEAR, FEW = 1 << 14, 1 << 8, 8
+#: Words of a long context; one in so many places keeps what follows, at most FOLLOW tokens in TAG bytes each.
+CONTEXT, ANCHOR, FOLLOW, TAG = 4, 16, 64, 3
 LEVELS = 4
 GATES = LEVELS * LEVELS
 CELLS = 33
@@ -124,7 +131,13 @@ class Code:
         return cls(hashes, counts, symbol, rank, huffman(weights), huffman(letters + 1))
 
     def __post_init__(self):
-        """An open-addressed table of the hot tokens' places, and the first three bits of each code word."""
+        """An open-addressed table of the hot tokens' places, the first three bits of each code word, and symbols by tag."""
+        self.escape = len(self.rank) - 1
+        coded = np.flatnonzero(self.symbol[:-1] != self.escape)
+        own = tags(self.hashes[coded])
+        order = np.lexsort((self.rank[self.symbol[coded]], own))  # of a tag's tokens, the most frequent
+        new = np.r_[True, own[order][1:] != own[order][:-1]][: len(order)]
+        self.tag, self.tag_symbol = own[order][new].astype(np.int64), self.symbol[coded][order][new]
         start, _, path, _ = self.word
         self.first = np.zeros(len(self.rank), np.int32)
         for k in range(3):
@@ -140,6 +153,13 @@ class Code:
             lost = self.table[at] != todo
             todo, at = todo[lost], at[lost] + 1
 
+    def tagged(self, tag: np.ndarray) -> np.ndarray:
+        """The symbol of each tag, or the escape."""
+        if not len(self.tag):
+            return np.full(len(tag), self.escape)
+        at = np.minimum(np.searchsorted(self.tag, tag), len(self.tag) - 1)
+        return np.where(self.tag[at] == tag, self.tag_symbol[at], self.escape)
+
     def places(self, h: np.ndarray) -> np.ndarray:
         """Where each token stands among the hot ones; their number if it is not there."""
         at = (h >> self.shift).astype(np.int64)
@@ -188,34 +208,53 @@ def sizes() -> list[int]:
 Stream = tuple[list[np.ndarray], np.ndarray, np.ndarray]
 
 
-def events(code: Code, texts: pa.Array) -> tuple[Stream, Stream, tuple]:
-    """The word bits and the byte bits of the texts, each in order, and what the tokens are."""
-    w, h, which, off = tokens(texts)
-    place = code.places(h)
-    s = code.symbol.take(place)
-    escape = len(code.rank) - 1
-    begins, count = np.repeat(off[:-1], np.diff(off)), len(s)
-    start, _, path, _ = code.word
-    # contexts of each token in one number: last frequent word, last very frequent word, the last word's code and hash
-    rank = code.rank.take(s)
-    word = (s != escape) & (which >= 0)
-    many, few = (_latest(np.where(word & (rank < most - 1), rank + 1, 0), begins) for most in (FREQUENT, FEW))
-    context = (many << 18 | few << 15).astype(np.int32)
-    context[1:] |= code.first.take(s[:-1]) << 12 | (h[:-1] >> np.uint64(52)).astype(np.int32)
-    context[off[:-1]] &= ~((1 << 15) - 1)
-
-    n_path, node, bits = _paths(code.word, s)
-    ctx = np.repeat(context, n_path)
+@dataclass
+class Tokens:
+    """The tokens of a slice of texts: see tokens(); place and symbol in the code, and what went before.
+
+    context has in one number the last frequent word, the last very frequent one, and the last word's code and hash.
+    """
+
+    w: Words
+    h: np.ndarray
+    which: np.ndarray
+    off: np.ndarray
+    place: np.ndarray
+    s: np.ndarray
+    context: np.ndarray
+
+    @classmethod
+    def of(cls, code: Code, texts: pa.Array) -> Tokens:
+        w, h, which, off = tokens(texts)
+        place = code.places(h)
+        s = code.symbol.take(place)
+        rank = code.rank.take(s)
+        word = (s != code.escape) & (which >= 0)
+        begins = np.repeat(off[:-1], np.diff(off))
+        many, few = (_latest(np.where(word & (rank < most - 1), rank + 1, 0), begins) for most in (FREQUENT, FEW))
+        context = (many << 18 | few << 15).astype(np.int32)
+        context[1:] |= code.first.take(s[:-1]) << 12 | (h[:-1] >> np.uint64(52)).astype(np.int32)
+        context[off[:-1]] &= ~((1 << 15) - 1)
+        return cls(w, h, which, off, place, s, context)
+
+
+def word_bits(code: Code, t: Tokens) -> tuple[Stream, np.ndarray]:
+    """The bits of all tokens' paths, and how many each token has."""
+    n_path, node, bits = _paths(code.word, t.s)
+    ctx = np.repeat(t.context, n_path)
     slots = [
         node,
         np.where(node < BROAD, node << 6 | ctx >> 18, (1 << WORD_BITS[1] - 1) + (node << 3 | ctx >> 15 & 7)),
         np.where(node < NEAR, node << 12 | ctx & 4095, (1 << WORD_BITS[2] - 1) + (node << 3 | ctx >> 12 & 7)),
     ]
-    words = slots, bits, np.r_[0, np.cumsum(n_path)][off]
+    return (slots, bits, np.r_[0, np.cumsum(n_path)][t.off]), n_path
+
 
-    # after each escape, the word's bytes and its end
-    rare = np.flatnonzero((s == escape) & (which >= 0))
-    own = which[rare]
+def byte_bits(code: Code, t: Tokens, known: np.ndarray | None = None) -> Stream:
+    """After each escape the word's bytes and its end, but for the tokens that are known otherwise."""
+    spelt = (t.s == code.escape) & (t.which >= 0)
+    rare = np.flatnonzero(spelt if known is None else spelt & ~known)
+    own, w = t.which[rare], t.w
     size = w.length[own] + 1
     ends = np.cumsum(size)
     pos = np.arange(int(size.sum())) - np.repeat(ends - size, size)
@@ -227,8 +266,122 @@ def events(code: Code, texts: pa.Array) -> tuple[Stream, Stream, tuple]:
         so_far[k + 1 :] += np.where(pos[k + 1 :] > k, letter[: max(0, len(letter) - k - 1)] + 1, 0).astype(np.uint64) << np.uint64(10 * k)
         if k in (1, 2, 4):
             slots.append(_slot(node, np.repeat(splitmix(so_far), n_letter), len(slots)))
-    spelt = np.r_[0, np.cumsum(n_letter)][np.r_[0, ends]]
-    return words, (slots, bits, spelt[np.searchsorted(rare, off)]), (w, h, place, off)
+    upto = np.r_[0, np.cumsum(n_letter)][np.r_[0, ends]]
+    return slots, bits, upto[np.searchsorted(rare, t.off)]
+
+
+def tags(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(8 * (8 - TAG))).astype(np.uint32)
+
+
+def anchors(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose context is an anchor: its hash, the first token after it, and how many follow up to the next one."""
+    at = spread(off, CONTEXT + 1)
+    g = windows(h, CONTEXT)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
+    at = at[(g[at] & np.uint64(ANCHOR - 1)) == 0]
+    text = np.searchsorted(off, at, side="right") - 1
+    follow = off[text + 1] - at - CONTEXT
+    same = np.flatnonzero(text[1:] == text[:-1])
+    follow[same] = np.minimum(follow[same], at[same + 1] - at[same])
+    return g[at], at + CONTEXT, np.minimum(follow, FOLLOW)
+
+
+def _flat(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of n in turn."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def followers(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each text's anchors, each hash once: the text's number, the hash, and the tags of the tokens that follow."""
+    key, at, n = anchors(h, off)
+    text = np.searchsorted(off, at, side="right") - 1
+    order = np.lexsort((at, key, text))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (text[order][1:] != text[order][:-1])][: len(order)]
+    once = order[new]
+    key, at, n, text = key[once], at[once], n[once], text[once]
+    body = np.ascontiguousarray(tags(h)[_flat(at, n)]).view(np.uint8).reshape(-1, 4)[:, :TAG].tobytes()
+    ends = np.r_[0, np.cumsum(n)] * TAG
+    return text, key, pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body)])
+
+
+def foretold(t: Tokens, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the tag that the long context foretells, or -1, and by how many rows; found lists
+    (key, follow, n) for each text."""
+    guess, weight = np.full(len(t.h), -1, np.int64), np.zeros(len(t.h), np.int64)
+    rows = found.flatten()
+    if not len(rows):
+        return guess, weight
+    listed = np.diff(found.offsets.to_numpy())
+    mixed_key = lambda text, key: splitmix(text.astype(np.uint64) * _A + key)
+    keys = mixed_key(np.repeat(np.arange(len(listed)), listed), rows.field(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    order = np.argsort(keys)
+    keys = keys[order]
+    key, at, n = anchors(t.h, t.off)
+    own = mixed_key(np.searchsorted(t.off, at, side="right") - 1, key)
+    to = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    hit = np.flatnonzero(keys[to] == own)
+    entry, at, n = order[to[hit]], at[hit], n[hit]
+    follow = rows.field(1)
+    size = (pc.binary_length(follow).to_numpy(zero_copy_only=False) // TAG).astype(np.int64)
+    raw = np.frombuffer(b"".join(follow.to_pylist()), np.uint8).reshape(-1, TAG).astype(np.int64)
+    value = raw @ (1 << 8 * np.arange(TAG))
+    n = np.minimum(n, size[entry])
+    to = _flat(at, n)
+    guess[to] = value[_flat((np.cumsum(size) - size)[entry], n)]
+    weight[to] = np.repeat(rows.field(2).to_numpy(zero_copy_only=False)[entry], n)
+    return guess, weight
+
+
+def matched(code: Code, t: Tokens, n_path: np.ndarray, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the long context says: the logit of each word bit (0 where it says nothing), which tokens need no
+    spelling as they are the rare ones foretold, and the bits that telling so costs in each text."""
+    guess, weight = foretold(t, found)
+    said = np.flatnonzero(guess >= 0)
+    logit, known = np.zeros(int(n_path.sum()), np.float32), np.zeros(len(t.s), bool)
+    extra = np.zeros(len(t.off) - 1)
+    if not len(said):
+        return logit, known, extra
+    tag = guess[said]
+    symbol = code.tagged(tag)
+    text = np.searchsorted(t.off, said, side="right") - 1
+    right = (symbol == t.s[said]) & ((symbol != code.escape) | (tags(t.h[said]) == tag))
+    seen = np.arange(len(said))
+    first = np.r_[True, text[1:] != text[:-1]]
+    # how many were right in a row just before, in the same text
+    broken = np.maximum.accumulate(np.where(first, seen, np.r_[0, np.where(right[:-1], 0, seen[1:])]))
+    trust = np.log((seen - broken + weight[said] + 0.4) / 0.4).astype(np.float32)
+
+    off, nodes, bits, _ = code.word
+    size = np.diff(off)
+    shared = np.where(symbol == t.s[said], size[symbol], 0)  # steps of the path on which the guess says something
+    wrong = np.flatnonzero(symbol != t.s[said])
+    a, b = off[symbol[wrong]], off[t.s[said][wrong]]
+    most = np.minimum(size[symbol[wrong]], size[t.s[said][wrong]])
+    live = np.arange(len(wrong))
+    for k in range(int(most.max()) if len(most) else 0):
+        live = live[(most[live] > k)]
+        live = live[nodes[a[live] + k] == nodes[b[live] + k]]
+        shared[wrong[live]] += 1
+    to = _flat((np.cumsum(n_path) - n_path)[said], shared)
+    predicted = bits[_flat(off[symbol], shared)]
+    logit[to] = np.repeat(trust, shared) * (2 * predicted.astype(np.float32) - 1)
+
+    # an escape where a token without a code word is foretold: is it that one?
+    asked = np.flatnonzero((symbol == code.escape) & (t.s[said] == code.escape) & (t.which[said] >= 0))
+    if len(asked):
+        yes, whose = right[asked], text[asked]
+        start = np.r_[True, whose[1:] != whose[:-1]]
+        order = np.arange(len(asked))
+        begin = np.maximum.accumulate(np.where(start, order, 0))
+        before = np.r_[0, np.cumsum(yes)[:-1]]
+        before = before - before[begin]
+        p = (before + 1) / (order - begin + 1.25)
+        p = np.clip(p, 1e-3, 1 - 1e-3)
+        extra += np.bincount(whose, weights=-np.log2(np.where(yes, p, 1 - p)), minlength=len(extra))
+        known[said[asked[yes]]] = True
+    return logit, known, extra
 
 
 def _latest(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -240,64 +393,126 @@ def _latest(kind: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.where(seen >= begins, kind[np.maximum(seen, 0)], 0)
 
 
-def _tokens_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): kind 0 counts tokens by hash, kind 1 bytes of words and, as 256, their ends."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, n, uid, follow) of rows (uid, held_out, text): kind 0 counts learned tokens by hash, kind 1 bytes
+    of learned words and, as 256, their ends; kind 2 has the anchors of all rows, n being 1 if it is learned."""
     letters = np.zeros(257, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    names = ["kind", "key", "n", "uid", "follow"]
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
         return keys, np.bincount(inverse, weights=np.concatenate([c for _, c in held]), minlength=len(keys)).astype(np.int64)
 
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, keys: np.ndarray, n: np.ndarray, uid=None, follow=None) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(keys), 100_000):
             k = keys[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 100_000])], ["kind", "key", "n"])
-
-    for b in slices(batches, most=1 << 22):
-        w, h, _, _ = tokens(b.column(0))
-        letters[:256] += np.bincount(w.data, minlength=256)
-        letters[256] += len(w.start)
-        held.append(np.unique(h, return_counts=True))
-        if sum(len(k) for k, _ in held) > 1_000_000:  # bounded: what has been added up so far goes on
-            held = [merged()]
-            if len(held[0][0]) > 500_000:
-                yield from rows(0, *held.pop())
+            more = [pa.nulls(len(k), t) if c is None else c[i : i + 100_000] for c, t in ((uid, pa.int64()), (follow, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 100_000]), *more], names)
+
+    for batch in batches:
+        for learned in (True, False):
+            for b in slices([batch.filter(pc.equal(batch.column(1), not learned))], most=1 << 21):
+                w, h, _, off = tokens(b.column(2))
+                text, key, follow = followers(h, off)
+                yield from rows(2, key, np.full(len(key), int(learned), np.int64), b.column(0).take(pa.array(text)), follow)
+                if not learned:
+                    continue
+                letters[:256] += np.bincount(w.data, minlength=256)
+                letters[256] += len(w.start)
+                held.append(np.unique(h, return_counts=True))
+                if sum(len(k) for k, _ in held) > 1_000_000:  # bounded: what has been added up so far goes on
+                    held = [merged()]
+                    if len(held[0][0]) > 500_000:
+                        yield from rows(0, *held.pop())
     if held:
         yield from rows(0, *merged())
     letters[[0x20, 9, 10, 11, 12, 13]] = 0
     yield from rows(1, np.arange(257, dtype=np.uint64), letters)
 
 
-def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of texts of rows (text, half), each of one half."""
-    for b in batches:
-        for half in (0, 1):
-            for part in slices([b.filter(pc.equal(b.column(1), half))], most=_SLICE):
-                yield half, part.column(0)
+def groups(code: Code, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols whose paths agree at all nodes below `most`: the group of each, and of each group a symbol and the
+    length of that part of its path. Nodes below `most` come first on every path."""
+    off, nodes, bits, _ = code.word
+    size, symbols = np.diff(off), np.arange(len(code.rank))
+    low = np.r_[0, np.cumsum(nodes < most)]
+    part = low[off[1:]] - low[off[:-1]]
+    last = off[:-1] + part - 1
+    own = np.where(part > 0, (nodes[np.maximum(last, 0)].astype(np.int64) << 1 | bits[np.maximum(last, 0)]) if len(nodes) else -1, -1) if len(size) else symbols
+    _, one, group = np.unique(own, return_index=True, return_inverse=True)
+    return group, one, part[one]
+
+
+#: Classes of what went before, and shift and mask of each in Tokens.context.
+_CLASSES = ((64, 18, 63), (8, 15, 7), (4096, 0, 4095), (8, 12, 7))
 
 
-def _bits_counted(shared) -> object:
-    """(kind, half, block, planes): how often each slot of a block saw a zero and a one, as byte planes of uint32."""
+def _counted(shared) -> object:
+    """(kind, block, planes) of learned texts, as byte planes of uint32: kinds 0 to 3 say how often each group of
+    symbols came after each of _CLASSES, kinds 4 to 6 how often each slot of spellings saw a zero and a one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        seen = [[np.zeros(2 * n, np.uint32) for n in sizes()] for _ in range(2)]
-        for half, texts in _halves(batches):
-            for slots, bits, _ in events(code, texts)[:2]:
-                for k in range(3):
-                    np.add.at(seen[half][k], (slots[k] << 1) + bits, np.uint32(1))
-        for half in (0, 1):
-            for k, table in enumerate(seen[half]):
-                for at in range(0, len(table), _BLOCK):
-                    part = table[at : at + _BLOCK]
-                    if part.any():
-                        planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([half], pa.int32()), pa.array([at // _BLOCK], pa.int32()), pa.array([planes], pa.binary())], ["kind", "half", "block", "planes"])
+        whole = np.arange(len(code.rank))
+        of = [groups(code, BROAD)[0], whole, groups(code, NEAR)[0], whole]
+        seen = [np.zeros(n * (int(g.max()) + 1), np.uint32) for g, (n, _, _) in zip(of, _CLASSES)]
+        spelt = [np.zeros(2 << n, np.uint32) for n in SPELL_BITS]
+        one = np.uint32(1)
+        for b in slices(batches, most=1 << 19):
+            t = Tokens.of(code, b.column(0))
+            for table, g, (n, shift, mask) in zip(seen, of, _CLASSES):
+                np.add.at(table, g.take(t.s) * n + (t.context >> shift & mask), one)
+            slots, bits, _ = byte_bits(code, t)
+            for k, table in enumerate(spelt):
+                np.add.at(table, (slots[k] - (1 << WORD_BITS[k]) << 1) + bits, one)
+        for kind, table in enumerate(seen + spelt):
+            for at in range(0, len(table), _BLOCK):
+                part = table[at : at + _BLOCK]
+                if part.any():
+                    planes = np.ascontiguousarray(part.view(np.uint8).reshape(-1, 4).T).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at // _BLOCK], pa.int32()), pa.array([planes], pa.binary())], ["kind", "block", "planes"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the planes of each block over tasks, as float32."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for kind, block, planes in zip(*(c.to_pylist() for c in b.columns)):
+            part = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.float64)
+            total[kind, block] = total[kind, block] + part if (kind, block) in total else part
+    for (kind, block), n in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([n.astype(np.float32).tobytes()], pa.binary())], ["kind", "block", "counts"])
+
+
+def slot_counts(code: Code, seen: list[np.ndarray], k: int) -> np.ndarray:
+    """Zeros and ones in turn of the slots of table k (0 to 2), from the counts of groups and of spellings."""
+    off, nodes, bits, split = code.word
+    out = np.zeros(2 * sizes()[k], np.float32)
+    if k == 0:
+        out[: len(split)] = split
+    else:
+        for part, (n, most, shift) in enumerate(((_CLASSES[2 * k - 2][0], (BROAD, NEAR)[k - 1], (6, 12)[k - 1]), (8, len(code.rank), 3))):
+            group, one, size = groups(code, most) if part == 0 else (None, np.arange(len(code.rank)), np.diff(off))
+            steps = _flat(off[one], size)
+            g = np.repeat(np.arange(len(one)), size)
+            table = seen[2 * k - 2 + part].reshape(-1, n)
+            node, bit = nodes[steps].astype(np.int64), bits[steps]
+            if part:
+                deep = node >= (BROAD, NEAR)[k - 1]
+                g, node, bit = g[deep], node[deep], bit[deep]
+            base = (1 << WORD_BITS[k] - 1) if part else 0
+            top = int(node.max()) + 1 if len(node) else 0
+            for c in range(n):
+                n_c = np.bincount(node << 1 | bit, weights=table[g, c], minlength=2 * top)
+                to = 2 * (base + (np.arange(top) << shift | c))
+                out[to], out[to + 1] = n_c[0::2], n_c[1::2]
+    out[2 << WORD_BITS[k] :] = seen[4 + k]
+    return out
+
+
 def logits(counts: np.ndarray) -> np.ndarray:
     """From zeros and ones in turn: the logit of each slot as the bits of a float16, whose last two bits say
     instead how often the slot was seen (never, 1 to 3, 4 to 31, 32 times or more)."""
@@ -307,32 +522,11 @@ def logits(counts: np.ndarray) -> np.ndarray:
     return logit.view(np.uint16) & np.uint16(0xFFFC) | level
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the planes of each block over tasks and turns them into logits and levels, for each half and (as half 2) both."""
-    total: dict[tuple[int, int], list[np.ndarray]] = {}
-    for b in batches:
-        for kind, half, block, planes in zip(*(c.to_pylist() for c in b.columns)):
-            part = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            if (kind, block) not in total:
-                total[kind, block] = [np.zeros(len(part), np.uint64) for _ in range(2)]
-            total[kind, block][half] += part
-    for (kind, block), n in total.items():
-        found = [logits(x).tobytes() for x in (*n, n[0] + n[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * 3, pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array([block] * 3, pa.int32()), pa.array(found, pa.binary())], ["kind", "half", "block", "logits"])
-
-
-#: Weights of the three predictors from which fitting sets out: for word bits (upper half) and byte bits, by the
-#: level of the second context (lines) and of the third (columns).
-START = np.array([
-    (0.4, 0.3, 0.2), (0.4, 0.3, 0.2), (0.4, 0.3, 0.2), (0.4, 0.3, 0.3),
-    (0.4, 1.2, 0.2), (0.4, 1.1, 0.2), (0.4, 0.6, 0.2), (0.4, 0.5, 0.3),
-    (0.4, 1.0, 0.2), (0.4, 1.0, 0.3), (0.4, 0.8, 0.3), (0.4, 0.7, 0.3),
-    (0.4, 0.9, 0.2), (0.4, 0.8, 0.1), (0.2, 0.8, 0.3), (-0.4, 0.8, 0.6),
-    (0.3, 0.3, 0.2), (0.5, 0.3, 0.0), (0.4, 0.3, 0.0), (0.4, 0.4, 0.2),
-    (0.5, 0.0, 0.2), (0.5, 0.2, 0.1), (0.5, 0.1, 0.0), (0.4, 0.4, 0.2),
-    (0.3, 0.2, 0.2), (0.4, 0.3, 0.3), (0.2, 0.6, 0.2), (0.3, 0.7, 0.1),
-    (0.5, 0.2, 0.2), (0.3, 0.4, 0.6), (0.2, 0.5, 0.6), (0.1, 0.5, 0.5),
-], np.float32)
+#: Weights with which every text sets out: the three short contexts, alike in all sets; the last set, of bits that
+#: the long context foretells, trusts that one.
+START = np.full((GATES + 1, 4), 0.4, np.float32)
+START[:, 3] = 0
+START[GATES] = (0.1, 0.1, 0.1, 1.2)
 RATE, PULL, REFINE = np.float32(1.0), np.float32(20), np.float32(150)
 
 
@@ -346,48 +540,14 @@ def looked_up(tables: list[np.ndarray], slots: list[np.ndarray]) -> tuple[list[n
     return [_FLOATS.take(x) for x in found], ((found[1] & 3) << 2 | found[2] & 3).astype(np.int32)
 
 
-def cost_of(tables: list[np.ndarray], stream: Stream, start: np.ndarray) -> np.ndarray:
-    """Bits that a stream costs in each text."""
+def cost_of(tables: list[np.ndarray], stream: Stream, long: np.ndarray | None = None) -> np.ndarray:
+    """Bits that a stream costs in each text; long has the logits of the long context, if there is one."""
     slots, bits, off = stream
     x, gate = looked_up(tables, slots)
-    return mixed(x, bits, gate, off, start)
-
-
-def slopes(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For each set of weights the slope of its bits' log likelihood (3 numbers) and the curvature (9), in a row."""
-    logit = sum(start[:, i].take(gate) * x[i] for i in range(3))
-    p = 1 / (1 + np.exp(-np.clip(logit, -13, 13)))
-    miss, bend = bit - p, p * (1 - p)
-    add = lambda a: np.bincount(gate, weights=a, minlength=GATES)
-    out = np.zeros((GATES, 12))
-    for i in range(3):
-        out[:, i] = add(miss * x[i])
-        own = bend * x[i]
-        for j in range(i, 3):
-            out[:, 3 + 3 * i + j] = out[:, 3 + 3 * j + i] = add(own * x[j])
-    return out
-
-
-def _slopes_of(shared) -> object:
-    """One row: the sums of slopes over a task's texts, each seen by the tables of the half that it is not in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables = shared.value
-        total = np.zeros((2 * GATES, 12))
-        for half, texts in _halves(batches):
-            for k, (slots, bits, _) in enumerate(events(code, texts)[:2]):
-                own = slice(k * GATES, (k + 1) * GATES)
-                x, gate = looked_up(tables[1 - half], slots)
-                total[own] += slopes(x, bits, gate, START[own])
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
-
-    return run
-
-
-def fitted(sums: np.ndarray) -> np.ndarray:
-    """The weights after one Newton step from START, held near it by PULL where there are few bits."""
-    slope, bend = sums[:, :3], sums[:, 3:].reshape(-1, 3, 3) + PULL * np.eye(3)
-    return (START + np.linalg.solve(bend, slope[:, :, None])[:, :, 0]).astype(np.float32)
+    if long is not None:
+        x.append(long)
+        gate[long != 0] = GATES
+    return mixed(x, bits, gate, off, START[:, : len(x)])
 
 
 def _spans(a: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -400,6 +560,7 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
     """Bits each text costs, coded block by block in all texts at once; x are the predictors' logits, gate says
     which set of weights each bit uses, start has the weights of each set at first."""
     texts = len(off) - 1
+    inputs, sets = len(x), len(start)
     weight = np.tile(start, (texts, 1, 1))
     ones, all_ = np.zeros((texts, CELLS), np.float32), np.zeros((texts, CELLS), np.float32)
     cost, at, end, size, done = np.zeros(texts), off[:-1].copy(), off[1:], 32, 0
@@ -409,10 +570,10 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
         head = np.cumsum(n) - n
         spans = list(zip(at[live].tolist(), (at[live] + n).tolist()))
         own, (g, said) = [_spans(a, spans) for a in x], [_spans(a, spans) for a in (gate, bit)]
-        key = row * GATES + g
-        mine = weight[live].reshape(-1, 3)
+        key = row * sets + g
+        mine = weight[live].reshape(-1, inputs)
         logit = mine[:, 0].take(key) * own[0]
-        for i in (1, 2):
+        for i in range(1, inputs):
             logit += mine[:, i].take(key) * own[i]
         np.clip(logit, -13, 13, out=logit)
         p = 1 / (1 + np.exp(-logit))
@@ -424,10 +585,10 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
         np.clip(q, 1e-6, 1 - 1e-6, out=q)
         cost[live] -= np.add.reduceat(np.log(np.abs(q + (said - np.float32(1)))), head, dtype=np.float64)  # q, or 1 - q of a zero
         miss = said - p
-        m = len(live) * GATES
+        m = len(live) * sets
         pull = RATE / (np.bincount(key, minlength=m) + PULL)
         step = np.stack([np.bincount(key, weights=np.multiply(miss, a, dtype=np.float64), minlength=m) * pull for a in own], 1)
-        weight[live] = (mine + step).reshape(len(live), GATES, 3)
+        weight[live] = (mine + step).reshape(len(live), sets, inputs)
         m = len(live) * CELLS
         count = np.bincount(2 * cell + said, minlength=2 * m).reshape(-1, CELLS, 2)
         all_[live] += count.sum(2)
@@ -440,37 +601,68 @@ def mixed(x: list[np.ndarray], bit: np.ndarray, gate: np.ndarray, off: np.ndarra
 
 def _scored(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables, start = shared.value
+        code, tables = shared.value
         known = np.log10(np.r_[code.counts, 0] + 0.1)
         known[-1] = 0
         part, row = TaskContext.get().partitionId() << 33, 0
-        for b in slices(batches, "text", _SLICE):
-            words, spelled, (w, h, place, tok) = events(code, b.column(2))
-            cost = cost_of(tables, words, start[:GATES]) + cost_of(tables, spelled, start[GATES:])
-            del words, spelled
-            text = np.repeat(np.arange(b.num_rows), np.diff(tok))
-            rare = place == len(code.hashes)
-            hot = np.bincount(text, weights=known[place], minlength=b.num_rows)
-            n_rare = np.bincount(text[rare], minlength=b.num_rows)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_rare)].astype(np.int32)), pa.array(h[rare].view(np.int64)))
-            n = np.diff(tok)
-            columns = [pa.array(part + row + np.arange(b.num_rows)), b.column(0), b.column(1), pa.array(n), pa.array(n - n_rare), pa.array(hot), pa.array(-cost * np.log10(2)), pa.array(np.diff(w.doc)), lists]
-            row += b.num_rows
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "n_hot", "hot", "score", "n_bytes", "rare"])
+        for batch in batches:
+            alone = pc.is_null(batch.column(3))
+            for b in slices([batch.filter(alone), batch.filter(pc.invert(alone))], "text", _SLICE):
+                t = Tokens.of(code, b.column(2))
+                words, n_path = word_bits(code, t)
+                long = spelt = extra = None
+                if b.column(3).null_count < b.num_rows:
+                    long, spelt, extra = matched(code, t, n_path, b.column(3))
+                cost = cost_of(tables, words, long) + cost_of(tables, byte_bits(code, t, spelt))
+                if extra is not None:
+                    cost += extra
+                del words
+                text = np.repeat(np.arange(b.num_rows), np.diff(t.off))
+                rare = t.place == len(code.hashes)
+                hot = np.bincount(text, weights=known[t.place], minlength=b.num_rows)
+                n_rare = np.bincount(text[rare], minlength=b.num_rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_rare)].astype(np.int32)), pa.array(t.h[rare].view(np.int64)))
+                n = np.diff(t.off)
+                columns = [pa.array(part + row + np.arange(b.num_rows)), b.column(0), b.column(1), pa.array(n), pa.array(n - n_rare), pa.array(hot), pa.array(-cost * np.log10(2)), pa.array(np.diff(t.w.doc)), lists]
+                row += b.num_rows
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_hot", "hot", "score", "n_bytes", "rare"])
 
     return run
 
 
+def long_contexts(places: DataFrame, total: int) -> DataFrame:
+    """uid and found, a list of (key, follow, n), from the anchors (uid, key, follow, n) of all rows, `total` in number.
+
+    n of the result is how many learned rows other than the row itself have follow after key. The most common
+    follow counts; of equally common ones, that of the largest hash, or for the row that has it the smallest.
+    """
+    by = places.groupBy("key", "follow").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    pair = by.withColumn("q", F.xxhash64("follow"))
+    most = lambda q: F.max(F.struct("n", q.alias("q"), "follow"))
+    tops = pair.groupBy("key").agg(F.sum("rows").alias("rows"), most(F.col("q")).alias("a"), most(F.bitwise_not("q")).alias("b")).where("rows > 1 and a.n > 0")
+    met = join_by_weight(places.withColumnsRenamed({"follow": "own", "n": "learned"}), tops, ["key"], "rows", total)
+    mine = (F.col("learned") > 0) & (F.col("own") == F.col("a.follow"))
+    other = F.col("a.follow") != F.col("b.follow")
+    says = F.when(mine & other, F.struct("b.n", "b.follow")).when(mine, F.struct((F.col("a.n") - 1).alias("n"), "a.follow")).otherwise(F.struct("a.n", "a.follow"))
+    met = met.select("uid", "key", says.alias("says")).where("says.n > 0")
+    return met.groupBy("uid").agg(F.collect_set(F.struct("key", F.col("says.follow").alias("follow"), F.col("says.n").alias("n"))).alias("found"))
+
+
 def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes for each row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits and bits_per_byte for each row.
 
-    Learns from the rows where held_out is false. score is the model's log10 probability of the text.
+    Learns from the rows where held_out is false. score is the model's log10 probability of the text, bits the
+    same as binary digits in all; bits_per_byte is null for a text without bytes.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    rows = pick(docs, "doc_id", "text").select("doc_id", held_out.alias("held_out"), "text")
-    learned = rows.where("not held_out").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int").alias("half"))
-    counted = learned.select("text").mapInArrow(_tokens_counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = pick(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", held_out.alias("held_out"), "text")
+    learned = rows.where("not held_out").select("text")
+    raw = stored(rows.select("uid", "held_out", "text").mapInArrow(_gathered, "kind int, key long, n long, uid long, follow binary"), f"{path}/raw")
+    counted = raw.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = stored(counted, f"{path}/tokens")
+    places = raw.where("kind = 2").select("uid", "key", "follow", "n")
+    found = stored(long_contexts(places, places.count()), f"{path}/found")
+    discard(spark, f"{path}/raw")
     vocabulary = counted.where("kind = 0").select("key", "n")
     letters = np.zeros(257, np.int64)
     for r in counted.where("kind = 1").collect():  # 257 rows
@@ -488,29 +680,30 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     code = Code.of(hot.column(0).to_numpy().view(np.uint64), hot.column(1).to_numpy(), total, letters)
 
     shared = spark.sparkContext.broadcast(code)  # of bounded size: HOT tokens and their codes
-    planes = learned.mapInArrow(_bits_counted(shared), "kind int, half int, block int, planes binary")
-    tables = [[np.zeros(n, np.uint16) for n in sizes()] for _ in range(3)]
-    summed = planes.repartition("kind", "block").mapInArrow(_summed, "kind int, half int, block int, logits binary")
+    planes = learned.mapInArrow(_counted(shared), "kind int, block int, planes binary")
+    symbols = len(code.rank)
+    seen = [np.zeros(n * g, np.float32) for (n, _, _), g in zip(_CLASSES, (len(groups(code, BROAD)[1]), symbols, len(groups(code, NEAR)[1]), symbols))]
+    seen += [np.zeros(2 << n, np.float32) for n in SPELL_BITS]
+    summed = planes.repartition("kind", "block").mapInArrow(_summed, "kind int, block int, counts binary")
     for r in summed.toLocalIterator():
-        part, at = np.frombuffer(r["logits"], np.uint16), r["block"] * _BLOCK // 2
-        tables[r["half"]][r["kind"]][at : at + len(part)] = part
-    both = tables.pop()
-    del planes, summed
+        part, at = np.frombuffer(r["counts"], np.float32), r["block"] * _BLOCK
+        seen[r["kind"]][at : at + len(part)] = part
+    tables = [logits(slot_counts(code, seen, k)) for k in range(3)]
+    del planes, summed, seen
     discard(spark)
-    shared = spark.sparkContext.broadcast((code, tables))  # of fixed size, as below, but for each half
-    sums = [r["sums"] for r in learned.mapInArrow(_slopes_of(shared), "sums array<double>").collect()]  # 384 numbers a task
-    start = fitted(np.sum(sums, axis=0).reshape(2 * GATES, 12) if sums else np.zeros((2 * GATES, 12)))
-    del tables
     shared.unpersist()
-    shared = spark.sparkContext.broadcast((code, both, start))  # of fixed size: the sum of sizes(), two bytes each
+    shared = spark.sparkContext.broadcast((code, tables))  # of fixed size: the sum of sizes(), two bytes each
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_scored(shared), f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, hot double, score double, n_bytes long, rare array<long>")
+    asked = rows.join(found.withColumnRenamed("uid", "_u"), F.col("uid") == F.col("_u"), "left").select("doc_id", "held_out", "text", "found")
+    scored = asked.mapInArrow(_scored(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_hot long, hot double, score double, n_bytes long, rare array<long>")
     scored = stored(scored, f"{path}/scored")
+    discard(spark, f"{path}/found")
 
-    asked = scored.select("uid", F.explode("rare").alias("key"))
-    found = asked.join(vocabulary.where(F.col("n") < least), "key", "left")
-    by = found.groupBy(F.col("uid").alias("u")).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("cold"), F.count("n").alias("n_cold"))
-    out = scored.drop("rare").join(by, F.col("uid") == F.col("u"), "left")
+    rare = scored.select("row", F.explode("rare").alias("key"))
+    cold = rare.join(vocabulary.where(F.col("n") < least), "key", "left")
+    by = cold.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("cold"), F.count("n").alias("n_cold"))
+    out = scored.drop("rare").join(by, F.col("row") == F.col("_row"), "left")
     base = F.col("hot") + F.coalesce("cold", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(total + 0.1 * (types + 1)))
     n_known = (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).cast("long")
-    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
+    bits = -F.col("score") * float(np.log2(10))
+    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", bits.alias("bits"), F.when(F.col("n_bytes") > 0, bits / F.col("n_bytes")).alias("bits_per_byte"))

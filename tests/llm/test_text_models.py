@@ -67,12 +67,6 @@ def test_lm_base_and_score(spark, folder, documents):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
-def test_lm_beats_base_on_held_out_rows(spark):
-    got = QUERIES["op2_lm_scores"](spark, "/root/testdata/sf0.01").toPandas()
-    held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum()
-
-
 def test_lm_of_odd_rows(odd, none):
     got = cm.lm_scores(odd, remainder(10) == 0).collect()
     assert len(got) == odd.count() and cm.lm_scores(none, remainder(10) == 0).count() == 0
@@ -82,32 +76,138 @@ def test_lm_of_odd_rows(odd, none):
     assert all(r["base_score"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
+def small_code(texts):
+    keys, counts = np.unique(cm.tokens(texts)[1], return_counts=True)
+    return cm.Code.of(keys, counts, int(counts.sum()), np.ones(257, np.int64))
+
+
 def test_lm_is_a_distribution():
     """Over all texts of one coded token, the model's probabilities add up to at most one."""
     words = [f"w{i}" for i in range(50)]
-    texts = pa.array([" ".join(words * 3)] * 4)
-    h = np.concatenate([cm.tokens(texts)[1]])
-    keys, counts = np.unique(h, return_counts=True)
-    code = cm.Code.of(keys, counts, int(counts.sum()), np.ones(257, np.int64))
+    code = small_code(pa.array([" ".join(words * 3)] * 4))
     tables = [np.zeros(n, np.uint16) for n in cm.sizes()]
-    ends = pa.array(words)
-    words, spelled, _ = cm.events(code, ends)
-    cost = cm.cost_of(tables, words, cm.START[: cm.GATES]) + cm.cost_of(tables, spelled, cm.START[cm.GATES :])
+    t = cm.Tokens.of(code, pa.array(words))
+    cost = cm.cost_of(tables, cm.word_bits(code, t)[0]) + cm.cost_of(tables, cm.byte_bits(code, t))
     assert (2.0**-cost).sum() <= 1
 
 
-def test_lm_start_weights_follow_the_rows():
-    """Bits that only the third predictor foretells move its weight up and lower the cost of short texts."""
+def some_texts(documents, n=120):
+    return pa.array([r["text"] for r in documents.limit(n).collect()], pa.string())
+
+
+def test_lm_counts_of_groups_equal_counts_of_bits(documents, monkeypatch):
+    """The slots' counts, made from counts of symbols, against adding up every bit."""
+    monkeypatch.setattr(cm, "BROAD", 300)
+    monkeypatch.setattr(cm, "NEAR", 20)
+    monkeypatch.setattr(cm, "_CLASSES", cm._CLASSES)
+    texts = some_texts(documents)
+    code = small_code(texts)
+    t = cm.Tokens.of(code, texts)
+    (slots, bits, _), _ = cm.word_bits(code, t)
+    spelt, spelt_bits, _ = cm.byte_bits(code, t)
+
+    class Shared:
+        value = code
+
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    size = [64 * len(cm.groups(code, 300)[1]), 8 * len(code.rank), 4096 * len(cm.groups(code, 20)[1]), 8 * len(code.rank)]
+    seen = [np.zeros(n, np.float32) for n in size + [2 << n for n in cm.SPELL_BITS]]
+    for part in cm._summed(cm._counted(Shared)(iter([batch]))):
+        for kind, block, counts in zip(*(c.to_pylist() for c in part.columns)):
+            own = np.frombuffer(counts, np.float32)
+            seen[kind][block * cm._BLOCK : block * cm._BLOCK + len(own)] = own
+    for k in range(3):
+        want = np.zeros(2 * cm.sizes()[k], np.float32)
+        np.add.at(want, 2 * slots[k] + bits, 1)
+        np.add.at(want, 2 * spelt[k] + spelt_bits, 1)
+        got = cm.slot_counts(code, seen, k)
+        if k == 0:  # the nodes' own weights: every token of the code's making counts
+            used = want[: 2 << cm.WORD_BITS[0]] > 0
+            assert (got[: 2 << cm.WORD_BITS[0]][used] >= want[: 2 << cm.WORD_BITS[0]][used]).all()
+            got, want = got[2 << cm.WORD_BITS[0] :], want[2 << cm.WORD_BITS[0] :]
+        assert np.array_equal(got, want)
+
+
+def brute_mixed(x, bit, gate, start):
+    """One text, bit by bit in plain Python, with weights and map moved at the ends of the same blocks."""
+    weight, cost, at, size, done = [list(map(float, w)) for w in start], 0.0, 0, 32, 0
+    ones, seen = [0.0] * cm.CELLS, [0.0] * cm.CELLS
+    while at < len(bit):
+        step, used, cells = [[0.0] * len(x) for _ in weight], [0] * len(weight), []
+        for i in range(at, min(len(bit), at + size)):
+            logit = max(-13.0, min(13.0, sum(w * float(v[i]) for w, v in zip(weight[gate[i]], x))))
+            p, cell = 1 / (1 + math.exp(-logit)), int(logit + 16.5)
+            q = (float(cm.REFINE) * p + ones[cell]) / (seen[cell] + float(cm.REFINE))
+            q = min(max(q, 1e-6), 1 - 1e-6)
+            cost -= math.log2(q if bit[i] else 1 - q)
+            used[gate[i]] += 1
+            for j, v in enumerate(x):
+                step[gate[i]][j] += (bit[i] - p) * float(v[i])
+            cells.append((cell, bit[i]))
+        for g, n in enumerate(used):
+            weight[g] = [w + float(cm.RATE) * d / (n + float(cm.PULL)) for w, d in zip(weight[g], step[g])]
+        for cell, b in cells:
+            seen[cell] += 1
+            ones[cell] += b
+        at, done = at + size, done + size
+        size = min(max(32, done // 8), 1 << 14)
+    return cost
+
+
+def test_lm_mixing_against_plain_loops():
     rng = np.random.default_rng(2)
-    x = [rng.normal(size=40_000).astype(np.float32) for _ in range(3)]
-    bit = (rng.random(40_000) < 1 / (1 + np.exp(-2 * x[2]))).astype(np.uint8)
-    gate, off = np.zeros(40_000, np.int32), np.arange(0, 40_001, 100)
-    sums = np.zeros((2 * cm.GATES, 12))
-    sums[: cm.GATES] = cm.slopes(x, bit, gate, cm.START[: cm.GATES])
-    start = cm.fitted(sums)
-    assert start[0, 2] > 1 and abs(start[0, :2]).max() < 0.2 and (start[1:] == cm.START[1:]).all()
-    cost = [cm.mixed(x, bit, gate, off, w[: cm.GATES]).sum() for w in (cm.START, start)]
-    assert cost[1] < 0.95 * cost[0]
+    off = np.array([0, 0, 7, 900, 901, 2500])
+    x = [rng.normal(size=2500).astype(np.float32) * 2 for _ in range(4)]
+    bit, gate = rng.integers(0, 2, 2500).astype(np.uint8), rng.integers(0, cm.GATES + 1, 2500).astype(np.int32)
+    for inputs in (3, 4):
+        start = cm.START[:, :inputs]
+        got = cm.mixed(x[:inputs], bit, gate, off, start)
+        want = [brute_mixed([v[i:j] for v in x[:inputs]], bit[i:j].tolist(), gate[i:j], start) for i, j in zip(off, off[1:])]
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_lm_long_contexts_against_brute_force(spark):
+    """What other learned rows say after a text's own anchors, row by row."""
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 40, 200)) for _ in range(6)]
+    texts = [*base, base[0], base[0], base[1] + " more", "new words " + base[2], None, "", "a b c d e"]
+    rows = [(i, bool(i % 5 == 3), t) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.string())], ["uid", "held_out", "text"])
+    raw = pa.Table.from_batches(list(cm._gathered(iter([batch])))).to_pylist()
+    places = [(r["uid"], r["key"], r["follow"], r["n"]) for r in raw if r["kind"] == 2]
+    want, said = {}, {(u, k): f for u, k, f, _ in places}
+    assert len(said) == len(places) > 50  # a key once for each row
+    for u, k, f, n in places:
+        others = Counter(f2 for u2, k2, f2, n2 in places if k2 == k and n2 and not (u2 == u and n))
+        if others:
+            want[u, k] = others
+    out = cm.long_contexts(spark.createDataFrame(places, "uid long, key long, follow binary, n long"), len(places)).collect()
+    got = {(r["uid"], x["key"]): (bytes(x["follow"]), x["n"]) for r in out for x in r["found"]}
+    own = {(u, k): n for u, k, _, n in places}
+    for at, (follow, n) in got.items():
+        assert n == want[at][follow] and n >= max(want[at].values()) - own[at]
+    assert all(at in got or own[at] and max(others.values()) <= 1 for at, others in want.items()) and got
+
+    # a copy is foretold wholly after its first anchor, and a foretold token is the one that follows there
+    code = small_code(pa.array([t or "" for t in texts]))
+    t = cm.Tokens.of(code, pa.array(texts, pa.string()))
+    lists = [[{"key": k, "follow": f, "n": n} for (u, k), (f, n) in got.items() if u == i] for i in range(len(rows))]
+    guess, _ = cm.foretold(t, pa.array(lists, pa.list_(pa.struct([("key", pa.int64()), ("follow", pa.binary()), ("n", pa.int64())]))))
+    copy = slice(t.off[6], t.off[7])
+    first = int(np.argmax(guess[copy] >= 0))
+    assert (guess[copy][first:] == cm.tags(t.h[copy])[first:]).mean() > 0.9
+
+
+def test_lm_scores_copies_apart(spark):
+    """Documents that occur twice cost far less a token than those that occur once."""
+    folder = "/root/testdata/sf0.01"
+    got = QUERIES["op2_lm_scores"](spark, folder).toPandas().merge(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").toPandas(), on="doc_id")
+    times = got.groupby("text").doc_id.transform("count")
+    a_token = -got.score / got.n_tokens
+    assert a_token[times == 2].median() < 0.3 * a_token[times == 1].median()
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum()
+    assert np.allclose(got.bits, -got.score * math.log2(10)) and np.allclose(got.bits_per_byte * got.n_bytes, got.bits)
 
 
 def test_huffman_is_a_prefix_code():
