@@ -1,16 +1,16 @@
 """Quality classifier on supervised subword embeddings, in the manner of fastText (Joulin et al. 2016).
 
-A text's features are its words, its byte 3-, 4- and 5-grams, and one for each word pair that says the same
-word twice, hashed into 2^BUCKET_BITS learned vectors; their average goes through a softmax over the two classes. Training is plain stochastic gradient descent in numpy
-over a bounded sample of labelled rows (TRAIN_ROWS, chosen by a hash of doc_id), so it costs the same at
-every corpus size. As the output is linear in the average, scoring needs one number for each bucket: the
-vector's difference of logits. That table (512 KB, fixed) is all that executors receive; every whole text
-is scored in its own partition without a shuffle.
-
-Defined results: a null or empty text scores by the bias alone. Rows repeated are scored each. Without
-labelled rows, or with one class only, the score is the smoothed share of label 1. Labels of unknown
-documents and null labels are ignored; a doc_id labelled twice takes its larger label. An empty table
-gives no rows. Columns other than doc_id and text are not read.
+A text's features are its words, its neighbouring words' pairs and its character 3-, 4- and 5-grams, hashed into 2^BUCKET_BITS learned
+vectors; their average goes through a softmax over the two classes. Training is plain stochastic gradient
+descent in numpy over a bounded sample of labelled rows (TRAIN_ROWS and TRAIN_BYTES, in the order of a hash of
+doc_id), so it costs the same at every corpus size. As the output is linear in the average, scoring needs one
+number for each bucket: the vector's difference of logits. That table (512 KB, fixed) is all that executors
+receive; every whole text is scored in its own partition without a shuffle.
+
+Defined results: a null or empty text scores by the bias alone. Rows repeated are scored each, and learned
+once. Without labelled rows, or with one class only, the score is the smoothed share of label 1. Labels of
+unknown documents, null labels and labels other than 0 and 1 are ignored; a doc_id labelled twice takes its
+larger label. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,15 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import Words, pick, slices
 
 BUCKET_BITS, DIM, GRAMS = 17, 16, (3, 4, 5)
-#: At most this many labelled rows are learned from, in EPOCHS passes.
-TRAIN_ROWS, EPOCHS, RATE = 4096, 4, 0.5
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: At most so many labelled rows, and bytes of whole texts, are learned from, in EPOCHS passes.
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, RATE = 4096, 1 << 26, 6, 1.0
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, and the text of each; null counts as empty."""
+    whole = "".join(texts.fill_null("").to_pylist())
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    size = pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
+    return points, np.repeat(np.arange(len(texts), dtype=np.int32), size)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,20 +44,19 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     w = Words(texts)
     shift = np.uint64(64 - BUCKET_BITS)
     h, whose = w.hashes(), np.repeat(np.arange(len(w.doc) - 1, dtype=np.int32), w.counts())
-    echo = whose[1:][(h[1:] == h[:-1]) & (whose[1:] == whose[:-1])]
-    ids, owner = [((h * _MIX) >> shift).astype(np.int32), np.zeros(len(echo), np.int32)], [whose, echo]
-    n = len(w.data)
-    text = np.repeat(np.arange(len(w.doc) - 1, dtype=np.int32), np.diff(w.doc))
-    gram = w.data.astype(np.uint64)
+    pair = (h[:-1] * _MIX ^ h[1:]) * _MIX
+    inside = whose[1:] == whose[:-1]
+    ids, owner = [(h * _MIX >> shift).astype(np.int32), (pair[inside] >> shift).astype(np.int32)], [whose, whose[1:][inside]]
+    points, text = characters(texts)
+    gram = points.astype(np.uint64) + np.uint64(1)
     for k in range(2, max(GRAMS) + 1):
-        m = n - k + 1
+        m = len(points) - k + 1
         if m <= 0:
             break
-        gram = gram[:m] | (w.data[k - 1 :].astype(np.uint64) << np.uint64(8 * (k - 1)))
+        gram = gram[:m] * _STEP + points[k - 1 :]
         if k in GRAMS:
             inside = text[:m] == text[k - 1 :]
-            bucket = (((gram ^ (np.uint64(k) << np.uint64(56))) * _MIX) >> shift).astype(np.int32)
-            ids.append(bucket[inside])
+            ids.append(((gram ^ np.uint64(k)) * _MIX >> shift).astype(np.int32)[inside])
             owner.append(text[:m][inside])
     return np.concatenate(ids), np.concatenate(owner)
 
@@ -96,16 +104,27 @@ def _scored(table: np.ndarray, bias: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, learned: Column, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """Learns from at most `rows` labelled documents (columns doc_id, label) where `learned` holds of doc_id.
+def train(docs: DataFrame, labels: DataFrame, learned: Column, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> tuple[np.ndarray, float]:
+    """Learns from labelled documents (columns doc_id, label) where `learned` holds of doc_id: at most `rows` rows
+    of at most `most` bytes together.
 
-    The ids are chosen among the labels first, so that the documents are only filtered by a list of bounded
-    size and no text is shuffled.
+    The ids are chosen among the labels first, in the order of a hash; then rows by their sizes, a text that no
+    longer fits being passed over; so texts are only filtered by lists of bounded size and none is shuffled or cut.
     """
-    known = pick(labels, "doc_id", "label").where("label is not null and doc_id is not null").where(learned)
+    known = pick(labels, "doc_id", "label").where("label in (0, 1) and doc_id is not null").where(learned)
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = pick(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return learn([t or "" for t in sample.column("text").to_pylist()], sample.column("label").to_pylist())
+    texts = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(known), "doc_id")
+    texts = texts.withColumn("th", F.xxhash64("text"))
+    sizes = texts.groupBy("doc_id", "th").agg(F.max(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(rows)
+    chosen, room = [], most
+    for r in sizes.collect():  # at most `rows` rows of three numbers
+        if r["size"] <= room:
+            chosen.append((r["doc_id"], r["th"]))
+            room -= r["size"]
+    only = docs.sparkSession.createDataFrame(chosen, known.select("doc_id", F.lit(0).cast("long").alias("th")).schema)
+    sample = texts.join(F.broadcast(only), ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    sample = sample.toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
+    return learn(sample.column("text").to_pylist(), sample.column("label").to_pylist())
 
 
 def score(docs: DataFrame, table: np.ndarray, bias: float, held_out: Column) -> DataFrame:

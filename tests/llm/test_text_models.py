@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.llm import context_mixing as cm
+from kgspark.llm import quality_classifier as qc
 from kgspark.llm.byte_bpe import byte_bpe, default_path
+from kgspark.llm.common import Words
 from kgspark.llm.html_text import extract, main_text
 from kgspark.llm.packing import first_fit_decreasing, pack, packed
 from kgspark.llm.piece_lattice import Lattice, lattice, marked, max_plus
@@ -47,6 +49,46 @@ def test_classifier_of_odd_rows(spark, odd, none):
     assert bias == 0 and not table.any()
 
 
+def test_classifier_score_against_plain_loops(spark, odd):
+    """Every feature of every text, one at a time; repeated rows, texts of other scripts, empty ones."""
+    labels = spark.createDataFrame([(1, 1), (7, 0), (8, 1), (9, 0)], "doc_id long, label int")
+    table, bias = train(odd, labels, remainder(3) != 5)
+    low, word_hash = 2**64 - 1, lambda w: int(Words(pa.array([w])).hashes()[0])
+    a, step = int(qc._MIX), int(qc._STEP)
+
+    def plain(text):
+        words = [word_hash(w) for w in WORD.findall(text)]
+        hashes = [w * a & low for w in words] + [((x * a & low) ^ y) * a & low for x, y in zip(words, words[1:])]
+        for k in qc.GRAMS:
+            for i in range(len(text) - k + 1):
+                g = ord(text[i]) + 1
+                for c in text[i + 1 : i + k]:
+                    g = (g * step + ord(c)) & low
+                hashes.append((g ^ k) * a & low)
+        logit = sum(float(table[h >> (64 - qc.BUCKET_BITS)]) for h in hashes) / max(1, len(hashes)) + bias
+        return 1 / (1 + math.exp(-logit))
+
+    small = odd.where("doc_id <> 8 or doc_id is null")
+    got = sorted((str(r["doc_id"]), r["score"]) for r in score(small, table, bias, remainder(3) == 1).collect())
+    want = sorted((str(r["doc_id"]), plain(r["text"] or "")) for r in small.collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-4)
+
+
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """Labels beyond 0 and 1 are ignored; repeated ids and long texts keep within rows and bytes; whole texts only."""
+    rows = [(i % 50, f"text {i} " * 20) for i in range(400)] + [(60, "long " * 10_000), (61, "kept " * 5), (61, "kept " * 5), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(63)] + [(3, 2), (4, -1), (5, None), (None, 1), (99, 1)], "doc_id long, label int")
+    seen = {}
+    monkeypatch.setattr(qc, "learn", lambda texts, own: seen.update(texts=texts, labels=own) or (np.zeros(1 << qc.BUCKET_BITS, np.float32), 0.0))
+    train(docs, labels, F.lit(True), rows=100, most=8000)
+    assert 0 < len(seen["texts"]) <= 100 and sum(len(t.encode()) for t in seen["texts"]) <= 8000
+    assert set(seen["labels"]) <= {0, 1} and set(seen["texts"]) <= {t or "" for _, t in rows}
+    train(docs, labels, F.lit(True))
+    assert seen["texts"].count("kept " * 5) == 1 and len(seen["texts"]) == 403
+    assert train(docs.limit(0), labels, F.lit(True)) and seen["texts"] == []
+
+
 def test_html_after_self_closed_svg_and_custom_elements():
     kept = "The committee met on Tuesday and agreed that the bridge would be repaired before the winter began. " * 4
     for odd in ('<svg class="i" width="1"/>', "<svg />", "<button-group>x</button-group>", '<svg><path d="M0"/></svg>'):
