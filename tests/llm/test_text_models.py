@@ -434,10 +434,56 @@ def test_main_text():
     assert main_text("<article><p>Unclosed & <b>bold text here.") == "Unclosed & bold text here."
 
 
+STORY = "<h1>The bridge will be repaired soon</h1>" + "<p>The council met on Monday evening and agreed to repair the old bridge before the winter. It voted twice.</p>" * 4
+STORY_TEXT = "\n\n".join(["The bridge will be repaired soon", *["The council met on Monday evening and agreed to repair the old bridge before the winter. It voted twice."] * 4])
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<article class="post tag-news category-x tags">%s</article>',
+        '<article class="post share sidebar-left">%s</article>',
+        '<div class="post tag">%s</div>',
+        '<div class="search-results">%s</div>',
+        '<div class="post comments-open">%s</div>',
+        '<form id="aspnetForm">%s</form>',
+        '<div id="header"><main>%s</main></div>',
+        "<aside><article>%s</article>",
+        "<article><a name=top>%s</article>",
+        "<article><svg/>%s</article>",
+        '<article>%s<button class="x">Share <b>it</b></button><select><option>A<option>B</select></article>',
+        "<article>%s<a href=/other><div>Read the other story of the week</div></a></article>",
+        "<article>%s<div class=comments><p>I like this story very much, thank you for writing it.</p></div></article>",
+        "<article>%s</article><section id=comments><article class=comment><p>I like this story very much, thank you all.</p></article></section>",
+        "<article>%s</article><div class=related><h3>More</h3><p>Another story that you may like to read today, too.</p></div>",
+        "<script>document.write('<p>no</p>')</script><article>%s<!-- <p>hidden words of the page</p> --></article>",
+    ],
+)
+def test_main_text_in_other_templates(around):
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>{around % STORY}<footer>&copy; us</footer></body></html>"
+    assert main_text(page) == STORY_TEXT
+
+
+@pytest.mark.parametrize("raw", ["button", "select", "object", "textarea", "svg", "iframe", "template", "noscript"])
+def test_unclosed_elements_lose_their_tag_alone(raw):
+    assert main_text(f"<article><{raw}>{STORY}</article>") == STORY_TEXT
+    assert main_text(f"<article>{STORY}<{raw}></article>") == STORY_TEXT
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "> "', "<button>", "<svg>", "<", "<!--", "</p", "&", "<p>a", "<div class='ad'>", "<select><p>", "x " * 20])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    main_text(part * (2_000_000 // len(part)))
+    assert time.process_time() - began < 15
+
+
 def test_extract(spark):
-    pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "<p>x", 5)], "page_id long, url string, html string, n_chars int")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract(pages).collect()}
-    assert got[2] == ("", 0) and got[1][1] == len(got[1][0]) > 0
+    pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "u", "<p>x", 5)], "page_id long, url string, html string, n_chars int")
+    rows = extract(pages).collect()
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in rows}
+    assert len(rows) == 4 and got[2] == ("", 0) and got[1][1] == len(got[1][0]) > 0
     assert extract(pages.limit(0)).count() == 0
 
 
