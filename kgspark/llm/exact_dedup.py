@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import keep_rows, pick, shared_dir, stored
+from kgspark.llm.common import join_by_weight, pick, shared_dir, stored
 
 #: Entries of the index: op is 0 for stored ones, 1 for insertions, 2 for deletions.
-ENTRY = "digest binary, other long, bytes long, keep_id long, copies long, op int"
-_FIELDS = pa.schema([("digest", pa.binary()), ("other", pa.int64()), ("bytes", pa.int64()), ("keep_id", pa.int64()), ("copies", pa.int64()), ("op", pa.int32())])
+ENTRY = "digest binary, other long, bytes long, keep_id long, keep_row long, copies long, op int"
+_FIELDS = pa.schema([("digest", pa.binary()), ("other", pa.int64()), ("bytes", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("copies", pa.int64()), ("op", pa.int32())])
 _SLOTS, _KICKS = 4, 200
 
 
@@ -35,7 +35,7 @@ class CuckooIndex:
 
     def __init__(self, buckets: int = 256):
         self.digests = bytearray()
-        self.other, self.bytes, self.keep, self.copies = array("q"), array("q"), array("q"), array("q")
+        self.other, self.bytes, self.keep, self.row, self.copies = (array("q") for _ in range(5))
         self.known = bytearray()  # 1: keep is a real id, 0: null
         self.live = 0
         self._make(buckets)
@@ -97,18 +97,21 @@ class CuckooIndex:
             if all(self._place(e) for e in range(len(self.copies)) if self.copies[e] > 0):
                 return
 
-    def insert(self, digest: bytes, other: int, size: int, keep: int | None, copies: int) -> None:
+    def insert(self, digest: bytes, other: int, size: int, keep: int | None, copies: int, row: int = 0) -> None:
+        """Adds copies of a text, the best of which has the id `keep` and stands in `row`; of equal ids the first row stays."""
         e = self.find(digest, other, size)
         if e >= 0:
             self.copies[e] += copies
-            if keep is not None and (not self.known[e] or keep > self.keep[e]):
-                self.keep[e], self.known[e] = keep, 1
+            was = (self.known[e], self.keep[e], -self.row[e])
+            if (int(keep is not None), keep or 0, -row) > was:
+                self.keep[e], self.known[e], self.row[e] = keep or 0, keep is not None, row
             return
         self.digests += digest
         self.other.append(other)
         self.bytes.append(size)
         self.keep.append(0 if keep is None else keep)
         self.known.append(keep is not None)
+        self.row.append(row)
         self.copies.append(copies)
         self.live += 1
         if self.live > 0.94 * _SLOTS * (self.mask + 1) or not self._place(len(self.copies) - 1):
@@ -138,6 +141,7 @@ class CuckooIndex:
                     pa.array([self.other[e] for e in part], pa.int64()),
                     pa.array([self.bytes[e] for e in part], pa.int64()),
                     pa.array([self.keep[e] if self.known[e] else None for e in part], pa.int64()),
+                    pa.array([self.row[e] for e in part], pa.int64()),
                     pa.array([self.copies[e] for e in part], pa.int64()),
                     pa.array([0] * len(part), pa.int32()),
                 ],
@@ -148,11 +152,11 @@ class CuckooIndex:
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
     for b in batches:
-        for digest, other, size, keep, copies, op in zip(*(c.to_pylist() for c in b.columns)):
+        for digest, other, size, keep, row, copies, op in zip(*(c.to_pylist() for c in b.columns)):
             if op == 2:
                 index.delete(digest, other, size)
             else:
-                index.insert(digest, other, size, keep, copies)
+                index.insert(digest, other, size, keep, copies, row)
     yield from index.entries()
 
 
@@ -161,10 +165,14 @@ def _content(text: Column) -> list[Column]:
     return [F.unhex(F.sha2(t, 256)).alias("digest"), F.xxhash64(t).alias("other"), F.octet_length(t).cast("long").alias("bytes")]
 
 
-def entries_of(docs: DataFrame, op: int = 1) -> DataFrame:
-    """Index entries of docs, with copies collapsed within each input partition."""
-    rows = pick(docs, "doc_id", "text")
-    rows = rows.select(*_content(F.col("text")), F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("copies"), F.lit(1).alias("op"))
+def digested(docs: DataFrame) -> DataFrame:
+    """digest, other, bytes, doc_id and row, a number of its own, for each row of docs."""
+    return pick(docs, "doc_id", "text").select(*_content(F.col("text")), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
+
+
+def entries_of(rows: DataFrame, op: int = 1) -> DataFrame:
+    """Index entries of digested rows, with copies collapsed within each input partition."""
+    rows = rows.select("digest", "other", "bytes", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("copies"), F.lit(1).alias("op"))
     return rows.mapInArrow(_apply, ENTRY).withColumn("op", F.lit(op))
 
 
@@ -182,14 +190,17 @@ class ExactDedup:
         self.state = stored(shards.mapInArrow(_apply, ENTRY), f"{self.path}/v{self.version}")
 
     def insert(self, docs: DataFrame) -> None:
-        self._change(entries_of(docs))
+        self.insert_digested(digested(docs))
+
+    def insert_digested(self, rows: DataFrame) -> None:
+        self._change(entries_of(rows))
 
     def delete(self, docs: DataFrame) -> None:
         """Makes the texts of docs unknown again, all copies of each."""
-        self._change(entries_of(docs, op=2))
+        self._change(entries_of(digested(docs), op=2))
 
     def live(self) -> DataFrame:
-        """One row for each live text: digest, other, bytes, keep_id, copies."""
+        """One row for each live text: digest, other, bytes, keep_id, keep_row, copies."""
         if self.state is None:
             return self.spark.createDataFrame([], ENTRY).drop("op")
         return self.state.drop("op")
@@ -198,30 +209,34 @@ class ExactDedup:
 def exact_groups(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     index = ExactDedup(docs.sparkSession)
-    index.insert(docs)
-    rows = pick(docs, "doc_id", "text").select("doc_id", *_content(F.col("text")))
-    groups = index.live().select("digest", "keep_id", F.col("copies").alias("group_size"))
-    # Only groups with copies are joined to the rows; a row that finds none stands alone.
-    found = rows.select("doc_id", "digest").join(groups.where("group_size > 1"), "digest", "left")
-    found = found.select("doc_id", "digest", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
-    # Rows repeated whole share digest and doc_id: the first of them is the one that can be kept.
-    same = Window.partitionBy("digest", "doc_id").orderBy("group_size")
-    found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & ((F.col("group_size") == 1) | (F.row_number().over(same) == 1)))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = stored(digested(docs), f"{index.path}/rows")
+    index.insert_digested(rows)
+    # Only groups with copies are joined to the rows, the largest by broadcast; a row that finds none stands alone.
+    groups = index.live().where("copies > 1").select("digest", "keep_id", "keep_row", F.col("copies").alias("group_size"))
+    found = join_by_weight(rows.select("digest", "doc_id", "row"), groups, ["digest"], "group_size", rows.count(), "left")
+    alone = F.col("group_size").isNull()
+    return found.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs without the copies that go; all columns as they were.
 
-    Rows repeated with one doc_id but different texts are told apart by the text.
+    Rows repeated with one doc_id but different texts are told apart by the text; of rows with one doc_id and one
+    text the one whose other columns come first as strings stays.
     """
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     at, text = docs.columns.index("doc_id"), docs.columns.index("text")
     index = ExactDedup(docs.sparkSession)
     index.insert(docs)
-    groups = index.live().where("copies > 1").select(F.col("digest").alias("_d"), F.col("keep_id").alias("_keep"))
-    marked = flat.withColumn("_h", _content(F.col(f"_c{text}"))[0]).join(groups, F.col("_h") == F.col("_d"), "left")
-    alone = marked.where(F.col("_d").isNull())
+    groups = index.live().where("copies > 1").select(F.col("digest").alias("_h"), F.col("keep_id").alias("_keep"), F.col("copies").alias("_copies"))
+    marked = join_by_weight(flat.withColumn("_h", _content(F.col(f"_c{text}"))[0]), groups, ["_h"], "_copies", docs.count(), "left")
+    alone = marked.where(F.col("_copies").isNull())
     first = Window.partitionBy("_h").orderBy(*[F.col(f"_c{i}").cast("string") for i in range(len(docs.columns)) if i != text])
-    best = marked.where(F.col("_d").isNotNull() & F.col(f"_c{at}").eqNullSafe(F.col("_keep"))).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return alone.unionByName(best).drop("_h", "_d", "_keep").toDF(*docs.columns)
+    best = marked.where(F.col("_copies").isNotNull() & F.col(f"_c{at}").eqNullSafe(F.col("_keep"))).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return alone.unionByName(best).select(*flat.columns).toDF(*docs.columns)
