@@ -51,14 +51,22 @@ def sketches(grams: np.ndarray, off: np.ndarray, perms: int) -> np.ndarray:
     return out
 
 
+def band_values(perms: int, rows: int) -> list[list[int]]:
+    """Which values of a sketch each band takes: minima and, from other permutations, as many maxima."""
+    bands, half = 2 * perms // rows, rows // 2
+    if rows % 2 or 2 * perms % rows:
+        raise ValueError("rows must be even and divide twice the number of permutations")
+    low = [[b + r * bands for r in range(half)] for b in range(bands)]
+    return [own + [perms + (p + bands // 2) % perms for p in own] for own in low]
+
+
 def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key for each band of `rows` values. A band takes its values from different permutations
-    where it can: value i of the sketch goes to band i mod the number of bands."""
-    bands = sketch.shape[1] // rows
-    out = np.empty((len(sketch), bands), np.uint64)
-    for b in range(bands):
+    """A 64-bit key for each band of `rows` values, all of different permutations."""
+    values = band_values(sketch.shape[1] // 2, rows)
+    out = np.empty((len(sketch), len(values)), np.uint64)
+    for b, own in enumerate(values):
         key = np.full(len(sketch), b + 1, np.uint64)
-        for r in range(rows):
-            key = splitmix(key * np.uint64(0x9E3779B97F4A7C15) ^ sketch[:, b + r * bands])
+        for v in own:
+            key = splitmix(key * np.uint64(0x9E3779B97F4A7C15) ^ sketch[:, v])
         out[:, b] = key
     return out

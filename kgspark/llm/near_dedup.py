@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import keep_rows, pick, shared_dir, slices, splitmix, stored
+from kgspark.llm.common import join_by_weight, keep_rows, pick, shared_dir, slices, splitmix, stored
 from kgspark.llm.minmax import band_keys, shingle_sets, sketches
 from kgspark.operators.graph import connected_components
 
-BLOCK = 512
+#: Texts of a block when all members of a bucket are compared; partners of a hub that make up one job.
+BLOCK, STAR = 512, 64
 
 
 def _set_sums(grams: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 48,
     sk = save(texts.mapInArrow(_sketched(k, perms, rows), "doc_id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
 
     real = sk.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
     spots = save(classes.select("rep", "s1", F.explode("bands").alias("key")), "spots")
     buckets = spots.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
     met = save(spots.join(buckets.select("key", "hub"), "key"), "met")
@@ -139,7 +140,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 48,
 
     # Stars: each member with the smallest of its bucket; partners of one hub are dealt into blocks.
     star = met.where("rep <> hub").select("hub", "rep", "s1").distinct()
-    parts = star.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("parts"))
+    parts = star.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("long").alias("parts"))
     star = star.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     members = star.select(F.struct("hub", "part").alias("job"), F.lit(1).alias("role"), F.col("rep").alias("id"), "s1")
     hubs = star.select("hub", "part").distinct().join(sums, F.col("hub") == F.col("id"))
@@ -159,7 +160,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 48,
     all_ = left.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ub") - 1)).alias("i"), deal("mb").alias("j"), F.lit(1).alias("role"), "rep", "s1")
     second = links(rest.union(all_).select(F.struct("key", "i", "j").alias("job"), "role", F.col("rep").alias("id"), "s1"), "links2")
 
-    placed = real.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps"))
+    sizes = save(classes.select("s1", "s2", "rep", "size"), "sizes")
+    placed = join_by_weight(real.select("doc_id", "s1", "s2"), sizes, ["s1", "s2"], "size", real.count()).groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps"))
     placed = save(placed, "placed")
     twice = placed.where("lo <> hi").select(F.explode("reps").alias("a"), F.col("lo").alias("b"))
     label = connected_components(first.union(second).union(twice), lambda df, name: save(df, f"cc2/{name}"))

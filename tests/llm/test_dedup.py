@@ -10,6 +10,7 @@ import pytest
 from kgspark.llm.exact_dedup import CuckooIndex, ExactDedup, exact_dedup, exact_groups
 from kgspark.llm.line_dedup import LineRuns, line_dedup
 from kgspark.llm.near_dedup import _exact_links, near_dedup, near_groups
+from kgspark.llm.minmax import band_keys, band_values, sketches
 from kgspark.llm.substring_dedup import FingerprintRuns, substring_cut, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,6 +44,14 @@ def test_exact_groups_of_odd_rows(odd, none):
     assert sum(r["kept"] for r in got) == len({r["text_sha256"] for r in got})
 
 
+def test_exact_groups_of_one_repeated_row(spark):
+    """Rows that are repeated whole, beyond what one task should hold: one of them stays."""
+    docs = spark.createDataFrame([(7, "same")] * 5000 + [(8, "same")] * 3 + [(None, "x")] * 4 + [(1, "y")], "doc_id long, text string").repartition(6)
+    got = exact_groups(docs).toPandas()
+    assert len(got) == 5008 and got.kept.sum() == 3 and got[got.kept & (got.group_size == 5003)].doc_id.tolist() == [8]
+    assert exact_dedup(docs).count() == 3
+
+
 def test_exact_dedup_keeps_columns(odd, none):
     out = exact_dedup(odd)
     assert out.columns == odd.columns and out.count() == len({t or "" for t in (r["text"] for r in odd.collect())})
@@ -187,6 +196,36 @@ def test_near_of_odd_rows(odd, none):
     assert out.columns == odd.columns and out.where("doc_id = 2").count() == 0 and out.where("doc_id = 5").count() == 1
 
 
+def test_bands_take_different_permutations():
+    for own in band_values(48, 4):
+        assert len({v % 48 for v in own}) == 4 and sum(v < 48 for v in own) == 2
+    assert sorted(v for own in band_values(48, 4) for v in own) == list(range(96))
+
+
+def test_sketches_find_pairs_near_the_threshold():
+    """Pairs of similarity 0.8 share a band; each extreme agrees as often as the sets are alike."""
+    rng = np.random.default_rng(11)
+    same, own = 160, 20
+    sets = []
+    for _ in range(1500):
+        common = rng.integers(0, 2**63, same, dtype=np.uint64)
+        sets += [np.sort(np.r_[common, rng.integers(0, 2**63, own, dtype=np.uint64)]) for _ in range(2)]
+    sketch = sketches(np.concatenate(sets), np.arange(len(sets) + 1) * (same + own), 48)
+    agree = sketch[::2] == sketch[1::2]
+    assert abs(agree[:, :48].mean() - 0.8) < 0.01 and abs(agree[:, 48:].mean() - 0.8) < 0.01
+    keys = band_keys(sketch, 4)
+    assert (keys[::2] == keys[1::2]).any(1).all()
+
+
+def test_near_large_group_of_copies(spark):
+    """Exact and near copies of one text, some thousand, and a group that no hub links whole."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(2000)] + [(2000 + i, " ".join([*base[:-1], f"x{i}"])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_groups(docs, 4, 80)
+    assert got.where("component_id <> 0").count() == 0 and got.where("kept").count() == 1
+
+
 def test_exact_links():
     a = [np.array([1, 2, 3, 4, 5], np.uint64), np.array([9], np.uint64)]
     b = [np.array([1, 2, 3, 4], np.uint64), np.array([7, 8], np.uint64)]
