@@ -630,17 +630,20 @@ def _scored(shared) -> object:
     return run
 
 
-def long_contexts(places: DataFrame, total: int) -> DataFrame:
+def long_contexts(places: DataFrame, total: int, store) -> DataFrame:
     """uid and found, a list of (key, follow, n), from the anchors (uid, key, follow, n) of all rows, `total` in number.
 
     n of the result is how many learned rows other than the row itself have follow after key. The most common
     follow counts; of equally common ones, that of the largest hash, or for the row that has it the smallest.
+    Only keys in two rows or more, one of them learned, can say anything; what follows the others isn't moved twice.
+    store(df, name) writes and rereads a table.
     """
-    by = places.groupBy("key", "follow").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
-    pair = by.withColumn("q", F.xxhash64("follow"))
+    many = store(places.groupBy("key").agg(F.sum("n").alias("known"), F.count("*").alias("rows")).where("rows > 1 and known > 0").select("key", "rows"), "many")
+    met = store(join_by_weight(places, many, ["key"], "rows", total), "met")
+    by = met.groupBy("key", "follow").agg(F.sum("n").alias("n"), F.first("rows").alias("rows")).withColumn("q", F.xxhash64("follow"))
     most = lambda q: F.max(F.struct("n", q.alias("q"), "follow"))
-    tops = pair.groupBy("key").agg(F.sum("rows").alias("rows"), most(F.col("q")).alias("a"), most(F.bitwise_not("q")).alias("b")).where("rows > 1 and a.n > 0")
-    met = join_by_weight(places.withColumnsRenamed({"follow": "own", "n": "learned"}), tops, ["key"], "rows", total)
+    tops = store(by.groupBy("key").agg(F.first("rows").alias("rows"), most(F.col("q")).alias("a"), most(F.bitwise_not("q")).alias("b")).where("a.n > 0"), "tops")
+    met = join_by_weight(met.select("uid", "key", F.col("follow").alias("own"), F.col("n").alias("learned")), tops, ["key"], "rows", total)
     mine = (F.col("learned") > 0) & (F.col("own") == F.col("a.follow"))
     other = F.col("a.follow") != F.col("b.follow")
     says = F.when(mine & other, F.struct("b.n", "b.follow")).when(mine, F.struct((F.col("a.n") - 1).alias("n"), "a.follow")).otherwise(F.struct("a.n", "a.follow"))
@@ -661,8 +664,8 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     counted = raw.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = stored(counted, f"{path}/tokens")
     places = raw.where("kind = 2").select("uid", "key", "follow", "n")
-    found = stored(long_contexts(places, places.count()), f"{path}/found")
-    discard(spark, f"{path}/raw")
+    found = stored(long_contexts(places, places.count(), lambda df, name: stored(df, f"{path}/{name}")), f"{path}/found")
+    discard(spark, *(f"{path}/{name}" for name in ("raw", "many", "met", "tops")))
     vocabulary = counted.where("kind = 0").select("key", "n")
     letters = np.zeros(257, np.int64)
     for r in counted.where("kind = 1").collect():  # 257 rows

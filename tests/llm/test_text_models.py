@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from kgspark.llm import context_mixing as cm
 from kgspark.llm import quality_classifier as qc
 from kgspark.llm.byte_bpe import byte_bpe, default_path
-from kgspark.llm.common import Words
+from kgspark.llm.common import Words, stored
 from kgspark.llm.html_text import extract, main_text
 from kgspark.llm.packing import first_fit_decreasing, pack, packed
 from kgspark.llm.piece_lattice import Lattice, lattice, marked, max_plus
@@ -208,7 +208,7 @@ def test_lm_mixing_against_plain_loops():
         assert np.allclose(got, want, rtol=1e-4)
 
 
-def test_lm_long_contexts_against_brute_force(spark):
+def test_lm_long_contexts_against_brute_force(spark, tmp_path):
     """What other learned rows say after a text's own anchors, row by row."""
     rng = np.random.default_rng(4)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 40, 200)) for _ in range(6)]
@@ -223,7 +223,7 @@ def test_lm_long_contexts_against_brute_force(spark):
         others = Counter(f2 for u2, k2, f2, n2 in places if k2 == k and n2 and not (u2 == u and n))
         if others:
             want[u, k] = others
-    out = cm.long_contexts(spark.createDataFrame(places, "uid long, key long, follow binary, n long"), len(places)).collect()
+    out = cm.long_contexts(spark.createDataFrame(places, "uid long, key long, follow binary, n long"), len(places), lambda df, name: stored(df, f"file://{tmp_path}/{name}")).collect()
     got = {(r["uid"], x["key"]): (bytes(x["follow"]), x["n"]) for r in out for x in r["found"]}
     own = {(u, k): n for u, k, _, n in places}
     for at, (follow, n) in got.items():
