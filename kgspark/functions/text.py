@@ -146,11 +146,11 @@ def new_query(s: Column | str) -> Column:
 
 #: Phrases of a rationale that speak for merging, and for keeping apart (fixed values).
 MERGE_PHRASES = (
-    "same entity", "same concept", "same meaning", "same as", "identical to", "equivalent to", "refers? to the same", "should be merged", "can be merged",
-    "merge(?:d)? with", "grouped with", "belongs? (?:to|with|in) (?:group|cluster)", "duplicates? of", "synonyms?", "alias(?:es)? of", "合并",
+    "应该?合并", "可合并", "需要合并", "建议合并", "should.*merge", "can.*merge", "need.*merge", "identical", "equivalent", "same", "完全一致", "信息.*一致",
+    "互换使用", "interchangeable", "同义", "synonym",
 )
 SEPARATE_PHRASES = (
-    "separate", "distinct", "different", "not the same", "not identical", "unrelated", "keep apart", "standalone", "should not be merged", "independent", "单独",
+    "应该?分开", "保持.*独立", "单独.*组", "不.*合并", "should.*separate", "keep.*separate", "distinct", "different", "不同", "有差异", "不一致",
 )
 
 
@@ -163,7 +163,7 @@ def rationale_flag(rationale: Column | str, members: Column | str) -> Column:
 
 def rationale_numbers(rationale: Column | str) -> Column:
     """Numbers of the groups, clusters or members that a rationale names."""
-    found = F.regexp_extract_all(F.lower(_c(rationale)), F.lit(r"(?:group|cluster|member|item|candidate)s?\s*#?\s*(\d+)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(_c(rationale)), F.lit(r"(?:group|cluster|member|item|candidate|组|成员|项)s?\s*#?\s*(\d+)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
 
 

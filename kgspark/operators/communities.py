@@ -94,6 +94,27 @@ def average_link_groups(rows: DataFrame, threshold: float) -> DataFrame:
     return keyed.join(found, ["grp", "first"]).select("grp", "pos", "cluster")
 
 
+def single_link(vectors: np.ndarray, threshold: float) -> list[int]:
+    """Labels of greedy clusters: each vector joins the first cluster that has a member with an inner product of at
+    least threshold, or begins one."""
+    labels: list[int] = []
+    for i, v in enumerate(vectors):
+        near = [labels[j] for j in np.flatnonzero(vectors[:i] @ v >= threshold)]
+        labels.append(min(near) if near else max(labels, default=-1) + 1)
+    return labels
+
+
+def single_link_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """(grp, pos, cluster) of rows (grp, pos, vec) by single_link() in order of pos; a group is one task's work."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pos")
+        return pd.DataFrame({"grp": g["grp"], "pos": g["pos"], "cluster": single_link(np.array(g["vec"].tolist(), float), threshold)})
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("grp", "pos")}
+    return rows.select("grp", "pos", "vec").groupBy("grp").applyInPandas(run, f"grp {kind['grp']}, pos {kind['pos']}, cluster int")
+
+
 def fused(edges: DataFrame, centres: DataFrame, weight: float = 0.3) -> DataFrame:
     """(a, b, sim): weight * jaccard of out-neighbours + (1 - weight) * cosine, for pairs within a group (grp,
     node_id, vec); groups are bounded by the clustering that made them."""

@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, store: Callable[[DataFrame, str], Dat
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("components did not settle after 199 rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
@@ -168,3 +170,45 @@ def alias_targets(nodes: DataFrame, edges: DataFrame, relations: tuple[str, ...]
     first = edges.where(F.col("relation").isin(*relations)).groupBy("src").agg(F.min_by("dst", "edge_id").alias("dst"))
     out = nodes.select("node_id", "node_role").join(first, F.col("node_id") == F.col("src"), "left")
     return out.select("node_id", F.when(F.col("node_role").eqNullSafe("alias"), F.coalesce("dst", "node_id")).otherwise(F.col("node_id")).alias("main"))
+
+
+def paths_to_root(mapping: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(dup, path, root, cyclic) of a mapping (dup, canon): the nodes met from each duplicate to its end, in order. A path
+    that comes back to a node it has met ends there and is cyclic.
+
+    Paths double in each round, so a chain of n nodes takes log n joins.
+    """
+    own = mapping.where("dup <> canon").groupBy("dup").agg(F.max("canon").alias("canon"))
+    paths = store(own.select("dup", F.array("canon").alias("path")), "paths0")
+    seen = None
+    for i in range(1, 64):
+        ahead = paths.select(F.col("dup").alias("_at"), F.col("path").alias("_more"))
+        grown = paths.withColumn("_end", F.element_at("path", -1)).join(ahead, F.col("_end") == F.col("_at"), "left")
+        whole = F.concat("path", F.coalesce("_more", F.array().cast("array<string>")))
+        # up to the first node that stands on the path before, or is its start
+        met = F.filter(F.sequence(F.lit(1), F.size("_all")), lambda k: (F.element_at("_all", k) == F.col("dup")) | (F.array_position("_all", F.element_at("_all", k)) < k))
+        grown = grown.select("dup", whole.alias("_all")).withColumn("_cut", F.get(met, F.lit(0)))
+        paths = store(grown.select("dup", F.when(F.col("_cut").isNull(), F.col("_all")).otherwise(F.expr("slice(_all, 1, _cut)")).alias("path"), F.col("_cut").isNotNull().alias("cyclic")), f"paths{i}")
+        now = tuple(paths.agg(F.count_if("cyclic"), F.sum(F.size("path"))).first())
+        if now == seen:
+            return paths.select("dup", "path", F.element_at("path", -1).alias("root"), "cyclic")
+        seen = now
+    raise RuntimeError("paths did not end after 63 doublings")
+
+
+def frequent_roots(mapping: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(dup, canon): each merge group represented by the node that stands in most of its pairs.
+
+    A node is frequent if it stands in max(2, min(3, most - 1)) pairs or more, `most` being the largest number of
+    any node. A group without one keeps the node that its pairs call canonical most often. Ties go to the node
+    that is canonical more often, then to the smallest id.
+    """
+    pairs = store(mapping.where("dup <> canon").select("dup", "canon").distinct(), "pairs")
+    ends = pairs.select(F.col("dup").alias("node"), F.lit(0).alias("c")).union(pairs.select("canon", F.lit(1)))
+    count = ends.groupBy("node").agg(F.count("*").alias("n"), F.sum("c").alias("as_canon"))
+    limit = count.agg(F.greatest(F.lit(2), F.least(F.lit(3), F.max("n") - 1)).alias("least"))
+    labels = connected_components(pairs.select(F.col("dup").alias("a"), F.col("canon").alias("b")), store)
+    rows = labels.join(count, "node").crossJoin(F.broadcast(limit))
+    worth = F.when(F.col("n") >= F.col("least"), F.col("n")).otherwise(0)
+    root = rows.groupBy("component").agg(F.min_by("node", F.struct(-worth, -F.col("as_canon"), F.col("node"))).alias("canon"))
+    return labels.join(root, "component").where("node <> canon").select(F.col("node").alias("dup"), "canon")

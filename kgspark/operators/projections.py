@@ -126,3 +126,15 @@ def report(nodes: DataFrame) -> DataFrame:
     """(level, text): the texts of each level's nodes, in order of id."""
     rows = nodes.select("level", F.struct("node_id", short_node_text().alias("t")).alias("x"))
     return rows.groupBy("level").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"])).alias("text"))
+
+
+def subgraph_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (text): the nodes of a small subgraph, then its edges, as lines in order of their ids. Edges whose ends
+    are not among the nodes are left out."""
+    name = nodes.select("node_id", node_name(nodes).alias("n"), "label")
+    line = name.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("edge_id"), "node_id", F.concat(F.lit("- "), "n", F.lit(" ["), "label", F.lit("]")).alias("line"))
+    ends = edges.join(name.select(F.col("node_id").alias("src"), F.col("n").alias("s")), "src").join(name.select(F.col("node_id").alias("dst"), F.col("n").alias("t")), "dst")
+    arcs = ends.select(F.lit(1).alias("part"), "edge_id", F.lit("").alias("node_id"), F.concat(F.lit("- "), "s", F.lit(" -["), "relation", F.lit("]-> "), "t").alias("line"))
+    every = line.unionByName(arcs).agg(F.array_sort(F.collect_list(F.struct("part", "edge_id", "node_id", "line"))).alias("x"))
+    of = lambda k: F.transform(F.filter("x", lambda e: e["part"] == k), lambda e: e["line"])
+    return every.select(F.concat_ws("\n", F.concat(F.array(F.lit("Nodes:")), of(0), F.array(F.lit("Edges:")), of(1))).alias("text"))

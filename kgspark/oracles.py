@@ -74,8 +74,8 @@ ORACLES: dict[str, str] = {
     "join1_edge_ends": f"""WITH {_BOTH} SELECT relation, s.label AS src_label, t.label AS dst_label, count(*) AS n, min(s.name) AS first_src, max(t.name) AS last_dst
         FROM edges JOIN nodes s ON src = s.node_id JOIN nodes t ON dst = t.node_id GROUP BY 1, 2, 3""",
     "join2_chunk_fetch": "SELECT doc_id AS chunk_id, quality, length(text) AS chars FROM labels JOIN documents USING (doc_id)",
-    "join3_missing_content": """SELECT l.doc_id AS chunk_id, coalesce(substr(text, 1, 20), '[Missing content for chunk ' || l.doc_id || ']') AS text
-        FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND lang = 'en'""",
+    "join3_missing_content": """SELECT c.conv_id AS chunk_id, coalesce(text, '[Missing content for chunk ' || c.conv_id || ']') AS text
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN documents d ON c.conv_id = d.doc_id""",
     "join4_relation_match": f"""WITH {_BOTH} SELECT edge_id, src, relation, dst FROM edges WHERE relation IN ('located_in', 'placed_by')
         AND (src IN (SELECT node_id FROM nodes WHERE segment = 'BUILDING') OR dst IN (SELECT node_id FROM nodes WHERE segment = 'BUILDING'))""",
     "join5_one_hop": f"WITH {_EDGES} SELECT edge_id, src, relation, dst FROM edges WHERE src LIKE 'nation%' OR dst LIKE 'nation%' ORDER BY edge_id LIMIT 20",
@@ -111,8 +111,8 @@ ORACLES: dict[str, str] = {
     "agg16_accuracy": "SELECT count(*) AS n, round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM labels",
     "agg19_edge_chunks": f"WITH {_SUPPLIES}, d AS (SELECT DISTINCT src, dst, chunk FROM supplies) SELECT src, dst, count(*) AS n_chunks, string_agg(chunk, ',' ORDER BY chunk) AS chunks FROM d GROUP BY 1, 2",
     "agg20_contexts": r"""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
-        c AS (SELECT doc_id, regexp_replace(trim(substr(text, 1, 30), ' '), '\s+', ' ', 'g') AS x FROM documents WHERE doc_id >= 2)
-        SELECT conv_id AS item, string_agg('- ' || CASE WHEN x IS NULL THEN '[Missing content for chunk ' || turn || ']' WHEN length(x) > 12 THEN substr(x, 1, 12) || '…' ELSE x END, chr(10) ORDER BY turn) AS context
+        c AS (SELECT doc_id, regexp_replace(trim(text, ' '), '\s+', ' ', 'g') AS x FROM documents)
+        SELECT conv_id AS item, string_agg('- ' || CASE WHEN x IS NULL THEN '[Missing content for chunk ' || turn || ']' WHEN length(x) > 5000 THEN substr(x, 1, 5000) || '…' ELSE x END, chr(10) ORDER BY turn) AS context
         FROM t LEFT JOIN c ON turn = doc_id WHERE rn <= 10 GROUP BY 1""",
     "win1_first_seen": f"WITH {_SUPPLIES} SELECT min(edge_id) AS edge_id, src, dst FROM supplies GROUP BY src, dst, relation",
     "win2_batches": """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)
@@ -133,7 +133,7 @@ ORACLES: dict[str, str] = {
         s AS (SELECT grp, node_id, 50 * coalesce(i, 0) + 10 * length(p_name) - 0.1 * p_partkey AS score FROM members JOIN part ON node_id = 'part_' || p_partkey LEFT JOIN deg USING (node_id)),
         best AS (SELECT grp, first(node_id ORDER BY score DESC, node_id DESC) AS canon FROM s GROUP BY 1)
         SELECT node_id AS dup, canon FROM s JOIN best USING (grp) WHERE node_id <> canon""",
-    "top1_keyword_rerank": r"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '\s+'), lambda x: x <> '')) AS w FROM benchmark),
+    "top1_keyword_rerank": r"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM benchmark),
         d AS (SELECT doc_id AS pos, lower(text) AS low FROM documents), words AS (SELECT DISTINCT w FROM q),
         hit AS (SELECT pos, w FROM d, words WHERE contains(low, w)),
         s AS (SELECT qid, pos, count(*) AS score FROM q JOIN hit USING (w) GROUP BY 1, 2),
@@ -141,7 +141,7 @@ ORACLES: dict[str, str] = {
     "set1_distinct_triples": f"WITH {_EDGES} SELECT relation, count(*) AS n FROM (SELECT DISTINCT src, relation, dst FROM edges) GROUP BY 1",
     "set2_ordered_distinct": f"WITH {_SUPPLIES} SELECT src, relation, dst, min(edge_id) AS pos FROM supplies GROUP BY 1, 2, 3",
     "set4_exact_attrs": f"WITH {_SUPPLIES} SELECT min(edge_id) AS edge_id, src, dst FROM supplies GROUP BY src, relation, dst",
-    "set5_chunk_union": "SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE lang = 'fr'",
+    "set5_chunk_union": "SELECT doc_id FROM labels UNION SELECT conv_id FROM conversations",
     "set10_difference": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "set11_relations": f"WITH {_EDGES} SELECT DISTINCT relation FROM edges",
     "str1_normalize": "SELECT p_partkey, " + _norm("'  ' || p_name || ' (' || p_brand || ').  X'") + " AS norm FROM part",
@@ -196,11 +196,14 @@ ORACLES: dict[str, str] = {
         f AS (SELECT name, arg_min(coalesce(schema_type, label), node_id) AS category, arg_min(coalesce(n, 0), node_id) AS n FROM nodes LEFT JOIN a USING (node_id) GROUP BY 1)
         SELECT name, category, least(40, greatest(15, n * 3 + 15)) AS size FROM f ORDER BY name LIMIT 500""",
     "ret18_inverted_index": f"WITH t AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents) SELECT word, count(*) AS n, min(doc_id) AS first FROM t GROUP BY 1",
-    "ret13_keyword_search": f"""WITH q AS (SELECT item_id AS qid, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM (SELECT item_id, (list_sort({_WORDS}))[1:6] AS w FROM benchmark)),
+    "ret13_keyword_search": f"""WITH q AS (SELECT item_id AS qid, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM (SELECT item_id, list_sort({_WORDS}) AS w FROM benchmark)),
         t AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), p AS (SELECT word, doc_id FROM t QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id) <= 50),
         hit AS (SELECT qid, doc_id, min(pos) AS pos FROM q JOIN p USING (word) GROUP BY 1, 2), per AS (SELECT qid, pos, count(*) AS n FROM hit GROUP BY 1, 2),
         b AS (SELECT qid, pos, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per)
         SELECT qid, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM hit JOIN b USING (qid, pos) WHERE before <= 200 GROUP BY 1""",
+    "ret12_community_path": f"""WITH {_VEC}, p AS (SELECT label, unnest(generate_series(1, 64)) AS j, vec FROM v), c AS (SELECT label, j, avg(vec[j]) AS x FROM p GROUP BY 1, 2), m AS (SELECT label, list(x ORDER BY j) AS vec FROM c GROUP BY 1),
+        r AS (SELECT q.vec_id AS qid, m.label, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.vec, m.vec) DESC, m.label) AS INTEGER) AS rank FROM v q, m WHERE q.vec_id % 100 = 0)
+        SELECT qid, node_id, rank FROM r JOIN v USING (label) WHERE rank <= 2""",
     "ret1_batch_retrieval": f"""WITH {_VEC}, scored AS (SELECT q.vec_id AS qid, i.vec_id AS vid, i.node_id AS id, i.label, list_inner_product(q.vec, i.vec) AS s FROM v q, v i WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS INTEGER) AS rank FROM scored WHERE s > 0.05)
         SELECT qid, rank, id, 'in_class' AS relation, 'class_' || r.label AS dst, coalesce(length(text), 0) AS chars FROM r LEFT JOIN documents ON doc_id = vid WHERE rank <= 20""",

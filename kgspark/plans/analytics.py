@@ -67,3 +67,43 @@ def before_after(profile: DataFrame) -> DataFrame:
     """(total, merged, kept, kept_share) of a cluster profile."""
     kept = F.col("candidates") - F.col("merged")
     return profile.select(F.col("candidates").alias("total"), "merged", kept.alias("kept"), F.when(F.col("candidates") > 0, kept / F.col("candidates")).otherwise(0.0).alias("kept_share"))
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame, most_nodes: int = 500, most_edges: int = 1000) -> DataFrame:
+    """(nodes, edges, shown_nodes, shown_edges): how large a graph is, and how much of it a chart shows."""
+    n, e = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges"))
+    return n.crossJoin(e).select("nodes", "edges", F.least("nodes", F.lit(most_nodes)).alias("shown_nodes"), F.least("edges", F.lit(most_edges)).alias("shown_edges"))
+
+
+def chart_of(nodes: DataFrame | None, edges: DataFrame | None, triples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) for a chart, from a graph or from a relationship list, whichever is given."""
+    if triples is not None:
+        from kgspark.sources.graphs import graph_of
+
+        g = graph_of(triples)
+        nodes, edges = g.nodes, g.edges
+    if nodes is None or edges is None:
+        raise ValueError("a chart needs nodes and edges, or triples")
+    return chart_nodes(nodes, edges), chart_links(nodes, edges)
+
+
+def retrieved_chart(lines: DataFrame, most: int = 10) -> DataFrame:
+    """(qid, source, relation, target) of the first `most` lines (qid, pos, line) of each question that are lists of three
+    strings, `[a, b, c]`; other lines are left out."""
+    first = lines.where(F.col("pos") < most).withColumn("p", F.from_json(F.when(F.col("line").startswith("[") & F.col("line").endswith("]"), F.col("line")), "array<string>", {"allowSingleQuotes": "true"}))
+    ok = first.where(F.size("p") == 3)
+    return ok.select("qid", F.col("p")[0].alias("source"), F.col("p")[1].alias("relation"), F.col("p")[2].alias("target"))
+
+
+def reasoning_flow(steps: DataFrame) -> DataFrame:
+    """(qid, step, type, question, triples, chunks, seconds) of steps (qid, pos, type, question, triples, chunks, seconds): numbered
+    from 1, questions cut to 50 characters, what is missing as 0 or `unknown`."""
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return steps.select("qid", (F.col("pos") + 1).alias("step"), F.coalesce("type", F.lit("unknown")).alias("type"), F.substring(F.coalesce("question", F.lit("")), 1, 50).alias("question"), none("triples"), none("chunks"), none("seconds"))
+
+
+def edge_run_summary(before: DataFrame, after: DataFrame, keepers: DataFrame) -> DataFrame:
+    """(total, groups, merges, merged_edges, final) of a tail dedup: edges before and after, groups with keepers, keepers
+    that stand for others, and edges that went into them."""
+    k = keepers.agg(F.count_distinct("src", "relation").alias("groups"), F.count_distinct(F.when(F.col("dst") != F.col("keeper"), F.struct("src", "relation", "keeper"))).alias("merges"), F.count_if(F.col("dst") != F.col("keeper")).alias("merged_edges"))
+    return before.agg(F.count("*").alias("total")).crossJoin(k).crossJoin(after.agg(F.count("*").alias("final")))

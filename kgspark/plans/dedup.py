@@ -160,9 +160,27 @@ def node_context(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFram
     return rows.groupBy("node_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"])).alias("context"))
 
 
+def without_conflicts(pairs: DataFrame, edges: DataFrame, store: Store, alias_of: tuple[str, ...] = ("alias_of", "等同于"), includes: tuple[str, ...] = ("alias_includes", "also_known_as")) -> DataFrame:
+    """(dup, canon, kind) of judged pairs and the aliases that edges name already, which win.
+
+    Both ends of a pair move to the nodes that the graph's aliases end at. kind is `graph` for an alias of the
+    graph, `none` for a pair that no alias touches, `cascade` for one that moved; one whose ends meet says nothing new
+    and goes. What is left is resolved to its ends, and a pair that would close a circle against the graph goes with it.
+    """
+    own = edges.where(F.col("relation").isin(*alias_of)).select(F.col("src").alias("dup"), F.col("dst").alias("canon"))
+    own = own.union(edges.where(F.col("relation").isin(*includes)).select(F.col("dst"), F.col("src")))
+    root = store(resolved(own, lambda df, n: store(df, f"own_{n}")), "own")
+    to = lambda c: root.select(F.col("dup").alias(c), F.col("canon").alias(f"_{c}"))
+    moved = pairs.select("dup", "canon").join(to("dup"), "dup", "left").join(to("canon"), "canon", "left")
+    moved = moved.select(F.coalesce("_dup", "dup").alias("dup"), F.coalesce("_canon", "canon").alias("canon"), (F.col("_dup").isNotNull() | F.col("_canon").isNotNull()).alias("cascade")).where("dup <> canon")
+    kinds = root.select("dup", F.lit("graph").alias("kind")).union(moved.groupBy("dup").agg(F.when(F.bool_or("cascade"), "cascade").otherwise("none")))
+    every = resolved(root.select("dup", "canon").union(moved.select("dup", "canon")), lambda df, n: store(df, f"all_{n}"))
+    return every.join(kinds, "dup", "left").select("dup", "canon", F.coalesce("kind", F.lit("cascade")).alias("kind"))
+
+
 def head_mapping(graph: Graph, vectors: DataFrame, model: LanguageModel | None, store: Store, prefilter: float = 0.75, most: int | None = 1000) -> DataFrame:
     """(dup, canon) of exact and semantic head dedup, chains resolved. Without a model, similar pairs merge towards
-    the smaller number."""
+    the smaller number. `most` is the operator's own limit of candidate pairs, best first; None takes all of them."""
     exact = exact_heads(graph.nodes)
     left = graph.nodes.join(exact.select(F.col("dup").alias("node_id")), "node_id", "left_anti").where("label = 'entity'")
     pairs = similar_pairs(vectors.join(left.select("node_id"), "node_id", "left_semi"), prefilter, most)
@@ -301,7 +319,7 @@ def keyword_mapping(candidates: DataFrame, vectors: DataFrame, threshold: float
     """(dup, canon) of keywords that cluster within a community; the first of a cluster stays."""
     rows = candidates.join(vectors.select(F.col("node_id").alias("keyword"), "vec"), "keyword")
     found = average_link_groups(rows.select(F.col("community").alias("grp"), "pos", "vec"), threshold)
-    marked = candidates.join(found, (F.col("community") == F.col("grp")) & (candidates["pos"] == found["pos"])).select("grp", candidates["pos"], "keyword", "cluster")
+    marked = candidates.select(F.col("community").alias("grp"), "pos", "keyword").join(found, ["grp", "pos"])
     first = marked.groupBy("grp", "cluster").agg(F.min_by("keyword", "pos").alias("canon"))
     return marked.join(first, ["grp", "cluster"]).where("keyword <> canon").select(F.col("keyword").alias("dup"), "canon").dropDuplicates(["dup"])
 

@@ -142,3 +142,36 @@ def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: Dat
 def united(results: DataFrame, parent: Column, key: str) -> DataFrame:
     """Results of sub-questions united by their parent question, each entry once with its best score."""
     return results.groupBy(parent.alias("qid"), key).agg(F.max("score").alias("score"))
+
+
+def smart_neighbours(queries: DataFrame, starts: DataFrame, edges: DataFrame, vectors: DataFrame, k: int = 5, least: float = 0.1) -> DataFrame:
+    """(qid, node_id, neighbour, score, rank): of each start's (qid, node_id) out-neighbours the k nearest to the query,
+    those above `least`."""
+    near = starts.select("qid", "node_id").distinct().join(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("neighbour")).distinct(), "node_id")
+    rows = near.join(vectors.select(F.col("node_id").alias("neighbour"), "vec"), "neighbour").join(queries.select("qid", "qvec"), "qid")
+    rows = rows.select("qid", "node_id", "neighbour", F.greatest(F.lit(0.0), cosine("qvec", "vec")).alias("score"))
+    w = Window.partitionBy("qid", "node_id").orderBy(F.desc("score"), "neighbour")
+    return rows.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > least))
+
+
+def strategies(found: dict[str, DataFrame], k: int) -> DataFrame:
+    """(qid, node_id, score, by, rank): nodes that several strategies found (qid, node_id, score), each with its best score and the
+    names of the strategies that found it, the k best."""
+    rows = None
+    for name, part in found.items():
+        own = part.select("qid", "node_id", "score", F.lit(name).alias("by"))
+        rows = own if rows is None else rows.unionByName(own)
+    each = rows.groupBy("qid", "node_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("by")).alias("by"))
+    return best_per(each, "qid", [F.desc("score"), F.col("node_id")], k)
+
+
+def hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: dict[str, DataFrame], types: list[str], k: int, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(qid, edge_id, score, path): the k best triples that touch the nodes of these types nearest to each query, and
+    the triples of the untyped triple path; each edge once by its best score."""
+    q = queries.withColumn("qvec", normalized("qvec"))
+    hit = typed_search(q, nodes, vectors["node"], types, k).select("qid", "node_id")
+    near = _touching(edges, hit).join(vectors["triple"], "edge_id").join(q.select("qid", "qvec"), "qid")
+    one = best_per(near.select("qid", "edge_id", cosine("qvec", "vec").alias("score")), "qid", [F.desc("score"), F.col("edge_id")], k).select("qid", "edge_id", "score", F.lit("typed").alias("path"))
+    two = triple_path(q, vectors["triple"].select("edge_id", normalized("vec").alias("vec")), edges, k, 1, store).withColumn("path", F.lit("triples"))
+    every = one.unionByName(two)
+    return every.groupBy("qid", "edge_id").agg(F.max("score").alias("score"), F.concat_ws("+", F.array_sort(F.collect_set("path"))).alias("path"))

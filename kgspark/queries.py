@@ -134,16 +134,9 @@ def join2_chunk_fetch(s, d):
 
 @query
 def join3_missing_content(s, d):
-    chunks = docs(s, d).where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 20).alias("text"))
-    ids = table(s, d, "labels").select(F.col("doc_id").alias("chunk_id"))
-    return relational.chunk_texts(ids, chunks, keep_missing=True)
-
-
-@query
-def join3_missing_content_whole(s, d):
-    """join3 over documents of all languages and their whole texts."""
     chunks = docs(s, d).select(F.col("doc_id").alias("chunk_id"), "text")
-    return relational.chunk_texts(table(s, d, "labels").select(F.col("doc_id").alias("chunk_id")), chunks, keep_missing=True)
+    ids = table(s, d, "conversations").select(F.col("conv_id").alias("chunk_id")).distinct()
+    return relational.chunk_texts(ids, chunks, keep_missing=True)
 
 
 @query
@@ -264,14 +257,6 @@ def agg19_edge_chunks(s, d):
 
 @query
 def agg20_contexts(s, d):
-    items = table(s, d, "conversations").groupBy(F.col("conv_id").alias("item")).agg(F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string")).alias("chunk_ids"))
-    chunks = docs(s, d).select(F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 30).alias("text")).where("doc_id >= 2")
-    return relational.contexts(items, chunks, most=10, chars=12)
-
-
-@query
-def agg20_contexts_whole(s, d):
-    """agg20 over all documents and their whole texts, cut at the operator's own limits alone."""
     items = table(s, d, "conversations").groupBy(F.col("conv_id").alias("item")).agg(F.transform(F.array_sort(F.collect_list("turn")), lambda t: t.cast("string")).alias("chunk_ids"))
     return relational.contexts(items, docs(s, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text"))
 
@@ -327,12 +312,6 @@ def keyword_reranked(s, d, q: DataFrame) -> DataFrame:
 
 @query
 def top1_keyword_rerank(s, d):
-    return keyword_reranked(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question")))
-
-
-@query
-def top1_keyword_rerank_whole(s, d):
-    """top1 with all words of each question."""
     return keyword_reranked(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")))
 
 
@@ -354,7 +333,7 @@ def set4_exact_attrs(s, d):
 
 @query
 def set5_chunk_union(s, d):
-    return table(s, d, "labels").select("doc_id").union(docs(s, d).where("lang = 'fr'").select("doc_id")).distinct()
+    return table(s, d, "labels").select("doc_id").union(table(s, d, "conversations").select("conv_id")).distinct()
 
 
 @query
@@ -594,12 +573,6 @@ def keyword_found(s, d, q: DataFrame) -> DataFrame:
 
 @query
 def ret13_keyword_search(s, d):
-    return keyword_found(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.array_sort(text.tokens("text")), 1, 6).alias("keywords")))
-
-
-@query
-def ret13_keyword_search_whole(s, d):
-    """ret13 with all words of each question."""
     return keyword_found(s, d, table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_sort(text.tokens("text")).alias("keywords")))
 
 

@@ -78,7 +78,10 @@ def triples_of(graph: Graph) -> DataFrame:
 
 
 def load_json(spark: SparkSession, path: str) -> Graph:
-    return graph_of(spark.read.schema(TRIPLES).json(path, multiLine=True))
+    """A relationship list, or a row on each line as save_json() writes them."""
+    from kgspark.sources.texts import is_whole
+
+    return graph_of(spark.read.schema(TRIPLES).json(path, multiLine=is_whole(spark, path)))
 
 
 def save_json(graph: Graph, path: str) -> None:
@@ -105,13 +108,14 @@ def _data(key: str) -> Column:
 def load_graphml(spark: SparkSession, path: str) -> Graph:
     """Older files: d0 label, d1 properties as JSON, d2 level; d3 relation of an edge. Properties that are no
     JSON become the name, a level that is no number 2, and quotes around a relation go."""
-    n = spark.read.format("xml").option("rowTag", "node").schema(_XML_NODE).load(path)
+    files = spark.read.format("xml").option("recursiveFileLookup", "true")
+    n = files.option("rowTag", "node").schema(_XML_NODE).load(path)
     parsed = F.from_json(_data("d1"), "map<string,string>")
     props = F.coalesce(parsed, F.create_map(F.lit("name"), _data("d1")))
     rows = n.select(F.col("_id").alias("node_id"), _data("d0").alias("label"), F.coalesce(_data("d2").try_cast("int"), F.lit(2)).alias("level"), props.alias("props"))
     none = F.lit(None).cast("string")
     nodes = rows.select("node_id", "label", "level", F.col("props")["name"].alias("name"), F.col("props")["description"].alias("description"), F.col("props")["schema_type"].alias("schema_type"), _chunk_ids(F.col("props")).alias("chunk_ids"), F.from_json(F.col("props")["members"], "array<string>").alias("members"), none.alias("node_role"), none.alias("alias_of"), "props")
-    e = spark.read.format("xml").option("rowTag", "edge").schema(_XML_EDGE).load(path)
+    e = spark.read.format("xml").option("recursiveFileLookup", "true").option("rowTag", "edge").schema(_XML_EDGE).load(path)
     edges = e.select(F.monotonically_increasing_id().alias("edge_id"), F.col("_source").alias("src"), F.col("_target").alias("dst"), F.trim(F.regexp_replace(_data("d3"), r'^"+|"+$', "")).alias("relation"), F.array().cast("array<string>").alias("source_chunks"))
     return Graph(nodes, edges)
 

@@ -10,14 +10,20 @@ from kgspark.functions.text import INTERCHANGE
 _CHUNK_LINE = r"^id: ([^\t]*)\tChunk: (.*)$"
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file, or the files of a folder, must be read whole; else they have an object on each line."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("v")).first()
+    return bool(first) and not (first["v"].startswith("{") and first["v"].endswith("}"))
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text) of a JSON list; records that can't be read are left out."""
-    rows = spark.read.schema("title string, text string, _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True)
+    """(title, text) of a JSON list, or of JSON lines, which are read in parts; records that can't be read are left out."""
+    rows = spark.read.schema("title string, text string, _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=is_whole(spark, path))
     return rows.where("title is not null or text is not null").select("title", "text")
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("question string, answer string").json(path, multiLine=True).where("question is not null")
+    return spark.read.schema("question string, answer string").json(path, multiLine=is_whole(spark, path)).where("question is not null")
 
 
 def ontology(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +101,7 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def interchange(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INTERCHANGE).json(path, multiLine=True)
+    return spark.read.schema(INTERCHANGE).json(path, multiLine=is_whole(spark, path))
 
 
 def restored_answers(intermediate: DataFrame) -> DataFrame:
@@ -182,3 +188,24 @@ def per_key_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that comes first."""
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def trimmed(cache: DataFrame, order: str, most: int = 5000) -> DataFrame:
+    """The `most` newest rows of a cache; each task keeps its own newest before any are compared."""
+    return cache.orderBy(F.desc(order)).limit(most)
+
+
+def cluster_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(grp, pos, cluster) of a stored clustering run: JSON with a list (`triples` of an edge run, `communities` of a keyword run) of
+    groups, each with an id and clusters of 0-based members."""
+    group = "struct<id:string,clusters:array<array<long>>>"
+    raw = spark.read.schema(f"{restored_kind(kind)} array<{group}>").json(path, multiLine=is_whole(spark, path))
+    each = raw.select(F.inline(restored_kind(kind))).select(F.col("id").alias("grp"), F.posexplode("clusters").alias("cluster", "members"))
+    return each.select("grp", F.explode("members").alias("pos"), "cluster")
+
+
+def save_cluster_results(rows: DataFrame, path: str, kind: str) -> None:
+    """Writes (grp, pos, cluster) the way cluster_results() reads them, a group on each line."""
+    one = rows.groupBy(F.col("grp").cast("string").alias("id"), "cluster").agg(F.array_sort(F.collect_list(F.col("pos").cast("long"))).alias("m"))
+    g = one.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "m"))), lambda x: x["m"]).alias("clusters"))
+    g.select(F.array(F.struct("id", "clusters")).alias(restored_kind(kind))).write.mode("overwrite").json(path)

@@ -3,9 +3,10 @@
 import duckdb
 import pytest
 
-from kgspark.oracles import ORACLES
+import __spark_entry__
 from kgspark.queries import QUERIES
 
+ORACLES = {k: v for k, v in __spark_entry__.oracle_sql().items() if k in QUERIES}
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -52,9 +53,9 @@ def test_whole_texts(spark, duck, tmp_path):
     spark.createDataFrame([(0, long, "fr", "web"), (1, "short", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0,), (1,), (7,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(5, 0), (5, 1), (5, 7)], "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["chunk_id"]: r["text"] for r in QUERIES["join3_missing_content_whole"](spark, str(tmp_path)).collect()}
-    assert got == {0: long, 1: "short", 7: "[Missing content for chunk 7]"}
-    lines = QUERIES["agg20_contexts_whole"](spark, str(tmp_path)).collect()[0]["context"].split("\n")
+    got = {r["chunk_id"]: r["text"] for r in QUERIES["join3_missing_content"](spark, str(tmp_path)).collect()}
+    assert got == {5: "[Missing content for chunk 5]"}
+    lines = QUERIES["agg20_contexts"](spark, str(tmp_path)).collect()[0]["context"].split("\n")
     assert lines == ["- " + long[:5000] + "…", "- short", "- [Missing content for chunk 7]"]
 
 
@@ -63,9 +64,9 @@ def test_whole_questions(spark, tmp_path):
     spark.createDataFrame([(0, "aaa bbb"), (1, "zulu yankee xray")], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
     question = "aaa bbb ccc ddd eee fff ggg hhh zulu yankee xray"
     spark.createDataFrame([(3, question)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    top = QUERIES["top1_keyword_rerank_whole"](spark, str(tmp_path)).orderBy("rank").collect()
+    top = QUERIES["top1_keyword_rerank"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [(r["pos"], r["score"]) for r in top] == [(1, 3), (0, 2)]
-    assert [tuple(r) for r in QUERIES["ret13_keyword_search_whole"](spark, str(tmp_path)).collect()] == [(3, 2, 1)]
+    assert [tuple(r) for r in QUERIES["ret13_keyword_search"](spark, str(tmp_path)).collect()] == [(3, 2, 1)]
 
 
 def test_entry(spark):
