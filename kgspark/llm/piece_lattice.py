@@ -22,7 +22,7 @@ SPACE_MARK = "▁"
 _UNITS = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}\n]*|\n|[^{SPACE_MARK}\n]+")
 _NEVER = float("-inf")
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
-CACHE_UNITS, LONG_UNIT, _PAIR_BITS = 300_000, 200, 21
+CACHE_UNITS, LONG_UNIT, _PAIR_BITS = 150_000, 200, 20
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,6 +30,22 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1) if a.shape[1] else np.full((a.shape[0], b.shape[1]), _NEVER)
 
 
+def raw_pieces(model) -> list[bytes]:
+    """The bytes that each id stands for; none for control pieces."""
+    out = []
+    for i in range(model.get_piece_size()):
+        p = model.id_to_piece(i)
+        none = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+        out.append(bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if none else p.replace(SPACE_MARK, " ").encode())
+    return out
+
+
+def text_of(raw: list[bytes], ids) -> str:
+    """The text of ids, without the space that stands before every text."""
+    whole = b"".join(map(raw.__getitem__, ids))
+    return (whole[1:] if whole.startswith(b" ") else whole).decode("utf-8", "replace")
+
+
 class Lattice:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -47,7 +63,7 @@ class Lattice:
             if len(p) == 1 or self.merged(p) == [p]:
                 self.ids[p] = i
         self.longest = max(map(len, self.ids))
-        self.raw = [bytes([int(p[1:-1], 16)]) if i in set(self.bytes.values()) else (p.replace(SPACE_MARK, " ").encode() if plain[i] else b"") for i, p in enumerate(self.pieces)]
+        self.raw = raw_pieces(model)
         self.cache: dict[str, bytes] = {}
         self.pair_key = np.full(1 << _PAIR_BITS, -1, np.int64)
         self.pair_fits = np.zeros(1 << _PAIR_BITS, bool)
@@ -68,7 +84,7 @@ class Lattice:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    @functools.lru_cache(200_000)
+    @functools.lru_cache(100_000)
     def fits(self, a: int, b: int) -> bool:
         """Whether piece b can follow piece a. a is -1 at the start of a unit."""
         if a < 0 or a == self.unknown or b == self.unknown:
@@ -247,8 +263,7 @@ class Lattice:
         return out
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
+        return text_of(self.raw, ids)
 
     # chunks of a giant text; positions count characters of the marked text
 
@@ -331,11 +346,23 @@ def marked(text: str) -> str:
     return SPACE_MARK + text.replace(" ", SPACE_MARK)
 
 
-@functools.lru_cache(2)
-def lattice(path: str | None = None) -> Lattice:
-    """The lattice of this process."""
+def _model_path(path: str | None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    return Lattice(path)
+    return path
+
+
+@functools.lru_cache(2)
+def lattice(path: str | None = None) -> Lattice:
+    """The lattice of this process."""
+    return Lattice(_model_path(path))
+
+
+@functools.lru_cache(2)
+def decoder(path: str | None = None) -> list[bytes]:
+    """What decoding needs, without the lattice's tables."""
+    from sentencepiece import SentencePieceProcessor
+
+    return raw_pieces(SentencePieceProcessor(model_file=_model_path(path)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import pick, shared_dir, slices, stored
-from kgspark.llm.piece_lattice import lattice, marked, max_plus
+from kgspark.llm.piece_lattice import decoder, lattice, marked, max_plus, text_of
 
 GIANT, CHUNK = 1 << 16, 1 << 14
 _LOW = float("-inf")
@@ -39,7 +39,7 @@ def _ids(parts: list[np.ndarray]) -> pa.ListArray:
 def _encoded(model: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = lattice(model)
-        for b in slices(batches, most=1 << 21):
+        for b in slices(batches, most=1 << 20):
             ids = pieces.encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), _ids(ids)], ["doc_id", "ids"])
 
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def _decoded(model: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = lattice(model)
+        raw = decoder(model)
         for b in batches:
             lists = b.column(1)
             flat, off = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy()
@@ -146,7 +146,7 @@ def _decoded(model: str | None):
             texts, crc = [], []
             for i in range(b.num_rows):
                 own = flat[off[i] : off[i + 1]]
-                texts.append(pieces.decode(own.tolist()))
+                texts.append(text_of(raw, own.tolist()))
                 crc.append(zlib.crc32(own.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_ids", "ids_crc32", "text"])
 
