@@ -214,12 +214,21 @@ def mapping_of_interchange(groups: DataFrame) -> DataFrame:
 # rewriting ------------------------------------------------------------------------------------------------
 
 
+#: A mapping of at most this many rows, which are counted first, is sent to every task; a larger one is joined by shuffles.
+SENT_ROWS = 500_000
+
+
 def rewritten(edges: DataFrame, mapping: DataFrame, both_ends: bool = True, only: Column | None = None) -> DataFrame:
     """Edges with ends replaced by their canonical nodes. A changed edge that becomes a loop goes, unless it was
     one; changed edges that fall on an edge of the same relation join it, their chunks united; parallel edges
     that nothing changed stay as they are. `only` limits the rewrite to some edges, of which tails alone
-    change if both_ends is false."""
+    change if both_ends is false.
+
+    Only what changed is grouped; the rest is joined with it.
+    """
     m = mapping.select("dup", "canon")
+    if m.count() <= SENT_ROWS:
+        m = F.broadcast(m)
     e = edges.withColumn("_own", only if only is not None else F.lit(True))
     e = e.join(m.select(F.col("dup").alias("dst"), F.col("canon").alias("_d")), "dst", "left")
     if both_ends:
@@ -229,13 +238,16 @@ def rewritten(edges: DataFrame, mapping: DataFrame, both_ends: bool = True, only
     e = e.withColumn("_src", F.when(F.col("_own"), F.coalesce("_s", "src")).otherwise(F.col("src"))).withColumn("_dst", F.when(F.col("_own"), F.coalesce("_d", "dst")).otherwise(F.col("dst")))
     e = e.withColumn("_changed", (F.col("_src") != F.col("src")) | (F.col("_dst") != F.col("dst")))
     e = e.where(~F.col("_changed") | (F.col("_src") != F.col("_dst")) | (F.col("src") == F.col("dst")))
+    key = ["src", "dst", "relation"]
     same = e.where("not _changed").select("edge_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "relation", "source_chunks")
-    moved = e.where("_changed").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "relation").agg(F.min("edge_id").alias("edge_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunks")))).alias("chunks"))
-    first = same.groupBy("src", "dst", "relation").agg(F.min("edge_id").alias("first"))
-    new = moved.join(first, ["src", "dst", "relation"], "left_anti").select("edge_id", "src", "dst", "relation", F.col("chunks").alias("source_chunks"))
-    onto = moved.join(first, ["src", "dst", "relation"]).select(F.col("first").alias("edge_id"), "chunks")
-    same = same.join(onto, "edge_id", "left").select("edge_id", "src", "dst", "relation", F.when(F.col("chunks").isNull(), F.col("source_chunks")).otherwise(F.array_union("source_chunks", "chunks")).alias("source_chunks"))
-    return same.unionByName(new)
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("source_chunks") > 0, F.col("source_chunks"))))))
+    moved = e.where("_changed").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "relation").agg(F.min("edge_id").alias("_first"), united.alias("_chunks"))
+    # what changed edges fall on: of parallel edges the first
+    onto = same.join(moved.drop("_chunks"), key).groupBy(*key).agg(F.min("edge_id").alias("_least"))
+    alone = moved.join(onto, key, "left_anti").select(F.col("_first").alias("edge_id"), *key, F.col("_chunks").alias("source_chunks"))
+    more = moved.join(onto, key).select(*key, "_least", "_chunks")
+    united = F.when(F.col("edge_id") == F.col("_least"), F.array_union("source_chunks", "_chunks")).otherwise(F.col("source_chunks"))
+    return same.join(more, key, "left").select("edge_id", *key, united.alias("source_chunks")).unionByName(alone)
 
 
 def alias_edges(edges: DataFrame, mapping: DataFrame, relation: str = "等同于", touched_only: bool = True) -> DataFrame:
@@ -256,10 +268,10 @@ def alias_edges(edges: DataFrame, mapping: DataFrame, relation: str = "等同于
 def apply_mapping(graph: Graph, mapping: DataFrame, store: Store, keep_aliases: bool = True, relation: str = "等同于") -> Graph:
     """A graph with a resolved (dup, canon) mapping applied everywhere: at both ends of edges, in communities and
     keyword edges; alias edges added if duplicates are kept, duplicates removed otherwise; isolated nodes go."""
-    m = store(resolved(mapping, store), "mapping")
-    edges = rewritten(graph.edges, m)
+    m, old = store(resolved(mapping, store), "mapping"), store(graph.edges, "old_edges")
+    edges = rewritten(old, m)
     if keep_aliases:
-        edges = edges.unionByName(alias_edges(graph.edges, m, relation))
+        edges = edges.unionByName(alias_edges(old, m, relation))
     edges = store(edges, "edges")
     ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
     return Graph(graph.nodes.join(ends, "node_id", "left_semi"), edges)
@@ -326,16 +338,17 @@ def keyword_mapping(candidates: DataFrame, vectors: DataFrame, threshold: float
 
 def workflow(graph: Graph, vectors: DataFrame, model: LanguageModel | None, store: Callable[[str], Store]) -> Graph:
     """Aliases named by edges, then tails, then heads, then tails of merged heads once more."""
+    keep = lambda g, step: Graph(store(step)(g.nodes, "nodes"), store(step)(g.edges, "edges"))
     named = graph.edges.where(F.col("relation").isin("alias_includes", "also_known_as")).select(F.col("dst").alias("dup"), F.col("src").alias("canon"))
-    g = apply_mapping(graph, named, store("alias"), keep_aliases=False)
-    g = Graph(g.nodes, final_edges(g.edges, semantic_triples(g, vectors, store("tails"))).drop("n_merged"))
+    g = keep(apply_mapping(graph, named, store("alias"), keep_aliases=False), "aliased")
+    g = keep(Graph(g.nodes, final_edges(g.edges, semantic_triples(g, vectors, store("tails"))).drop("n_merged")), "tailed")
     s = store("heads")
-    m = head_mapping(g, vectors, model, s)
-    g = merged_with_aliases(g, m, s)
+    m = s(head_mapping(g, vectors, model, s), "found")
+    g = keep(merged_with_aliases(g, m, s), "merged")
     heads = g.nodes.where("node_role = 'representative'").select("node_id")
     part = Graph(g.nodes, g.edges.join(heads, F.col("src") == F.col("node_id"), "left_semi"))
-    keep = semantic_triples(part, vectors, store("last"))
-    return Graph(g.nodes, final_edges(g.edges, keep).drop("n_merged"))
+    last = semantic_triples(part, vectors, store("last"))
+    return Graph(g.nodes, final_edges(g.edges, last).drop("n_merged"))
 
 
 def preloaded_clusters(rows: DataFrame, clusters: DataFrame) -> DataFrame:
