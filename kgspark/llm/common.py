@@ -67,15 +67,17 @@ def stored(df: DataFrame, path: str, partition_by: str | None = None) -> DataFra
 HOT_KEYS = 4096
 
 
-def join_by_weight(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_by_weight(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", merge: bool = False) -> DataFrame:
     """rows joined with table (one row for each key; its column `weight` is how many of the `total` rows have the key).
 
     A key of more than total / HOT_KEYS rows would fill a task of its own in a shuffle. There are fewer than
     HOT_KEYS such keys, whatever the data, so they are broadcast; the rest is joined by a shuffle in which no
-    key exceeds that share. Null keys match nothing. how is inner or left.
+    key exceeds that share. Null keys match nothing. how is inner or left. merge asks for a merge join of the
+    rest at any size, so that a small input takes the same plan as a large one.
     """
     hot = F.col(weight) * HOT_KEYS > total
     few, many = F.broadcast(table.where(hot)), table.where(~hot)
+    many = many.hint("merge") if merge else many
     near = rows.join(few, on, "inner")
     far = rows.join(few.select(*on), on, "left_anti").join(many, on, how)
     return near.unionByName(far)

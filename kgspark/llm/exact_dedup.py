@@ -235,7 +235,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     index = ExactDedup(docs.sparkSession)
     index.insert(docs)
     groups = index.live().where("copies > 1").select(F.col("digest").alias("_h"), F.col("keep_id").alias("_keep"), F.col("copies").alias("_copies"))
-    marked = join_by_weight(flat.withColumn("_h", _content(F.col(f"_c{text}"))[0]), groups, ["_h"], "_copies", docs.count(), "left")
+    marked = join_by_weight(flat.withColumn("_h", _content(F.col(f"_c{text}"))[0]), groups, ["_h"], "_copies", docs.count(), "left", merge=True)
     alone = marked.where(F.col("_copies").isNull())
     first = Window.partitionBy("_h").orderBy(*[F.col(f"_c{i}").cast("string") for i in range(len(docs.columns)) if i != text])
     best = marked.where(F.col("_copies").isNotNull() & F.col(f"_c{at}").eqNullSafe(F.col("_keep"))).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
