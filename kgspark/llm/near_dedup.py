@@ -131,7 +131,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 48,
     classes = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))
     spots = save(classes.select("rep", "s1", F.explode("bands").alias("key")), "spots")
     buckets = spots.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("hub")).where("m > 1")
-    met = save(spots.join(buckets.select("key", "hub"), "key"), "met")
+    met = save(join_by_weight(spots, buckets, ["key"], "m", spots.count()).drop("m"), "met")
     sums = met.select(F.col("rep").alias("id"), "s1").distinct()
 
     def links(jobs: DataFrame, name: str) -> DataFrame:
@@ -153,8 +153,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, perms: int = 48,
     open_ = save(open_, "open")
     by = open_.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
     by = by.agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1 and m > 2")
-    by = by.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("m") / BLOCK).cast("long").alias("mb"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("long").alias("ub"))
-    left = save(open_.join(by, "key"), "left")
+    by = by.select("key", "m", F.col("top.comp").alias("major"), F.ceil(F.col("m") / BLOCK).cast("long").alias("mb"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("long").alias("ub"))
+    left = save(join_by_weight(open_, by, ["key"], "m", open_.count()).drop("m"), "left")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     rest = left.where("comp <> major").select("key", deal("ub").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("j"), F.lit(0).alias("role"), "rep", "s1")
     all_ = left.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ub") - 1)).alias("i"), deal("mb").alias("j"), F.lit(1).alias("role"), "rep", "s1")
