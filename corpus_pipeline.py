@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. Stages but the
 last return the columns of documents; the last gives the pieces of packed sequences with their token ids.
+
+Defined results: null, empty and blank texts fail the base rule of the first stage and go there; taken alone, the
+other stages keep one row of the empty texts, keep rows without words or without doc_id, cut nothing from
+them, and pack them as their end token. Of equal texts the largest doc_id stays, of near copies the smallest of
+those left. Rows repeated whole are one document after exact dedup. Extra columns pass through all stages
+but the last, whatever their names. An empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
