@@ -33,4 +33,7 @@ def test_stages_keep_columns(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, "").columns == odd.columns, name
         assert stage(spark, none, "").count() == 0, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, "")
+    assert pieces.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    assert pieces.where("start = 0").count() == odd.count() and corpus_pipeline.STAGES[-1][1](spark, none, "").columns == pieces.columns
     assert [re.sub(r"_.*", "", n) for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "substring", "packing"]
