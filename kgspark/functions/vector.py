@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,18 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, threshold: float | None
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def with_queries(items: DataFrame, queries: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """Each item with each of a stated set of queries, which is sent to every task if its estimated size allows."""
-    size = int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return items.crossJoin(F.broadcast(queries) if size <= most else queries)
+#: Queries that are sent to every task at once.
+SENT_QUERIES = 10_000
+
+
+def with_queries(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each item with each of a stated set of queries. The queries are counted, and sent to every task in blocks of about
+    SENT_QUERIES, so the items are never shuffled and what is sent at once is bounded."""
+    blocks = max(1, -(-queries.count() // SENT_QUERIES))
+    if blocks == 1:
+        return items.crossJoin(F.broadcast(queries))
+    dealt = F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (items.crossJoin(F.broadcast(queries.where(dealt == b))) for b in range(blocks)))
 
 
 def centroids(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:

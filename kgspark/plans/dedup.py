@@ -104,14 +104,15 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.75, most: int | None
         near = lsh.approxSimilarityJoin(f, f, (2 - 2 * threshold) ** 0.5 + 1e-9, "dist").where("datasetA.node_id < datasetB.node_id")
         pairs = near.select(F.col("datasetA.node_id").alias("a"), F.col("datasetB.node_id").alias("b"), cosine("datasetA.vec", "datasetB.vec").alias("sim"))
     else:
+        # each pair of blocks i <= j is one job, so a row goes to about half as many jobs as there are blocks, on either side
         blocks = max(1, -(-rows.count() // 512))
         dealt = rows.withColumn("blk", F.pmod(F.xxhash64("node_id"), F.lit(blocks)))
-        every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-        left = dealt.select(F.col("blk").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node_id", "vec")
-        right = dealt.select(F.explode(every).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "node_id", "vec")
+        span = lambda lo, hi: F.explode(F.sequence(lo.cast("long"), hi.cast("long")))
+        left = dealt.select(F.col("blk").alias("i"), span(F.col("blk"), F.lit(blocks - 1)).alias("j"), F.lit(0).alias("side"), "node_id", "vec")
+        right = dealt.select(span(F.lit(0), F.col("blk")).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), "node_id", "vec")
 
         def close(g: pd.DataFrame) -> pd.DataFrame:
-            """The pairs of two blocks that are close enough, by one matrix product."""
+            """The pairs of two blocks that are close enough, by one matrix product; of a block with itself, each once."""
             a, b = g[g["side"] == 0], g[g["side"] == 1]
             if a.empty or b.empty:
                 return pd.DataFrame({"a": [], "b": [], "sim": []})
@@ -121,7 +122,11 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.75, most: int | None
             sim = unit[0] @ unit[1].T
             x, y = np.nonzero(sim >= threshold)
             out = pd.DataFrame({"a": a["node_id"].to_numpy()[x], "b": b["node_id"].to_numpy()[y], "sim": sim[x, y]})
-            return out[out["a"] < out["b"]]
+            if len(g) and g["i"].iloc[0] == g["j"].iloc[0]:
+                return out[out["a"] < out["b"]]
+            turn = out["a"] > out["b"]
+            out.loc[turn, ["a", "b"]] = out.loc[turn, ["b", "a"]].to_numpy()
+            return out[out["a"] != out["b"]]
 
         kind = rows.schema["node_id"].dataType.simpleString()
         pairs = left.union(right).groupBy("i", "j").applyInPandas(close, f"a {kind}, b {kind}, sim double")
