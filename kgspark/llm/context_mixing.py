@@ -516,10 +516,13 @@ def slot_counts(code: Code, seen: list[np.ndarray], k: int) -> np.ndarray:
 def logits(counts: np.ndarray) -> np.ndarray:
     """From zeros and ones in turn: the logit of each slot as the bits of a float16, whose last two bits say
     instead how often the slot was seen (never, 1 to 3, 4 to 31, 32 times or more)."""
-    zero, one = counts[0::2].astype(float), counts[1::2].astype(float)
-    level = np.searchsorted([1, 4, 32], zero + one, side="right").astype(np.uint16)
-    logit = np.clip(np.log((one + 0.4) / (zero + 0.4)), -12, 12).astype(np.float16)
-    return logit.view(np.uint16) & np.uint16(0xFFFC) | level
+    out = np.empty(len(counts) // 2, np.uint16)
+    for at in range(0, len(out), 1 << 18):
+        zero, one = (counts[2 * at + bit : 2 * at + (2 << 18) : 2].astype(float) for bit in (0, 1))
+        level = np.searchsorted([1, 4, 32], zero + one, side="right").astype(np.uint16)
+        logit = np.clip(np.log((one + 0.4) / (zero + 0.4)), -12, 12).astype(np.float16)
+        out[at : at + len(logit)] = logit.view(np.uint16) & np.uint16(0xFFFC) | level
+    return out
 
 
 #: Weights with which every text sets out: the three short contexts, alike in all sets; the last set, of bits that
