@@ -115,6 +115,6 @@ ORACLES: dict[str, str] = {
     "viz4_sub_query_star": "SELECT 'question_' || n_regionkey AS source, 'sub_' || n_regionkey || '_' || n_nationkey AS target FROM nation",
     "viz5_retrieved_chart": "SELECT n_regionkey AS qid, n_name AS source, 'in' AS relation, 'r' || n_regionkey AS target FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 12 < 10",
     "viz6_reasoning_flow": "SELECT item_id % 5 AS qid, CAST(item_id // 5 + 1 AS INTEGER) AS step, CASE WHEN item_id % 2 = 0 THEN 'search' ELSE 'unknown' END AS type, substr(text, 1, 50) AS question, item_id AS triples, CAST(0 AS BIGINT) AS chunks, 0.5 AS seconds FROM benchmark",
-    "viz3_chart_by_shape": """SELECT name, CAST(15 AS INTEGER) AS size, CAST(15 AS INTEGER) AS size_of_list FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier) ORDER BY name LIMIT 500""",
+    "viz3_chart_by_shape": """SELECT name, CAST(15 AS BIGINT) AS size, CAST(15 AS BIGINT) AS size_of_list FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier) ORDER BY name LIMIT 500""",
     "ded42_workflow": f"""WITH {_HEADS}, r AS (SELECT 'part_' || p_partkey AS node, CASE WHEN 'part_' || p_partkey IN (SELECT dup FROM mapping) THEN 'alias' WHEN 'part_' || p_partkey IN (SELECT canon FROM mapping) THEN 'representative' ELSE 'none' END AS role FROM part) SELECT role, count(*) AS n FROM r GROUP BY 1""",
 }
