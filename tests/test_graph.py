@@ -231,3 +231,19 @@ def test_chunk_context_and_profile(spark):
     assert (r["total"], r["merged"], r["kept"], r["kept_share"]) == (4, 2, 2, 0.5)
     q = spark.createDataFrame([("Where is the big tower?",)], "q string").select(enhanced_query("q").alias("e")).first()["e"]
     assert q == "Where is the big tower? Key terms: big, tower"
+
+
+def test_tail_rows_carry_no_vectors(spark, store):
+    """Edges are written with the kind of their tail's vector, whatever the vector's length; the clusters are those of the vectors."""
+    seen = {}
+
+    def noted(df, name):
+        seen[name] = df.columns
+        return store(df, name)
+
+    e = edges(spark, ("H", "r", "a"), ("H", "r", "b"), ("H", "r", "c"), ("G", "r", "a"), ("H", "s", "b"), ("H", "s", "d"), ("H", "r", "a"))
+    axis = lambda i: [1.0 if j == i else 0.0 for j in range(300)]
+    vec = spark.createDataFrame([("a", axis(0)), ("b", axis(1)), ("c", axis(0)), ("d", axis(1))], "node_id string, vec array<double>")
+    got = dedup.semantic_triples(Graph(None, e), vec, noted)
+    assert {(r["src"], r["relation"], r["dst"], r["keeper"]) for r in got.collect()} == {("H", "r", "a", "a"), ("H", "r", "b", "b"), ("H", "r", "c", "a"), ("H", "s", "b", "b"), ("H", "s", "d", "b")}
+    assert "vec" not in seen["tail_rows"]
