@@ -4,12 +4,13 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kgspark.functions import language
+from kgspark.functions import language, vector
 from kgspark.operators import graph
 from kgspark.operators.communities import single_link, single_link_groups
-from kgspark.plans import analytics, clustering, dedup
+from kgspark.plans import analytics, clustering, dedup, retrieve
 from kgspark.providers import ExpressionModel
 from kgspark.sources import graphs, texts
 
@@ -140,3 +141,23 @@ def test_queries_in_blocks(spark, monkeypatch):
     items, queries = spark.range(7).toDF("id"), spark.range(10).select(F.col("id").alias("qid"), F.array(F.col("id").cast("double")).alias("qvec"))
     monkeypatch.setattr(vector, "SENT_QUERIES", 3)
     assert {(r["id"], r["qid"]) for r in vector.with_queries(items, queries).collect()} == {(i, q) for i in range(7) for q in range(10)}
+
+
+def test_best_of_blocks_are_those_of_all(spark):
+    """Equal vectors, zeros, nulls, odd lengths and infinite values: the k best by blocks are those of the expressions, bit by bit."""
+    rng = np.random.default_rng(3)
+    some = [[float(x) for x in np.round(rng.normal(size=5), 1)] for _ in range(40)]
+    items = [(f"i{i:03}", some[i % 40], 0.1 if i % 3 == 0 else 0.0) for i in range(300)]
+    items += [("zero", [0.0] * 5, 0.0), ("null", None, 0.0), ("hole", [1.0, None, 0.0, 0.0, 0.0], 0.0), ("long", [1.0] * 6, 0.1), ("inf", [float("inf"), 0.0, 0.0, 0.0, 1.0], 0.0), ("nan", [float("nan")] * 5, 0.0)]
+    items = spark.createDataFrame(items, "id string, vec array<double>, plus double").repartition(3)
+    queries = spark.createDataFrame([(q, some[q]) for q in range(7)] + [(7, [0.0] * 5)], "qid long, qvec array<double>")
+    for by_cosine in (False, True):
+        for rows in (items, items.drop("plus")):
+            one = vector.cosine("qvec", "vec") if by_cosine else vector.dot("qvec", "vec")
+            every = rows.crossJoin(queries).withColumn("score", one + F.col("plus") if "plus" in rows.columns else one)
+            w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+            want = every.withColumn("rank", F.row_number().over(w)).where("rank <= 6").select("qid", "id", "score", "rank")
+            got = vector.top_k(queries, rows, 6, by_cosine=by_cosine).select("qid", "id", "score", "rank")
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = vector.top_k(queries, items.drop("plus"), 6)._jdf.queryExecution().toString()
+    assert "mapInPandas" in plan or "MapInPandas" in plan  # blocks, not one expression a pair
