@@ -161,3 +161,10 @@ def test_best_of_blocks_are_those_of_all(spark):
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = vector.top_k(queries, items.drop("plus"), 6)._jdf.queryExecution().toString()
     assert "mapInPandas" in plan or "MapInPandas" in plan  # blocks, not one expression a pair
+
+
+def test_normalized_works_out_the_length_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, vec array<double>").select("id", vector.normalized("vec").alias("v"))
+    assert {r["id"]: r["v"] for r in rows.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None}
+    plan = rows._jdf.queryExecution().toString().lower()
+    assert "/ sqrt(" not in plan  # not for each element
