@@ -597,19 +597,20 @@ def ret1_batch_retrieval(s, d):
 @query
 def ret8_text_retrieval(s, d):
     """Both retrieval paths for the benchmark's questions over the whole graph of the tables."""
-    g = tables_graph(s, d)
-    nodes, edges = g.nodes.withColumn("chunk_ids", F.array("name")), g.edges
-    store, e = shared_store(s), HashingEmbedder(64)
+    g, store, e = tables_graph(s, d), shared_store(s), HashingEmbedder(64)
+    # unions of eight tables, which every stage would work out again
+    nodes, edges = store(g.nodes.withColumn("chunk_ids", F.array("name")), "graph_nodes"), store(g.edges, "graph_edges")
+    chunks = store(nodes.select(F.col("name").alias("chunk_id"), F.col("name").alias("text")).distinct(), "chunks")
     named = relational.with_ends(edges, nodes, "name")
     vectors = {
         "node": store(e.embed(nodes, "node_id", "name"), "node"),
         "relation": store(e.embed(edges.select("relation").distinct(), "relation", "relation"), "relation"),
         "triple": store(e.embed(named.withColumn("t", F.concat_ws(",", "src_name", "relation", "dst_name")), "edge_id", "t"), "triple"),
-        "chunk": store(e.embed(nodes.select(F.col("name").alias("chunk_id")).distinct().withColumn("t", F.col("chunk_id")), "chunk_id", "t"), "chunk"),
+        "chunk": store(e.embed(chunks, "chunk_id", "text"), "chunk"),
     }
     q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     q = store(q.join(e.embed(q, "qid", "question").withColumnRenamed("vec", "qvec"), "qid"), "q")
-    out = retrieve.retrieve(q, nodes, edges, nodes.select(F.col("name").alias("chunk_id"), F.col("name").alias("text")).distinct(), vectors, store)
+    out = retrieve.retrieve(q, nodes, edges, chunks, vectors, store)
     t = out["triples"].groupBy("qid").agg(F.count("*").alias("n_triples"))
     c = out["chunks"].groupBy("qid").agg(F.count("*").alias("n_chunks"))
     return t.join(c, "qid")

@@ -257,3 +257,14 @@ def test_steps_agree_with_paths(spark, store):
     got = {(r["dup"], r["root"], r["steps"], r["cyclic"]) for r in graph.steps_to_root(mapping(spark, *rows), store).collect()}
     assert got == want and len(got) == len(rows) - 1
     assert graph.steps_to_root(mapping(spark, *rows).limit(0), store).count() == 0
+
+
+def test_batches_of_texts_have_the_vectors_of_each(spark):
+    texts = ["part one", "", None, "[Error x]", "Ünïcödé 漢字 😀", "a", "part one", "x" * 500, "order 12,supplied_by,y"]
+    one = HashingEmbedder(64)
+    assert [v.tolist() for v in one.vectors(texts)] == [one.vector(t).tolist() for t in texts]
+    assert one.vectors(["", None]).tolist() == [[0.0] * 64] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(1)
+    one.vector = None  # rows go through batches
+    got = {r["k"]: r["vec"] for r in one.embed(rows, "k", "t").collect()}
+    assert got == {k: HashingEmbedder(64).vector(t).tolist() for k, t in enumerate(texts)}
