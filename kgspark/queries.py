@@ -304,10 +304,7 @@ def keyword_reranked(s, d, q: DataFrame) -> DataFrame:
     """(qid, pos, score, rank): for each question (qid, question) the five documents with most of its words."""
     words = q.select("qid", F.explode(text.question_words("question")).alias("w"))
     low = docs(s, d).select(F.col("doc_id").alias("pos"), F.lower("text").alias("low"))
-    distinct = words.select("w").distinct()  # each word meets each text once, whatever the number of questions
-    hit = vector.with_queries(low, distinct).where(F.col("low").contains(F.col("w"))).select("pos", "w")
-    score = words.join(hit, "w").groupBy("qid", "pos").agg(F.count("*").alias("score"))
-    return relational.best_per(score, "qid", [F.desc("score"), F.col("pos")], 5).select("qid", "pos", "score", "rank")
+    return relational.most_words(words, low, 5)
 
 
 @query

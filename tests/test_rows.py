@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import language, vector
-from kgspark.operators import graph
+from kgspark.operators import graph, relational
 from kgspark.operators.communities import single_link, single_link_groups
 from kgspark.plans import analytics, clustering, dedup, retrieve
 from kgspark.providers import ExpressionModel
@@ -175,3 +175,16 @@ def test_normalized_works_out_the_length_once(spark):
     assert {r["id"]: r["v"] for r in rows.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None}
     plan = rows._jdf.queryExecution().toString().lower()
     assert "/ sqrt(" not in plan  # not for each element
+
+
+def test_most_words_by_batches(spark):
+    """Words inside other words, blank characters that aren't white space, shared and missing keys, ties: as all with all."""
+    texts = [(i, t) for i, t in enumerate(["aab b", "ab\u00a0c d", "", None, "xaby abz", "d\tab\u00a0c", "cab " * 30, "y" * 300 + "ab", "q"])] + [(20, "a"), (20, "ab"), (None, "ab d"), (21, "ab")]
+    low = spark.createDataFrame(texts, "pos long, low string").repartition(3)
+    words = spark.createDataFrame([(q, w) for q, ws in {1: ["ab", "a", "d"], 2: ["ab\u00a0c", "q"], 3: ["zzz"], 4: ["b"]}.items() for w in ws], "qid long, w string")
+    hit = words.join(low.where("low is not null"), F.col("low").contains(F.col("w"))).groupBy("qid", "pos").agg(F.count("*").alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "pos")
+    want = {tuple(r) for r in hit.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("qid", "pos", "score", "rank").collect()}
+    got = relational.most_words(words, low, 3)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 9
+    assert "MapInPandas" in got._jdf.queryExecution().toString()  # not a row for each word and text
