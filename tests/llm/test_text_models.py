@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -208,6 +209,85 @@ def test_lm_mixing_against_plain_loops():
         assert np.allclose(got, want, rtol=1e-4)
 
 
+def test_lm_logits_are_fixed_point():
+    counts = np.array([0, 0, 1, 0, 0, 3, 2, 2, 31, 0, 0, 40, 10**9, 0, 0, 10**9], np.float32)
+    got = cm.logits(counts).astype(int)
+    want = np.clip(np.log((counts[1::2] + 0.4) / (counts[::2] + 0.4)), -12, 12)
+    assert np.abs((got & ~3) * float(cm.UNIT) - want).max() <= 2 * cm.UNIT
+    assert (got & 3).tolist() == [0, 1, 1, 2, 2, 3, 3, 3]
+
+
+def test_lm_long_context_logits_against_plain_loops():
+    """What a foretold token says of each bit of the path that is coded, step by step."""
+    rng = np.random.default_rng(5)
+    pool = [f"w{i}" for i in range(40)]
+    code = small_code(pa.array([" ".join(rng.choice(pool, 300))] * 3))
+    t = cm.Tokens.of(code, pa.array([" ".join(rng.choice([*pool, "rare1", "rare2"], 200)), "", " ".join(rng.choice(pool, 150))]))
+    key, at, n = cm.anchors(t.h, t.off)
+    lists = [[], [], []]
+    for text, k, i, m in zip(np.searchsorted(t.off, at, side="right") - 1, key, at, n):
+        told = t.h[i : i + m].copy()
+        told[::3] = t.h[rng.integers(0, len(t.h), len(told[::3]))]  # some are foretold wrongly
+        body = np.ascontiguousarray(cm.tags(told)).view(np.uint8).reshape(-1, 4)[:, : cm.TAG].tobytes()
+        if k.view(np.int64) not in [x["key"] for x in lists[text]]:
+            lists[text].append({"key": int(k.view(np.int64)), "follow": body, "n": 2})
+    found = pa.array(lists, pa.list_(pa.struct([("key", pa.int64()), ("follow", pa.binary()), ("n", pa.int64())])))
+    (_, path, _), n_path = cm.word_bits(code, t)
+    got, _, _ = cm.matched(code, t, n_path, path, found)
+    guess, weight = cm.foretold(t, found)
+    symbol = code.tagged(guess)
+    off, nodes, bits, _ = code.word
+    want, streak, wrong = [], 0, 0
+    for i, s in enumerate(t.s):
+        streak = 0 if i in t.off else streak
+        mine = list(zip(nodes[off[s] : off[s + 1]], bits[off[s] : off[s + 1]]))
+        if guess[i] < 0:
+            want += [0.0] * len(mine)
+            continue
+        told = dict(zip(nodes[off[symbol[i]] : off[symbol[i] + 1]], bits[off[symbol[i]] : off[symbol[i] + 1]]))
+        trust = math.log((streak + weight[i] + 0.4) / 0.4)
+        want += [trust * (2 * int(told[node]) - 1) if node in told else 0.0 for node, _ in mine]
+        right = symbol[i] == s and (s != code.escape or cm.tags(t.h[i : i + 1])[0] == guess[i])
+        streak, wrong = streak + 1 if right else 0, wrong + (symbol[i] != s)
+    assert wrong and (got > 0).any() and (got < 0).any()
+    assert np.allclose(got, want, rtol=1e-5)
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_works_in_short_stretches():
+    """Hashing and coding keep little in hand for each byte and bit, however long the texts: their time goes into memory."""
+    rng = np.random.default_rng(6)
+    pool = np.array([f"word{i}" for i in range(3000)])
+    texts = pa.array([" ".join(rng.choice(pool, 20_000)) for _ in range(8)])
+    w = cm.Words(texts)
+    assert peak_of(w.hashes) < 12 * len(w.data)
+    code = small_code(texts)
+    t = cm.Tokens.of(code, texts)
+    words, _ = cm.word_bits(code, t)
+    tables = [np.zeros(n, np.int16) for n in cm.sizes()]
+    assert peak_of(lambda: cm.cost_of(tables, words)) < 24 * len(words[1])
+
+
+def test_words_as_plain_loops():
+    texts = ["", None, "AZ az [@`{ \x0b\x0c\x1f\x85\xa0", " \t\n\r", "x" * 5000 + " Y", " " * 70_000 + "Last", "ÀB\u2003c"]
+    texts += [" ".join(f"W{i * j}" for j in range(9000)) for i in range(3)]
+    for lower in (False, True):
+        w = Words(pa.array(texts, pa.string()), lower)
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), x or "") if lower else x or "" for x in texts]
+        want = [x.encode() for text in low for x in WORD.findall(text)]
+        assert [w.data[i:j].tobytes() for i, j in zip(w.start, w.end)] == want
+        h = w.hashes()
+        assert len(np.unique(h)) == len(set(want)) and all(h[want.index(x)] == v for x, v in list(zip(want, h))[::97])
+
+
 def test_lm_long_contexts_against_brute_force(spark, tmp_path):
     """What other learned rows say after a text's own anchors, row by row."""
     rng = np.random.default_rng(4)
