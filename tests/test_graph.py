@@ -86,6 +86,21 @@ def test_alias_merge_sets_roles(spark, store):
     assert gone.nodes.count() == 2
 
 
+def test_workflow_takes_all_similar_heads(spark, store):
+    """Behind 1,225 pairs of equal vectors stand a chain whose ends aren't similar, and a pair of lower similarity."""
+    vec = {i: [1.0, 0.0, 0.0, 0.0] for i in range(10, 60)} | {3: [0.0, 1.0, 0.0, 0.0], 5: [0.0, 1.0, 1.0, 0.0], 4: [0.0, 0.2, 1.0, 0.0], 2: [0.0, -1.0, 0.0, 0.9], 1: [0.0, -1.0, 0.0, 0.0], 70: [0.0] * 4, 71: [0.0] * 4}
+    # similarities: 3 and 5 0.71, 4 and 5 0.83, 3 and 4 0.20, 1 and 2 0.74
+    n = nodes(spark, *((f"entity_{i}", f"name {i}") for i in vec))
+    e = edges(spark, *((f"entity_{i}", f"r{i}", "entity_99") for i in vec))
+    vectors = spark.createDataFrame([(f"entity_{i}", v) for i, v in vec.items()], "node_id string, vec array<double>")
+    g = Graph(n.unionByName(nodes(spark, ("entity_99", "end"))), e)
+    want = {f"entity_{i}": "entity_10" for i in range(11, 60)} | {"entity_4": "entity_3", "entity_5": "entity_3", "entity_2": "entity_1"}
+    assert {r["dup"]: r["canon"] for r in dedup.head_mapping(g, vectors, None, store, 0.7).collect()} == want
+    out = dedup.workflow(g, vectors, None, lambda step: lambda df, name: store(df, f"{step}_{name}"))
+    role = {r["node_id"] for r in out.nodes.where("node_role = 'alias'").collect()}
+    assert role == {f"entity_{i}" for i in (*range(11, 60), 5)}  # at the workflow's own threshold of 0.75
+
+
 def test_judged_pairs(spark):
     g = Graph(nodes(spark, ("entity_1", "Acme"), ("entity_2", "acme."), ("entity_3", "Paris")), edges(spark, ("entity_1", "in", "entity_3")))
     pairs = spark.createDataFrame([("entity_1", "entity_2", 0.9), ("entity_1", "entity_3", 0.8)], "a string, b string, sim double")
