@@ -596,14 +596,18 @@ def ret8_text_retrieval(s, d):
     """Both retrieval paths for the benchmark's questions over the whole graph of the tables."""
     g, store, e = tables_graph(s, d), shared_store(s), HashingEmbedder(64)
     # unions of eight tables, which every stage would work out again
-    nodes, edges = store(g.nodes.withColumn("chunk_ids", F.array("name")), "graph_nodes"), store(g.edges, "graph_edges")
-    chunks = store(nodes.select(F.col("name").alias("chunk_id"), F.col("name").alias("text")).distinct(), "chunks")
-    named = relational.with_ends(edges, nodes, "name")
+    nodes = store(g.nodes.select("node_id", "name", "description").withColumn("chunk_ids", F.array("name")), "graph_nodes")
+    name = nodes.select("node_id", F.struct("name").alias("name")).hint("shuffle_hash")
+    edges = g.edges.select("edge_id", "src", "relation", "dst")
+    for end in ("src", "dst"):
+        edges = edges.join(name.select(F.col("node_id").alias(end), F.col("name").alias(f"{end}_node")), end, "left")
+    text = F.when(F.col("src_node").isNotNull() & F.col("dst_node").isNotNull(), F.concat_ws(",", "src_node.name", "relation", "dst_node.name"))
+    edges = store(edges, "graph_edges").select("edge_id", "src", "relation", "dst", text.alias("text"))
+    chunks = nodes.select(F.col("name").alias("chunk_id"), F.col("name").alias("text"))
     vectors = {
-        "node": store(e.embed(nodes, "node_id", "name"), "node"),
-        "relation": store(e.embed(edges.select("relation").distinct(), "relation", "relation"), "relation"),
-        "triple": store(e.embed(named.withColumn("t", F.concat_ws(",", "src_name", "relation", "dst_name")), "edge_id", "t"), "triple"),
-        "chunk": store(e.embed(chunks, "chunk_id", "text"), "chunk"),
+        "node": retrieve.TextVectors(nodes, "node_id", "name", e),
+        "triple": retrieve.TextVectors(edges.where("text is not null"), "edge_id", "text", e),
+        "chunk": retrieve.TextVectors(chunks, "chunk_id", "text", e),
     }
     q = table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     q = store(q.join(e.embed(q, "qid", "question").withColumnRenamed("vec", "qvec"), "qid"), "q")

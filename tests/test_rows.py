@@ -11,7 +11,7 @@ from kgspark.functions import language, vector
 from kgspark.operators import graph, relational
 from kgspark.operators.communities import single_link, single_link_groups
 from kgspark.plans import analytics, clustering, dedup, retrieve
-from kgspark.providers import ExpressionModel
+from kgspark.providers import ExpressionModel, HashingEmbedder
 from kgspark.sources import graphs, texts
 
 
@@ -188,3 +188,42 @@ def test_most_words_by_batches(spark):
     got = relational.most_words(words, low, 3)
     assert {tuple(r) for r in got.collect()} == want and len(want) == 9
     assert "MapInPandas" in got._jdf.queryExecution().toString()  # not a row for each word and text
+
+
+def test_texts_are_searched_without_vectors_of_all(spark, store, monkeypatch):
+    """Many batches with equal texts, other letters, empty and missing ones: what the search leaves out is not among the best, bit by bit."""
+    monkeypatch.setattr(retrieve, "SENT_ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        e = HashingEmbedder(16)
+        words = ["order", "Ärger", "hot bolt", "[Error a", "", "Customer#1", "İx", "zz"]
+        rows = [(i, f"{words[i % 8]} {i % 90}" if i % 7 else [None, "", words[1], "b"][i % 4]) for i in range(900)]
+        items = spark.createDataFrame(rows, "id long, text string").repartition(5)
+        q = spark.createDataFrame([(1, "hot order 7"), (2, "ärger"), (3, "[Error"), (4, "b")], "qid long, question string")
+        q = q.join(e.embed(q, "qid", "question").withColumnRenamed("vec", "qvec"), "qid").withColumn("qvec", vector.normalized("qvec"))
+        unit = lambda v: v.select("id", vector.normalized("vec").alias("vec"))
+        want = vector.top_k(q, unit(e.embed(items, "id", "text")), 7)
+        near = retrieve.TextVectors(items, "id", "text", e).near(q, 7, store, "near")
+        assert sorted(map(tuple, vector.top_k(q, unit(near), 7).collect())) == sorted(map(tuple, want.collect()))
+        pairs = items.select("id", "text", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 4)])).alias("qid")).withColumn("plus", F.when(F.col("id") % 3 == 0, 0.1).otherwise(0.0))
+        got = e.best_pairs(pairs.withColumnRenamed("id", "edge_id"), q, 900, 0.05, floor=True).collect()
+        each = pairs.drop("text").join(e.embed(items, "id", "text"), "id").join(q, "qid").select("qid", "id", F.greatest(F.lit(0.0), vector.cosine("qvec", "vec") + F.col("plus")).alias("score"))
+        assert sorted(map(tuple, got)) == sorted(map(tuple, each.where("score > 0.05").collect())) and len(got) > 500
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_retrieval_embeds_few_of_all_triples(spark, monkeypatch):
+    from kgspark import queries
+
+    sizes = []
+
+    class Counting(HashingEmbedder):
+        def embed(self, rows, key, text):
+            sizes.append(rows.count())
+            return super().embed(rows, key, text)
+
+    monkeypatch.setattr(queries, "HashingEmbedder", Counting)
+    folder = "/root/testdata/sf0.001"
+    assert {tuple(r) for r in queries.QUERIES["ret8_text_retrieval"](spark, folder).collect()} == {(i, 20, 20) for i in range(40)}
+    assert max(sizes) < queries.tables_graph(spark, folder).edges.count()
